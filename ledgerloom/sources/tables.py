@@ -251,6 +251,66 @@ VIEWS = {
         CAST(p_retailprice AS DECIMAL(15,2)) AS price FROM {part} WHERE p_partkey % 4 <> 0""",
 }
 
+# Text renderings of the facts, as spreadsheets would hold them, with the junk real files have.
+VIEWS |= {
+    "raw_claims": """SELECT 'eclaim_10670_' || CASE WHEN file_id % 8 = 7 THEN 'ORF' WHEN file_id % 2 = 0 THEN 'OP' ELSE 'IP' END
+          || '_25680122_' || CAST(file_id AS STRING) || '.xls' AS file, 'data' AS sheet,
+        CAST(floor(CAST(tran_id AS BIGINT) / 40) + 10 AS INT) AS row,
+        CASE WHEN CAST(tran_id AS BIGINT) % 211 = 0 THEN '' ELSE tran_id END AS c0,
+        CASE WHEN CAST(tran_id AS BIGINT) % 499 = 0 THEN NULL WHEN CAST(tran_id AS BIGINT) % 501 = 0 THEN 'TRAN_ID'
+             WHEN CAST(tran_id AS BIGINT) % 503 = 0 THEN 'รวม 12' WHEN CAST(tran_id AS BIGINT) % 3 = 0 THEN ' ' || tran_id || '.0'
+             ELSE tran_id END AS c1,
+        CASE WHEN CAST(tran_id AS BIGINT) % 9 = 0 THEN 'N/A' ELSE hn || '  ' END AS c2,
+        CASE WHEN an IS NULL THEN '-' ELSE an END AS c3,
+        chr(10) || ' ' || pid || 'xxxxxxxxxxxxxxxx' || chr(10) || 'second' AS c4,
+        CASE CAST(tran_id AS BIGINT) % 5 WHEN 0 THEN 'OPLGO' WHEN 1 THEN 'ipsss' WHEN 2 THEN 'OPOFC' WHEN 3 THEN 'OP' END AS c5,
+        CASE WHEN dateadm IS NULL THEN '-' WHEN CAST(tran_id AS BIGINT) % 71 = 0 THEN '31/02/2025'
+             WHEN CAST(tran_id AS BIGINT) % 2 = 0 THEN
+               lpad(CAST(day(dateadm) AS STRING), 2, '0') || '/' || lpad(CAST(month(dateadm) AS STRING), 2, '0') || '/'
+               || CAST(year(dateadm) AS STRING) || ' 10:20:30'
+             ELSE lpad(CAST(day(dateadm) AS STRING), 2, '0') || '/' || lpad(CAST(month(dateadm) AS STRING), 2, '0') || '/'
+               || CAST(year(dateadm) AS STRING) END AS c6,
+        CASE WHEN CAST(tran_id AS BIGINT) % 7 = 0 THEN '-' WHEN CAST(tran_id AS BIGINT) % 13 = 0 THEN 'abc'
+             WHEN CAST(tran_id AS BIGINT) % 4 = 0 THEN substr(CAST(claim_drg AS STRING), 1, 1) || ',' || substr(CAST(claim_drg AS STRING), 2)
+             ELSE ' ' || CAST(claim_drg AS STRING) END AS c7,
+        main_fund AS c8, error_code AS c9
+        FROM {claims_core}""",
+    "raw_headers": """SELECT DISTINCT file, 'data' AS sheet,
+        CAST(CASE WHEN length(file) % 2 = 0 THEN 3 ELSE 6 END AS INT) AS row,
+        'NO' AS c0, 'TRAN_ID' AS c1, 'HN' AS c2, CASE WHEN length(file) % 2 = 0 THEN 'AN' ELSE 'X' END AS c3, 'PID' AS c4,
+        'TYPE' AS c5, 'DATE' AS c6, 'AMOUNT' AS c7, 'FUND' AS c8, 'ERROR' AS c9
+        FROM {raw_claims} WHERE file NOT LIKE '%5.xls'""",
+    "raw_statement": """SELECT 'STM_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'ip' END || 'UCS2568'
+          || lpad(CAST(file_id % 12 + 1 AS STRING), 2, '0') || '_' || CAST(file_id AS STRING) || '.xls' AS file,
+        CAST(20 + 2 * floor(CAST(tran_id AS BIGINT) / 40) AS INT) AS row, tran_id AS c0, hn AS c1,
+        CAST(paid_after_deduction AS STRING) AS c2
+        FROM {stm_core} WHERE tran_id NOT LIKE 'S%'
+        UNION ALL
+        SELECT 'STM_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'ip' END || 'UCS2568'
+          || lpad(CAST(file_id % 12 + 1 AS STRING), 2, '0') || '_' || CAST(file_id AS STRING) || '.xls',
+        CAST(19 + 2 * floor(CAST(tran_id AS BIGINT) / 40) AS INT),
+        CASE CAST(tran_id AS BIGINT) % 3 WHEN 0 THEN 'ข้อมูลปกติ' WHEN 1 THEN '2) ข้อมูลอุทธรณ์' ELSE 'ผู้พิการ D1' END, NULL, NULL
+        FROM {claims_core} WHERE CAST(floor(CAST(tran_id AS BIGINT) / 40) AS INT) % 25 = 7
+        UNION ALL
+        SELECT 'STM_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'ip' END || 'UCS2568'
+          || lpad(CAST(file_id % 12 + 1 AS STRING), 2, '0') || '_' || CAST(file_id AS STRING) || '.xls',
+        r.row, CASE r.row WHEN 1 THEN 'ออกรายงานวันที่ ' || lpad(CAST(file_id % 28 + 1 AS STRING), 2, '0') || '/03/2025 เวลา 14:05'
+          WHEN 3 THEN 'โรงพยาบาล 10670 รพ. ' || CAST(file_id AS STRING) WHEN 4 THEN 'จังหวัด 40 ขอนแก่น'
+          WHEN 6 THEN 'เลขที่เอกสาร DOC-' || CAST(file_id AS STRING) END, NULL, NULL
+        FROM (SELECT DISTINCT file_id FROM {claims_core}) f
+        JOIN (SELECT 1 AS row UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 6) r ON f.file_id >= 0""",
+    "raw_transfers": """SELECT CAST(run_date AS STRING) AS runDt, posting_date AS postingDate, ref_doc_no AS refDocNo,
+        CASE WHEN total_amount < 3000 THEN '' ELSE vendor_no END AS vndrNo, vendor_no, '  ' AS bankNm,
+        CAST(total_amount AS STRING) AS total, CASE WHEN wait_amount = 0 THEN '-' ELSE CAST(wait_amount AS STRING) END AS wait,
+        payment_status AS pmntStts FROM {transfers_core}""",
+    "procedure_lines": """SELECT CASE p_partkey % 4 WHEN 0 THEN lpad(CAST(p_partkey % 10000 AS STRING), 4, '0')
+          WHEN 1 THEN lpad(CAST(p_partkey % 1000 AS STRING), 3, '0') WHEN 2 THEN '12.' || CAST(p_partkey % 100 AS STRING)
+          ELSE 'X' END || '  ' || p_name AS value FROM {part}""",
+    "drug_names": """SELECT p_partkey, 'BRAND' || CAST(p_partkey % 90 AS STRING) || '. (10MG) (MAKER) (' || p_name || ' '
+          || CAST(p_size AS STRING) || ' mg) film-coated tablet, ' || CAST(p_size AS STRING)
+          || CASE WHEN p_partkey % 2 = 0 THEN ' mL bottle' ELSE ' tablet' END || ' (TPU)' AS fsn FROM {part}""",
+}
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
