@@ -251,6 +251,18 @@ VIEWS = {
         CAST(p_retailprice AS DECIMAL(15,2)) AS price FROM {part} WHERE p_partkey % 4 <> 0""",
 }
 
+_STATEMENT_HEADS = [
+    f"""SELECT DISTINCT 'STM_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'ip' END || 'UCS2568'
+        || lpad(CAST(file_id % 12 + 1 AS STRING), 2, '0') || '_' || CAST(file_id AS STRING) || '.xls' AS file,
+        {row} AS row, {text} AS c0, CAST(NULL AS STRING) AS c1, CAST(NULL AS STRING) AS c2 FROM {{claims_core}}"""
+    for row, text in (
+        (1, "'ออกรายงานวันที่ ' || lpad(CAST(file_id % 28 + 1 AS STRING), 2, '0') || '/03/2025 เวลา 14:05'"),
+        (3, "'โรงพยาบาล 10670 รพ. ' || CAST(file_id AS STRING)"),
+        (4, "'จังหวัด 40 ขอนแก่น'"),
+        (6, "'เลขที่เอกสาร DOC-' || CAST(file_id AS STRING)"),
+    )
+]
+
 # Text renderings of the facts, as spreadsheets would hold them, with the junk real files have.
 VIEWS |= {
     "raw_claims": """SELECT 'eclaim_10670_' || CASE WHEN file_id % 8 = 7 THEN 'ORF' WHEN file_id % 2 = 0 THEN 'OP' ELSE 'IP' END
@@ -291,14 +303,7 @@ VIEWS |= {
         CAST(19 + 2 * floor(CAST(tran_id AS BIGINT) / 40) AS INT),
         CASE CAST(tran_id AS BIGINT) % 3 WHEN 0 THEN 'ข้อมูลปกติ' WHEN 1 THEN '2) ข้อมูลอุทธรณ์' ELSE 'ผู้พิการ D1' END, NULL, NULL
         FROM {claims_core} WHERE CAST(floor(CAST(tran_id AS BIGINT) / 40) AS INT) % 25 = 7
-        UNION ALL
-        SELECT 'STM_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'ip' END || 'UCS2568'
-          || lpad(CAST(file_id % 12 + 1 AS STRING), 2, '0') || '_' || CAST(file_id AS STRING) || '.xls',
-        r.row, CASE r.row WHEN 1 THEN 'ออกรายงานวันที่ ' || lpad(CAST(file_id % 28 + 1 AS STRING), 2, '0') || '/03/2025 เวลา 14:05'
-          WHEN 3 THEN 'โรงพยาบาล 10670 รพ. ' || CAST(file_id AS STRING) WHEN 4 THEN 'จังหวัด 40 ขอนแก่น'
-          WHEN 6 THEN 'เลขที่เอกสาร DOC-' || CAST(file_id AS STRING) END, NULL, NULL
-        FROM (SELECT DISTINCT file_id FROM {claims_core}) f
-        JOIN (SELECT 1 AS row UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 6) r ON f.file_id >= 0""",
+        UNION ALL """ + " UNION ALL ".join(_STATEMENT_HEADS),
     "raw_transfers": """SELECT CAST(run_date AS STRING) AS runDt, posting_date AS postingDate, ref_doc_no AS refDocNo,
         CASE WHEN total_amount < 3000 THEN '' ELSE vendor_no END AS vndrNo, vendor_no, '  ' AS bankNm,
         CAST(total_amount AS STRING) AS total, CASE WHEN wait_amount = 0 THEN '-' ELSE CAST(wait_amount AS STRING) END AS wait,
