@@ -105,12 +105,9 @@ def _(t):
     return t.jobs.select("job_id", text.parse_json("parameters", "k bigint")["k"].alias("k"))
 
 
-_B = "CAST(bytes AS DOUBLE)"
-
-
 @query("sc14_human_size", f"""WITH x AS (SELECT p_partkey, CAST(p_partkey * p_partkey * 977 AS BIGINT) AS bytes FROM part)
-  SELECT p_partkey, CASE WHEN bytes < 1e3 THEN bytes || ' Bytes' WHEN bytes < 1e6 THEN printf('%.1f kB', bytes / 1e3) WHEN bytes < 1e9 THEN printf('%.1f MB', bytes / 1e6)
-  ELSE printf('%.1f GB', bytes / 1e9) END AS size FROM x""")
+  SELECT p_partkey, CASE WHEN bytes < 1e3 THEN bytes || ' Bytes' WHEN bytes < 1e6 THEN printf('%.1f kB', round(bytes / 1e3 + 1e-9, 1)) WHEN bytes < 1e9 THEN printf('%.1f MB', round(bytes / 1e6 + 1e-9, 1))
+  ELSE printf('%.1f GB', round(bytes / 1e9 + 1e-9, 1)) END AS size FROM x""")
 def _(t):
     return t.part.select("p_partkey", (F.col("p_partkey") * F.col("p_partkey") * 977).alias("bytes")).select("p_partkey", money.human_size("bytes").alias("size"))
 

@@ -1 +1,373 @@
-"""Placeholder."""
+"""Raw rows to typed rows, upserts and ledgers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import ingest, merge
+from ..session import fresh_path
+from ..sources import files
+from .base import d, n, query, s, txt
+
+F_ = ingest.Field
+CLAIM_LAYOUT = [
+    F_("seq", 0), F_("tran_id", 1, "id", 15), F_("hn", 2, "id", 15), F_("an", 3, "text", 15), F_("pid", 4, "id", 20), F_("file_type", 5),
+    F_("dateadm", 6, "timestamp"), F_("amount", 7, "number"), F_("amount0", 7, "number0"), F_("main_fund", 8, "text", 100), F_("extra", 40),
+]
+
+
+@query("ing01_discover")
+def _(t):
+    return files.discover(t.spark, t.folder, "*.parquet").select("filename", "size")
+
+
+_CLAIM_RE = "'^eclaim_(\\d+)_([A-Z_]+)_(\\d{8})_(\\d+)\\.xls'"
+_STM_RE = "'^STM_(\\d+)_(IP|OP)(UCS|OFC|SSS|LGO)(\\d{4})(\\d{2})_(\\d+)\\.xls'"
+
+
+def _grp(pattern: str, i: int, col: str = "filename", opt: str = "") -> str:
+    return f"nullif(regexp_extract({col}, {pattern}, {i}{opt}), '')"
+
+
+@query("ing02_claim_file_names", f"""SELECT filename, {_grp(_CLAIM_RE, 1)} AS hospital_code, {_grp(_CLAIM_RE, 2)} AS file_type, {_grp(_CLAIM_RE, 4)} AS sequence,
+  {txt(f"CASE WHEN {_grp(_CLAIM_RE, 3)} IS NOT NULL THEN strptime(CAST(CAST({_grp(_CLAIM_RE, 3)} AS BIGINT) - 5430000 AS VARCHAR), '%Y%m%d')::DATE END")} AS file_date
+  FROM (SELECT filename FROM ledger UNION ALL SELECT filename FROM stm_files)""")
+def _(t):
+    names = t.ledger.select("filename").unionByName(t.stm_files.select("filename"))
+    return ingest.parse_filename(names)
+
+
+@query("ing02_statement_file_names", f"""SELECT filename, {_grp(_STM_RE, 1, opt=", 'i'")} AS hospital_code, upper({_grp(_STM_RE, 2, opt=", 'i'")}) || '_STM' AS file_type,
+  upper({_grp(_STM_RE, 3, opt=", 'i'")}) AS scheme, CAST({_grp(_STM_RE, 4, opt=", 'i'")} AS INT) AS statement_year, CAST({_grp(_STM_RE, 5, opt=", 'i'")} AS INT) AS statement_month,
+  {_grp(_STM_RE, 6, opt=", 'i'")} AS sequence FROM (SELECT DISTINCT file AS filename FROM raw_statement UNION ALL SELECT filename FROM ledger)""")
+def _(t):
+    names = t.raw_statement.select(F.col("file").alias("filename")).distinct().unionByName(t.ledger.select("filename"))
+    return ingest.parse_filename(names, kind="statement")
+
+
+_HITS = " + ".join(f"CAST(contains(line, '{w}') AS INT)" for w in ingest.HEADER_WORDS)
+
+
+@query("ing03_detect_header", f"""SELECT file, CAST(CASE WHEN max(file LIKE '%ORF%') THEN 7 ELSE coalesce(min(CASE WHEN row < 10 AND {_HITS} >= 2 THEN row END), 5) END AS INT) AS header_row
+  FROM (SELECT file, row, concat_ws(' ', c0, c1, c2, c3, c4, c5, c6, c7, c8, c9) AS line FROM (SELECT * FROM raw_claims UNION ALL SELECT * FROM raw_headers)) GROUP BY 1""")
+def _(t):
+    return ingest.detect_header(t.raw_claims.unionByName(t.raw_headers))
+
+
+_EMPTY = "('', '-', 'N/A', 'n/a', 'nan', 'NaN')"
+
+
+def _cell(c: str) -> str:
+    line = f"list_filter(list_transform(string_split({c}, chr(10)), x -> trim(x)), x -> x <> '')[1]"
+    return f"CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END"
+
+
+def _idcell(c: str, w: int) -> str:
+    line = f"regexp_replace(list_filter(list_transform(string_split({c}, chr(10)), x -> trim(x)), x -> x <> '')[1], '\\.0$', '')"
+    return f"substr(CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END, 1, {w})"
+
+
+def _tscell(c: str) -> str:
+    return f"coalesce(try_strptime({_cell(c)}, '%d/%m/%Y %H:%M:%S'), try_strptime({_cell(c)}, '%d/%m/%Y'))"
+
+
+def _numcell(c: str) -> str:
+    return f"TRY_CAST(replace({_cell(c)}, ',', '') AS DECIMAL(15,2))"
+
+
+TYPED = f"""SELECT file, row, {_cell('c0')} AS seq, {_idcell('c1', 15)} AS tran_id, {_idcell('c2', 15)} AS hn, substr({_cell('c3')}, 1, 15) AS an, {_idcell('c4', 20)} AS pid,
+  {_cell('c5')} AS file_type, {txt(_tscell('c6'))} AS dateadm, {d(_numcell('c7'))} AS amount, {d(f'coalesce({_numcell("c7")}, 0)')} AS amount0,
+  substr({_cell('c8')}, 1, 100) AS main_fund, CAST(NULL AS VARCHAR) AS extra FROM raw_claims"""
+
+
+@query("ing04_positional", TYPED)
+def _(t):
+    return ingest.project_positional(t.raw_claims, CLAIM_LAYOUT)
+
+
+_NAMED = {"UCS": {"REP No.": "c1", "HN": "c2", "AMT": "c7"}, "LGO": {"REP": "c1", "HN": "c2", "FUND": "c8"}}
+
+
+@query("ing05_named", f"""SELECT file, row, {_idcell('c1', 15)} AS tran_id, {_idcell('c2', 15)} AS hn, {d(_numcell('c7'))} AS amount, CAST(NULL AS VARCHAR) AS main_fund FROM raw_claims WHERE row % 2 = 0
+  UNION ALL SELECT file, row, {_idcell('c1', 15)}, {_idcell('c2', 15)}, NULL, {_cell('c8')} FROM raw_claims WHERE row % 2 = 1""")
+def _(t):
+    fields = {
+        "UCS": [F_("tran_id", "REP No.", "id", 15), F_("hn", "HN", "id", 15), F_("amount", "AMT", "number")],
+        "LGO": [F_("tran_id", "REP", "id", 15), F_("hn", "HN", "id", 15), F_("main_fund", "FUND")],
+    }
+    out = []
+    for part, scheme in enumerate(("UCS", "LGO")):
+        raw = t.raw_claims.filter(F.col("row") % 2 == part)
+        named = raw.select("file", "row", *[F.col(c).alias(h) for h, c in _NAMED[scheme].items()])
+        out.append(ingest.project_named(named, fields[scheme]))
+    return out[0].unionByName(out[1], allowMissingColumns=True)
+
+
+@query("ing06_clean_cells", f"SELECT row, c0 AS raw, {_cell('c0')} AS c0, {_idcell('c1', 4)} AS c1, {_cell('c2')} AS c2, {_cell('c3')} AS c3, {_idcell('c4', 20)} AS c4 FROM raw_claims")
+def _(t):
+    c = text.clean_cell
+    return t.raw_claims.select(
+        "row", F.col("c0").alias("raw"), c("c0").alias("c0"), c("c1", 4, True).alias("c1"), c("c2").alias("c2"), c("c3").alias("c3"), c("c4", 20, True).alias("c4")
+    )
+
+
+@query("ing08_dates", f"""SELECT row, c1, {txt("coalesce(try_strptime(trim(c6), '%d/%m/%Y %H:%M:%S'), try_strptime(trim(c6), '%d/%m/%Y'))")} AS at FROM raw_claims""")
+def _(t):
+    return t.raw_claims.select("row", "c1", text.to_ts("c6").alias("at"))
+
+
+@query("ing08_slash_dates", f"""SELECT tran_id, {txt('dateadm')} AS from_be, {txt('dateadm')} AS from_ce, {txt('dateadm')} AS from_compact FROM claims_core""")
+def _(t):
+    day, y = F.col("dateadm"), F.year("dateadm")
+    be = F.concat(F.date_format(day, "d/M/"), (y + 543).cast("string"))
+    return t.claims_core.select(
+        "tran_id", text.slash_date(be).alias("from_be"), text.slash_date(F.date_format(day, "d/M/yyyy")).alias("from_ce"),
+        text.compact_date(F.date_format(day, "yyyyMMdd").cast("int")).alias("from_compact"),
+    )
+
+
+_REAL = "c1 IS NOT NULL AND trim(c1) <> '' AND upper(trim(c1)) <> 'TRAN_ID' AND NOT contains(c1, 'รวม')"
+
+
+@query("ing09_drop_junk", f"SELECT file, row, c0, c1 FROM raw_claims WHERE {_REAL} AND c0 IS NOT NULL AND trim(c0) <> ''")
+def _(t):
+    return ingest.drop_junk(t.raw_claims, "c1", first="c0").select("file", "row", "c0", "c1")
+
+
+_MARK = "CASE WHEN contains(c0, 'ข้อมูลปกติ') THEN 'normal' WHEN contains(c0, 'ข้อมูลอุทธรณ์') THEN 'appeal' WHEN contains(c0, 'ผู้พิการ D1') THEN 'disabled_d1' END"
+
+
+@query("ing10_tag_sections", f"""SELECT file, row, c0, data_type FROM (SELECT *, {_MARK} AS m, coalesce(last_value({_MARK} IGNORE NULLS) OVER (PARTITION BY file ORDER BY row
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'normal') AS data_type FROM raw_statement) WHERE m IS NULL""")
+def _(t):
+    return ingest.tag_sections(t.raw_statement).select("file", "row", "c0", "data_type")
+
+
+@query("ing11_scheme_of", """SELECT c5 AS file_type, CASE WHEN contains(upper(c5), 'LGO') THEN 'LGO' WHEN contains(upper(c5), 'SSS') THEN 'SSS' WHEN contains(upper(c5), 'OFC') THEN 'OFC'
+  ELSE 'UCS' END AS scheme, count(*) AS n FROM raw_claims GROUP BY 1, 2""")
+def _(t):
+    return t.raw_claims.groupBy(F.col("c5").alias("file_type"), text.scheme_of("c5").alias("scheme")).agg(F.count("*").alias("n"))
+
+
+def _at(row: int, pattern: str, group: int) -> str:
+    return f"max(CASE WHEN row = {row} THEN nullif(trim(regexp_extract(c0, '{pattern}', {group})), '') END)"
+
+
+@query("ing12_report_header", f"""SELECT file, {_at(3, 'โรงพยาบาล\\s+(\\d+)\\s+(.*)', 1)} AS hospital_code, {_at(3, 'โรงพยาบาล\\s+(\\d+)\\s+(.*)', 2)} AS hospital_name,
+  {_at(4, 'จังหวัด\\s+(\\d+)\\s+(.*)', 1)} AS province_code, {_at(4, 'จังหวัด\\s+(\\d+)\\s+(.*)', 2)} AS province_name, {_at(6, 'เลขที่เอกสาร\\s+(.+)', 1)} AS document_no,
+  CAST(strptime({_at(1, '(\\d{2}/\\d{2}/\\d{4})\\s+เวลา\\s+(\\d{2}:\\d{2})', 1)} || ' ' || {_at(1, '(\\d{2}/\\d{2}/\\d{4})\\s+เวลา\\s+(\\d{2}:\\d{2})', 2)}, '%d/%m/%Y %H:%M') AS VARCHAR) AS report_date
+  FROM raw_statement WHERE row <= 6 GROUP BY 1""")
+def _(t):
+    return ingest.report_header(t.raw_statement)
+
+
+@query("ing13_csv_round_trip", f"SELECT tran_id, {txt('dateadm')} AS dateadm, {txt('claim_drg')} AS claim_drg, main_fund FROM claims_core")
+def _(t):
+    path = fresh_path(t.spark, "claims-csv")
+    cols = t.claims_core.select(F.col("tran_id").alias(files.BOM + "tran_id"), "dateadm", "claim_drg", "main_fund")
+    cols.write.option("header", True).csv(path)
+    return files.read_csv(t.spark, path)
+
+
+@query("ing14_json_round_trip", f"SELECT refDocNo, total, vndrNo FROM raw_transfers")
+def _(t):
+    path = fresh_path(t.spark, "transfers-json")
+    docs = t.raw_transfers.groupBy(F.crc32("refDocNo") % 64).agg(F.collect_list(F.struct("refDocNo", "total", "vndrNo")).alias("datas")).select("datas")
+    files.write_json(docs, path)
+    return t.spark.read.schema("datas array<struct<refDocNo:string,total:string,vndrNo:string>>").json(path).select(F.explode("datas").alias("d")).select("d.*")
+
+
+@query("ing15_normalise_transfers", f"""SELECT runDt AS run_date, postingDate AS posting_date, refDocNo AS ref_doc_no, coalesce(nullif(vndrNo, ''), vendor_no) AS vendor_no, CAST(NULL AS VARCHAR) AS bank_name,
+  {d("CAST(total AS DECIMAL(15,2))")} AS total_amount, {d("coalesce(TRY_CAST(wait AS DECIMAL(15,2)), 0)")} AS wait_amount, pmntStts AS payment_status FROM raw_transfers""")
+def _(t):
+    return ingest.normalise_transfers(t.raw_transfers)
+
+
+_LAST = "row_number() OVER (PARTITION BY tran_id, row_number ORDER BY claim_amount DESC, item_code)"
+_TARGET = f"SELECT * FROM (SELECT tran_id, row_number, item_code, claim_amount, deny_code, {_LAST} AS rn FROM details_core) WHERE rn = 1 AND CAST(tran_id AS BIGINT) % 3 <> 0"
+_BATCH = "SELECT tran_id, row_number, item_code, claim_amount + 1 AS claim_amount, 'new' AS deny_code FROM details_core WHERE CAST(tran_id AS BIGINT) % 2 = 0"
+_BATCH1 = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tran_id, row_number ORDER BY claim_amount DESC, item_code) AS rn FROM ({_BATCH})) WHERE rn = 1"
+_KEYS = ["tran_id", "row_number"]
+
+
+def _parts(t):
+    cols = ["tran_id", "row_number", "item_code", "claim_amount", "deny_code"]
+    k, order = F.col("tran_id").cast("bigint"), [F.desc("claim_amount"), F.asc("item_code")]
+    target = merge.latest(t.details_core.select(*cols), _KEYS, order).filter(k % 3 != 0)
+    batch = t.details_core.select(*cols).filter(k % 2 == 0).withColumns({"claim_amount": (F.col("claim_amount") + 1).cast("decimal(15,2)"), "deny_code": F.lit("new")})
+    return target, batch, order
+
+
+_OUT = f"tran_id, row_number, item_code, {d('claim_amount')} AS claim_amount, deny_code"
+
+
+@query("ing16_upsert", f"""SELECT {_OUT} FROM ({_BATCH1}) UNION ALL SELECT {_OUT} FROM ({_TARGET}) x
+  WHERE NOT EXISTS (SELECT 1 FROM ({_BATCH1}) b WHERE b.tran_id = x.tran_id AND b.row_number = x.row_number)""")
+def _(t):
+    target, batch, order = _parts(t)
+    return merge.upsert(target, batch, _KEYS, order)
+
+
+@query("ing17_upsert_columns", f"""SELECT tran_id, row_number, coalesce(t.item_code, b.item_code) AS item_code, {d('coalesce(b.claim_amount, t.claim_amount)')} AS claim_amount,
+  CASE WHEN t.tran_id IS NULL THEN b.deny_code ELSE t.deny_code END AS deny_code FROM ({_TARGET}) t FULL JOIN ({_BATCH1}) b USING (tran_id, row_number)""")
+def _(t):
+    target, batch, order = _parts(t)
+    return merge.upsert_columns(target, batch, _KEYS, ["claim_amount"], order)
+
+
+@query("ing18_upsert_statements", f"""SELECT tran_id, file_id, {d('amt')} AS paid_after_deduction FROM (SELECT tran_id, file_id, CASE WHEN data_type = 'appeal' THEN paid_after_deduction + 5
+  ELSE paid_after_deduction END AS amt FROM stm_core)""")
+def _(t):
+    x = t.stm_core.select("tran_id", "file_id", "data_type", "paid_after_deduction")
+    batch = x.filter("data_type = 'appeal'").withColumn("paid_after_deduction", (F.col("paid_after_deduction") + 5).cast("decimal(15,2)"))
+    return merge.upsert(x, batch, ["file_id", "tran_id"], [F.desc("paid_after_deduction")]).drop("data_type")
+
+
+@query("ing19_replace_file", f"SELECT file_id, count(*) AS n, {s('claim_amount')} AS amount FROM details_core GROUP BY 1")
+def _(t):
+    rows = t.details_core.select("file_id", "tran_id", "claim_amount")
+    again = rows.filter("file_id IN (1, 2, 3)")
+    out = merge.replace_file(merge.replace_file(rows.filter("file_id <> 2"), again), again)
+    return out.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("claim_amount").alias("amount"))
+
+
+@query("ing20_receivable_net", f"SELECT file_id, data_type, patient_type, {d('coalesce(total_paid, 0) - coalesce(salary_deduction, 0) - coalesce(adjrw_paid_deduction, 0)')} AS net_receivable FROM receivables")
+def _(t):
+    return ingest.receivable_net(t.receivables).select("file_id", "data_type", "patient_type", "net_receivable")
+
+
+_DIMROWS = "SELECT CASE WHEN p_partkey % 50 = 1 THEN NULL ELSE lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS tmt_code, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 'new ' || p_name END AS generic_name FROM part WHERE p_partkey % 3 = 0"
+
+
+def _dim_rows(t):
+    k = F.col("p_partkey")
+    return t.part.filter(k % 3 == 0).select(
+        F.when(k % 50 != 1, text.pad(k, 6)).alias("tmt_code"), F.when(k % 9 != 0, F.concat(F.lit("new "), "p_name")).alias("generic_name")
+    )
+
+
+@query("ing21_load_dimension", f"""SELECT tmt_code, generic_name FROM ({_DIMROWS}) WHERE generic_name IS NOT NULL UNION ALL SELECT tmt_code, generic_name FROM drugs
+  WHERE tmt_code NOT IN (SELECT tmt_code FROM ({_DIMROWS}) WHERE generic_name IS NOT NULL AND tmt_code IS NOT NULL)""")
+def _(t):
+    return merge.load_dim(t.drugs.select("tmt_code", "generic_name"), _dim_rows(t), "tmt_code", "generic_name", "upsert", [F.asc("generic_name")])
+
+
+@query("ing21_load_counts", f"""SELECT CASE WHEN r.generic_name IS NULL THEN 'skipped' WHEN x.tmt_code IS NOT NULL THEN 'updated' ELSE 'imported' END AS outcome, count(*) AS count
+  FROM ({_DIMROWS}) r LEFT JOIN drugs x USING (tmt_code) GROUP BY 1""")
+def _(t):
+    return merge.delta_counts(t.drugs, _dim_rows(t), "tmt_code", "generic_name")
+
+
+@query("ing22_apply_delta", f"""SELECT tmt_code, CASE WHEN x.tmt_code IS NULL THEN 'delta' ELSE x.generic_name END AS generic_name, {d('coalesce(y.price, x.price)')} AS price
+  FROM drugs x FULL JOIN (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS tmt_code, CAST(p_size AS DECIMAL(15,2)) AS price FROM part WHERE p_partkey % 6 < 2) y USING (tmt_code)""")
+def _(t):
+    delta = t.part.filter("p_partkey % 6 < 2").select(text.pad("p_partkey", 6).alias("tmt_code"), F.lit("delta").alias("generic_name"), F.col("p_size").cast("decimal(15,2)").alias("price"))
+    return merge.apply_delta(t.drugs, delta, "tmt_code", ["price"], [F.asc("price")])
+
+
+@query("ing23_unwrap_formula", "SELECT hcode5 AS hcode5, hcode5 AS unwrapped, name AS plain FROM offices")
+def _(t):
+    wrapped = F.concat(F.lit('="'), "hcode5", F.lit('"'))
+    return t.offices.select("hcode5", text.unwrap_formula(wrapped).alias("unwrapped"), text.unwrap_formula("name").alias("plain"))
+
+
+@query("ing24_drug_names", """SELECT p_partkey, fsn, nullif(trim(regexp_extract(fsn, '\\(([a-zA-Z][a-zA-Z\\s\\-\\+]+?)\\s+([\\d\\.]+\\s*\\w+(?:/[\\d\\.]+\\s*\\w+)?)\\)', 1)), '') AS generic_name,
+  nullif(trim(regexp_extract(fsn, '\\(([a-zA-Z][a-zA-Z\\s\\-\\+]+?)\\s+([\\d\\.]+\\s*\\w+(?:/[\\d\\.]+\\s*\\w+)?)\\)', 2)), '') AS strength,
+  rtrim(trim(regexp_extract(fsn, '^([A-Z][A-Z0-9\\s\\-\\.%]+?)(?:\\s*\\(|$)', 1)), '.') AS trade_name,
+  nullif(trim(regexp_extract(fsn, '\\)\\s*([a-zA-Z][a-zA-Z\\s\\-]+?)(?:,\\s*\\d|\\s*\\((?:TPU|GPU|GPUID|VTM))', 1)), '') AS dosage_form,
+  nullif(trim(regexp_extract(fsn, ',\\s*([\\d\\.]+)\\s*([a-zA-Z]+(?:\\s+[a-zA-Z]+)?)\\s*\\((?:TPU|GPU)', 1)), '') AS package_size,
+  nullif(trim(regexp_extract(fsn, ',\\s*([\\d\\.]+)\\s*([a-zA-Z]+(?:\\s+[a-zA-Z]+)?)\\s*\\((?:TPU|GPU)', 2)), '') AS package_unit FROM drug_names""")
+def _(t):
+    return ingest.parse_drug_names(t.drug_names)
+
+
+@query("ing25_procedures", """SELECT substr(CASE WHEN NOT contains(code, '.') AND length(code) IN (3, 4) THEN substr(code, 1, 2) || '.' || substr(code, 3) ELSE code END, 1, 10) AS code, description
+  FROM (SELECT regexp_extract(trim(value), '^(\\d{2,4}\\.?\\d*)\\s+(.+)$', 1) AS code, substr(regexp_extract(trim(value), '^(\\d{2,4}\\.?\\d*)\\s+(.+)$', 2), 1, 500) AS description
+  FROM procedure_lines WHERE regexp_matches(trim(value), '^(\\d{2,4}\\.?\\d*)\\s+(.+)$'))""")
+def _(t):
+    return ingest.parse_procedures(t.procedure_lines)
+
+
+@query("ing26_diagnoses", "SELECT code, description FROM diagnoses WHERE kind <> 'HEADING' AND trim(code) <> ''")
+def _(t):
+    return ingest.diagnoses(t.diagnoses)
+
+
+@query("ing27_pending", "SELECT filename FROM stm_files WHERE status <> 'completed'")
+def _(t):
+    return merge.pending(t.stm_files.select("filename"), t.stm_files)
+
+
+@query("ing28_close_import", """WITH c AS (SELECT file_id, count(*) AS total, count(claim_drg) AS imported FROM claims_core WHERE file_id % 2 = 0 GROUP BY 1)
+  SELECT file_id, CASE WHEN total IS NULL THEN status WHEN imported = 0 THEN 'failed' WHEN total > imported THEN 'partial' ELSE 'completed' END AS status,
+  coalesce(total, total_records) AS total_records, coalesce(imported, imported_records) AS imported_records, coalesce(total - imported, failed_records) AS failed_records
+  FROM ledger LEFT JOIN c USING (file_id)""")
+def _(t):
+    counts = t.claims_core.filter("file_id % 2 = 0").groupBy("file_id").agg(F.count("*").alias("total"), F.count("claim_drg").alias("imported"))
+    return merge.close_import(t.ledger, counts).select("file_id", "status", "total_records", "imported_records", "failed_records")
+
+
+_BADNUM = f"({_cell('c7')} IS NOT NULL AND {_numcell('c7')} IS NULL)"
+
+
+@query("ing29_import_outcomes", f"""SELECT *, total - imported AS failed, CASE WHEN imported = 0 THEN 'failed' WHEN total > imported THEN 'partial' ELSE 'completed' END AS status
+  FROM (SELECT file, count(*) AS total, {n(f'NOT {_BADNUM}')} AS imported FROM raw_claims WHERE {_REAL} GROUP BY 1)""")
+def _(t):
+    return ingest.import_outcomes(t.raw_claims)
+
+
+@query("ing30_export_csv", f"SELECT tran_id, {txt('dateadm')} AS dateadm, {txt('claim_drg')} AS claim_drg FROM claims_core ORDER BY CAST(tran_id AS BIGINT) LIMIT 10000")
+def _(t):
+    path = fresh_path(t.spark, "export-csv")
+    rows = t.claims_core.withColumn("k", F.col("tran_id").cast("bigint"))
+    files.export_csv(rows, path, ["tran_id", "dateadm", "claim_drg"], ["k"], bom=True)
+    return files.read_csv(t.spark, path)
+
+
+@query("ing31_load_facts", "SELECT 'orders' AS fact, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def _(t):
+    from ..sources.tables import read_fact
+
+    def one(name):
+        return read_fact(t.spark, f"{t.folder}/{name}.parquet").agg(F.lit(name).alias("fact"), F.count("*").alias("n"))
+
+    return one("orders").unionByName(one("lineitem"))
+
+
+@query("ing32_delete_where", f"SELECT vendor_no, count(*) AS n FROM transfers_core WHERE vendor_no NOT IN ('10010', '0000010010') GROUP BY 1")
+def _(t):
+    return merge.delete_where(t.transfers_core, F.col("vendor_no").isin("10010", "0000010010")).groupBy("vendor_no").agg(F.count("*").alias("n"))
+
+
+@query("ing32_delete_counts", f"SELECT {n('vendor_no IN (chr(49) || chr(48) || chr(48) || chr(49) || chr(48))')} AS deleted, {n('vendor_no <> chr(49) || chr(48) || chr(48) || chr(49) || chr(48)')} AS kept FROM transfers_core")
+def _(t):
+    return merge.delete_counts(t.transfers_core, F.col("vendor_no") == "10010")
+
+
+@query("ing33_reload_details", f"SELECT file_id, count(*) AS n, {s('claim_amount')} AS amount FROM details_core WHERE file_id IN (SELECT file_id FROM ledger WHERE status = 'completed' AND file_type = 'IP') GROUP BY 1")
+def _(t):
+    return merge.reload_details(t.ledger, t.details_core).groupBy("file_id").agg(F.count("*").alias("n"), F.sum("claim_amount").alias("amount"))
+
+
+@query("ing34_migrate_history", """SELECT filename, download_type, file_size FROM downloads WHERE service_month <> 3
+  UNION ALL SELECT filename, 'rep', file_size + 1 FROM downloads WHERE service_month = 3""")
+def _(t):
+    path = fresh_path(t.spark, "history-json")
+    entry = F.struct(F.col("filename").alias("name"), (F.col("file_size") + 1).alias("size"), F.lit(None).cast("string").alias("type"))
+    old = t.downloads.filter("service_month IN (3, 4)").groupBy("fiscal_year").agg(F.collect_list(entry).alias("downloads"))
+    files.write_json(old, path)
+    history = t.spark.read.schema("downloads array<struct<name:string,size:bigint,type:string>>").json(path)
+    return merge.migrate_history(history, t.downloads.filter("service_month <> 3")).select("filename", "download_type", "file_size")
+
+
+@query("ing35_reset_failed", """SELECT filename, CASE WHEN download_status = 'failed' AND download_type = 'rep' THEN 'pending' ELSE download_status END AS download_status,
+  CASE WHEN download_status = 'failed' AND download_type = 'rep' THEN NULL ELSE error_message END AS error_message,
+  CASE WHEN download_status = 'failed' AND download_type = 'rep' THEN 0 ELSE retry_count END AS retry_count FROM downloads""")
+def _(t):
+    return merge.reset_failed(t.downloads, "rep").select("filename", "download_status", "error_message", "retry_count")
+
+
+@query("ing35_drop_stale", "SELECT filename FROM downloads WHERE download_status <> 'failed' AND file_exists")
+def _(t):
+    return merge.drop_missing_files(merge.delete_failed(t.downloads)).select("filename")

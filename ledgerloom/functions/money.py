@@ -81,7 +81,7 @@ def human_size(c: Column | str) -> Column:
     n = _c(c).cast("double")
 
     def unit(power: int, name: str) -> Column:
-        return F.concat(F.format_number(n / F.lit(10.0**power), "0.0"), F.lit(" " + name))
+        return F.format_string("%.1f " + name, F.round(n / F.lit(10.0**power), 1))
 
     return (
         F.when(n < 1e3, F.concat(_c(c).cast("bigint").cast("string"), F.lit(" Bytes")))
