@@ -59,12 +59,12 @@ _EMPTY = "('', '-', 'N/A', 'n/a', 'nan', 'NaN')"
 
 
 def _cell(c: str) -> str:
-    line = f"list_filter(list_transform(string_split({c}, chr(10)), x -> trim(x)), x -> x <> '')[1]"
+    line = f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]"
     return f"CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END"
 
 
 def _idcell(c: str, w: int) -> str:
-    line = f"regexp_replace(list_filter(list_transform(string_split({c}, chr(10)), x -> trim(x)), x -> x <> '')[1], '\\.0$', '')"
+    line = f"regexp_replace(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '\\.0$', '')"
     return f"substr(CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END, 1, {w})"
 
 

@@ -245,21 +245,24 @@ def benchmark_compare(metrics: DataFrame, targets: DataFrame, region: str, fy: i
     place = level or region
     t = targets.filter(F.col("region").isin(place, "national") & (F.col("fiscal_year") == fy))
     best = prefer(t, ["metric_name"], F.when(F.col("region") == place, 0).otherwise(1))
-    names = [m for m, _, _ in METRICS]
-    long = metrics.select(*[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in names]).unpivot([], names, "metric_name", "hospital_value")
+    own = [
+        F.struct(
+            F.lit(m).alias("metric_name"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("hospital_value"),
+            F.lit(sign).alias("sign"), F.lit(digits).alias("digits"),
+        )
+        for m, sign, digits in METRICS
+    ]
+    long = metrics.select(F.explode(F.array(*own)).alias("m")).select("m.*")
     rows = long.join(best.select("metric_name", F.col("value").cast("double").alias("benchmark_value")), "metric_name")
-    diff = F.col("hospital_value") - F.col("benchmark_value")
-    sign, digits = F.lit(0), F.lit(2)
-    for m, s, d in METRICS:
-        sign, digits = F.when(F.col("metric_name") == m, s).otherwise(sign), F.when(F.col("metric_name") == m, d).otherwise(digits)
+    diff, sign = F.col("hospital_value") - F.col("benchmark_value"), F.col("sign")
     return rows.withColumns(
         {
-            "difference": F.when(digits == 4, F.round(diff, 4)).otherwise(F.round(diff, 2)),
+            "difference": F.when(F.col("digits") == 4, F.round(diff, 4)).otherwise(F.round(diff, 2)),
             "difference_pct": F.when(sign == 0, ratio(diff, F.col("benchmark_value"), 1)),
             "status": F.when(diff > 0, "above").when(diff < 0, "below").otherwise("equal"),
             "is_good": F.when(sign != 0, diff * sign >= 0),
         }
-    )
+    ).drop("sign", "digits")
 
 
 def benchmark_score(comparison: DataFrame) -> DataFrame:
