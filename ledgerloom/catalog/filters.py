@@ -182,6 +182,12 @@ def _(t):
     return reports.latest_k_ascending(m, "month", 5)
 
 
+@query("tk03_order_by_expression", f"SELECT tran_id, {d('his_amount_diff')} AS his_amount_diff FROM claims_core WHERE his_amount_diff IS NOT NULL ORDER BY abs(claims_core.his_amount_diff) DESC, claims_core.dateadm DESC NULLS LAST, tran_id LIMIT 30")
+def _(t):
+    rows = t.claims_core.filter("his_amount_diff IS NOT NULL")
+    return rows.orderBy(F.abs("his_amount_diff").desc(), F.desc_nulls_last("dateadm"), "tran_id").limit(30).select("tran_id", "his_amount_diff")
+
+
 @query("tk04_rank_order", "SELECT severity, count(*) AS n FROM notices GROUP BY 1")
 def _(t):
     return reports.order_rank(t.notices.groupBy("severity").agg(F.count("*").alias("n")), "severity", ["critical", "warning", "info"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import money, text
 from ..operators import ingest, merge
 from ..session import fresh_path
 from ..sources import files
@@ -112,6 +112,12 @@ def _(t):
     )
 
 
+@query("ing07_numbers", f"""SELECT row, c1, CAST(TRY_CAST(trim(replace(c7, ',', '')) AS DECIMAL(15,2)) AS DOUBLE) AS claim, {d("coalesce(TRY_CAST(trim(replace(c7, ',', '')) AS DECIMAL(15,2)), 0)")} AS statement,
+  coalesce(CAST(trunc(TRY_CAST(trim(replace(c7, ',', '')) AS DOUBLE)) AS BIGINT), 0) AS whole FROM raw_claims""")
+def _(t):
+    return t.raw_claims.select("row", "c1", money.num("c7").alias("claim"), money.num0("c7").alias("statement"), money.whole0("c7").alias("whole"))
+
+
 @query("ing08_dates", f"""SELECT row, c1, {txt("coalesce(try_strptime(trim(c6), '%d/%m/%Y %H:%M:%S'), try_strptime(trim(c6), '%d/%m/%Y'))")} AS at FROM raw_claims""")
 def _(t):
     return t.raw_claims.select("row", "c1", text.to_ts("c6").alias("at"))
@@ -173,7 +179,8 @@ def _(t):
 @query("ing14_json_round_trip", f"SELECT refDocNo, total, vndrNo FROM raw_transfers")
 def _(t):
     path = fresh_path(t.spark, "transfers-json")
-    docs = t.raw_transfers.groupBy(F.crc32("refDocNo") % 64).agg(F.collect_list(F.struct("refDocNo", "total", "vndrNo")).alias("datas")).select("datas")
+    order = F.regexp_extract("refDocNo", r"D(\d+)-", 1).cast("bigint")  # a document holds the lines of 100 orders
+    docs = t.raw_transfers.groupBy(F.floor(order / 100)).agg(F.collect_list(F.struct("refDocNo", "total", "vndrNo")).alias("datas")).select("datas")
     files.write_json(docs, path)
     return t.spark.read.schema("datas array<struct<refDocNo:string,total:string,vndrNo:string>>").json(path).select(F.explode("datas").alias("d")).select("d.*")
 

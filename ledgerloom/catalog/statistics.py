@@ -44,7 +44,7 @@ def _(t):
     return outliers.outlier_counts(_stretched(t))
 
 
-@query("jn22_variance_outliers", f"""WITH v AS (SELECT *, claim_drg - reimb_nhso AS variance FROM claims_core WHERE claim_drg IS NOT NULL AND reimb_nhso IS NOT NULL)
+@query("jn23_variance_outliers", f"""WITH v AS (SELECT *, claim_drg - reimb_nhso AS variance FROM claims_core WHERE claim_drg IS NOT NULL AND reimb_nhso IS NOT NULL)
   SELECT {_SHOWN}, {d('claim_drg')} AS claim_drg, {d('reimb_nhso')} AS reimb_nhso, {d('paid')} AS paid, {d('variance')} AS variance FROM v
   WHERE abs(v.variance) > (SELECT CAST(sum(abs(variance)) AS DOUBLE) / count(*) * 3 FROM v) ORDER BY abs(v.variance) DESC, tran_id LIMIT 20""")
 def _(t):

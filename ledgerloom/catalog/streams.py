@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import joins, windows
 from ..session import fresh_path
 from ..sources.tables import VIEWS
 from ..streaming import jobs
@@ -38,12 +38,15 @@ def _(t):
     return jobs.current(t.spark, f"{out}/table", ["event_id"])
 
 
-@query("str02_log_rates", f"{_HOUR} GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_MARK}".replace("GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR", "GROUP BY date_trunc('hour', ts), status, action HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR"))
+_PER_HOUR = f"{_HOUR} GROUP BY date_trunc('hour', ts), status, action"
+
+
+@query("str02_log_rates", f"{_PER_HOUR} HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_MARK}")
 def _(t):
     return jobs.collect_stream(t.spark, jobs.log_rates(_audit(t)), "log-rates")
 
 
-@query("str02_log_rates_batch", f"{_HOUR} GROUP BY date_trunc('hour', ts), status, action")
+@query("str02_log_rates_batch", _PER_HOUR)
 def _(t):
     return jobs.log_rates(_audit_batch(t))
 
@@ -88,7 +91,7 @@ def _(t):
 
 @query("str05_sessions_batch", _SESS)
 def _(t):
-    return jobs.sessions(_audit_batch(t), "2 hours")
+    return windows.gap_sessions(t.audit, "user_id", "ts", 7200)
 
 
 @query("str06_latest_stream", f"SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")

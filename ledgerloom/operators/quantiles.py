@@ -37,15 +37,14 @@ def exact_quantiles(df: DataFrame, col: Column | str, probs: Sequence[float], sc
     rows = df.select((value * 10**scale).cast("bigint").alias("u")).filter(F.col("u").isNotNull())
     rows = rows.withColumn("cell", F.shiftright("u", _BITS))
     cells = rows.groupBy(F.shiftright("cell", _BITS).alias("top"), "cell").agg(F.count("*").alias("k"))
-    n = cells.agg(F.sum("k")).scalar()
 
     # Rows below each top-level cell, then below each cell.
     tops = cells.groupBy("top").agg(F.sum("k").alias("k"))
     before = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("top", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
+    tops = tops.select("top", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"), F.sum("k").over(Window.partitionBy()).alias("n"))
     upto = Window.partitionBy("top").orderBy("cell")
     spans = cells.join(F.broadcast(tops), "top").withColumn("hi", F.col("base") + F.sum("k").over(upto))
-    spans = spans.withColumn("lo", F.col("hi") - F.col("k")).withColumn("all_targets", _targets(probs, n))
+    spans = spans.withColumn("lo", F.col("hi") - F.col("k")).withColumn("all_targets", _targets(probs, F.col("n")))
     spans = spans.withColumn("targets", _inside("all_targets"))
     held = spans.filter(F.size("targets") > 0).select("cell", "targets", F.col("lo").alias("below"))
 

@@ -80,6 +80,26 @@ def trailing_count(df: DataFrame, by: str, ts: str, seconds: int, out: str = "n_
     return df.join(counted, (F.col(by) == F.col("_by")) & (F.col(ts) == F.col("_ts")), "left").drop("_by", "_ts")
 
 
+def gap_sessions(df: DataFrame, by: str, ts: str, gap: int) -> DataFrame:
+    """Sessions per key: a row within ``gap`` seconds of the one before it continues the session.
+
+    Rows of one key in the same ``gap``-wide block always share a session, so each block is first
+    reduced to its first and last time and its count.  Only blocks, whose number depends on the
+    time covered and not on the rows, are put in order per key.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    width = gap * 1_000_000
+    blocks = df.withColumn("_us", us).groupBy(by, F.floor(F.col("_us") / width).alias("_b")).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.min("_us").alias("_a"), F.max("_us").alias("_z"), F.count("*").alias("_n")
+    )
+    w = Window.partitionBy(by).orderBy("_b")
+    opens = F.coalesce((F.col("_a") - F.lag("_z").over(w) >= width).cast("int"), F.lit(1))
+    runs = blocks.withColumn("_open", opens).withColumn("_run", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(by, "_run").agg(
+        F.min("_first").alias("session_start"), (F.max("_last") + F.expr(f"INTERVAL '{gap}' SECOND")).alias("session_end"), F.sum("_n").alias("events")
+    ).drop("_run")
+
+
 def fill_down(df: DataFrame, by: str, order: str, value: Column, out: str, default: str | None = None, block: int = 50_000) -> DataFrame:
     """Carry the last non-null ``value`` down the rows of each ``by`` in integer ``order``.
 
@@ -87,8 +107,7 @@ def fill_down(df: DataFrame, by: str, order: str, value: Column, out: str, defau
     over the (few) blocks of a key, and joined back, so one very long file is not one task.
     """
     rows = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / block).cast("bigint"))
-    last_of_block = rows.filter(F.col("_v").isNotNull()).groupBy(by, "_b").agg(F.max_by("_v", order).alias("_last"))
-    blocks = rows.groupBy(by, "_b").agg(F.lit(1).alias("_one")).drop("_one").join(last_of_block, [by, "_b"], "left")
+    blocks = rows.groupBy(by, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
     inside = Window.partitionBy(by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
