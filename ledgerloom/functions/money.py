@@ -14,7 +14,7 @@ def _c(c: Column | str) -> Column:
 
 def num(c: Column | str, type: str = "decimal(15,2)") -> Column:
     """Text to number: commas and outer blanks dropped, anything unreadable is null."""
-    return F.trim(F.regexp_replace(_c(c), ",", "")).try_cast(type)
+    return F.trim(F.replace(_c(c), F.lit(","), F.lit(""))).try_cast(type)
 
 
 def num0(c: Column | str, type: str = "decimal(15,2)") -> Column:

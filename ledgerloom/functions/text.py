@@ -129,8 +129,8 @@ def digest(c: Column | str, algorithm: str = "sha256") -> Column:
 
 def clean_cell(c: Column | str, width: int | None = None, is_id: bool = False) -> Column:
     """One spreadsheet cell: first non-blank line, trimmed, empty markers to null, cut to width."""
-    lines = F.filter(F.transform(F.split(_c(c), "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    text = F.get(lines, F.lit(0))
+    # Blanks and line ends before the first text are dropped, so the first line is the wanted one.
+    text = F.trim(F.substring_index(F.ltrim(_c(c), F.lit(" \t\r\n")), "\n", 1), F.lit(" \t\r"))
     if is_id:
         text = F.regexp_replace(text, r"\.0$", "")
     text = F.when(~text.isin(EMPTY_CELLS), text)

@@ -15,13 +15,18 @@ from .reports import topk
 
 
 def transfer_summary(smt: DataFrame) -> DataFrame:
-    """Totals overall, by fund, by fund group and by month from one grouping-sets scan."""
-    rows = smt.select("fund_name", "fund_group_desc", prefix(posting_key("posting_date"), 6).alias("month_be"), "total_amount", "wait_amount", "debt_amount")
+    """Totals overall, by fund, by fund group and by month.
+
+    Rows are summed once per (fund, group, month); the four levels are rolled up from those sums.
+    """
+    month = prefix(posting_key("posting_date"), 6).alias("month_be")
+    sums = ("total_amount", "wait_amount", "debt_amount")
+    cells = smt.groupBy("fund_name", "fund_group_desc", month).agg(F.count("*").alias("records"), *[total(c).alias(c) for c in sums])
     keys = [F.col("fund_name"), F.col("fund_group_desc"), F.col("month_be")]
-    out = rows.groupingSets([[], [keys[0]], [keys[1]], [keys[2]]], *keys).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("records"), total("total_amount").alias("total_amount"),
-        total("wait_amount").alias("wait_amount"), total("debt_amount").alias("debt_amount"),
+    out = cells.groupingSets([[], [keys[0]], [keys[1]], [keys[2]]], *keys).agg(
+        F.grouping_id().alias("gid"), F.sum("records").alias("records"), *[total(c).alias(c) for c in sums]
     )
+    out = out.withColumn("records", F.coalesce("records", F.lit(0)))
     # A bit is 1 where the column is rolled up: 011 fund, 101 group, 110 month, 111 all.
     level = F.when(F.col("gid") == 3, "fund").when(F.col("gid") == 5, "group").when(F.col("gid") == 6, "month").otherwise("total")
     return out.select(level.alias("level"), F.coalesce(*keys).alias("key"), "records", "total_amount", "wait_amount", "debt_amount")
@@ -115,7 +120,8 @@ def job_stats(jobs: DataFrame, days: int, as_of: dt.datetime) -> DataFrame:
 def office_stats(offices: DataFrame, provinces: int = 10) -> DataFrame:
     """Facilities by status, level and region, and the largest provinces."""
     keys = [F.col(c) for c in ("status", "hospital_level", "health_region", "province")]
-    n = offices.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("gid"), F.count("*").alias("count"))
+    cells = offices.groupBy(*keys).agg(F.count("*").alias("n"))
+    n = cells.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("gid"), F.sum("n").alias("count"))
     # A bit is 1 where the column is rolled up, first column highest.
     which = F.when(F.col("gid") == 7, "status").when(F.col("gid") == 11, "level").when(F.col("gid") == 13, "region").otherwise("province")
     flat = n.select(which.alias("facet"), F.coalesce(*keys).alias("value"), "count")

@@ -340,13 +340,15 @@ def financial_breakdown(claims: DataFrame) -> DataFrame:
         (z("iphc") + z("ophc")).alias("hc"), (z("ae_opae") + z("ae_ipnb") + z("ae_ipuc")).alias("ae"),
         (z("inst") + z("opinst")).alias("prosthetics"), z("drug").alias("drug"),
     )
-    sums = [
-        F.count("*").alias("total_cases"), total("hc").alias("high_cost_care"), total("ae").alias("emergency"),
-        total("prosthetics").alias("prosthetics"), total("drug").alias("drug_costs"),
-        total("claim_net").alias("total_claimed"), total("reimb_nhso").alias("total_reimbursed"),
-    ]
+    names = {
+        "high_cost_care": "hc", "emergency": "ae", "prosthetics": "prosthetics", "drug_costs": "drug",
+        "total_claimed": "claim_net", "total_reimbursed": "reimb_nhso",
+    }
     keys = [F.col("main_inscl"), F.col("ptype")]
-    out = rows.groupingSets([keys, []], *keys).agg(F.grouping_id().alias("gid"), *sums)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("total_cases"), *[total(c).alias(n) for n, c in names.items()])
+    out = groups.groupingSets([keys, []], *keys).agg(
+        F.grouping_id().alias("gid"), F.coalesce(F.sum("total_cases"), F.lit(0)).alias("total_cases"), *[total(n).alias(n) for n in names]
+    )
     leaf = F.col("gid") == 0
     return out.withColumns(
         {
@@ -426,12 +428,11 @@ def his_list(claims: DataFrame, threshold: float = 0, k: int = 50) -> DataFrame:
 def filter_options(claims: DataFrame, k: int = 20) -> DataFrame:
     """Choices with counts: schemes, service types and the most used funds.
 
-    One grouping-sets scan counts all three columns.
+    Rows are counted once per combination; the three lists are rolled up from those counts.
     """
-    cols = [F.col("scheme"), F.coalesce("service_type", F.lit("")).alias("service_type"), F.col("main_fund")]
-    rows = claims.select(*cols)
+    cells = claims.groupBy("scheme", F.coalesce("service_type", F.lit("")).alias("service_type"), "main_fund").agg(F.count("*").alias("n"))
     keys = [F.col("scheme"), F.col("service_type"), F.col("main_fund")]
-    n = rows.groupingSets([[keys[0]], [keys[1]], [keys[2]]], *keys).agg(F.grouping_id().alias("gid"), F.count("*").alias("count"))
+    n = cells.groupingSets([[keys[0]], [keys[1]], [keys[2]]], *keys).agg(F.grouping_id().alias("gid"), F.sum("n").alias("count"))
     # A bit is 1 where the column is rolled up: 011 scheme, 101 service type, 110 fund.
     which = F.when(F.col("gid") == 3, "scheme").when(F.col("gid") == 5, "service_type").otherwise("fund")
     flat = n.select(which.alias("option"), F.coalesce("scheme", "service_type", "main_fund").alias("value"), "count")
@@ -636,12 +637,12 @@ def denial_export(claims: DataFrame) -> DataFrame:
 def external_summary(claims: DataFrame) -> DataFrame:
     """Totals and match rate overall and by the batch number's first three characters."""
     rows = claims.withColumn("code", F.coalesce(F.upper(prefix("rep_no", 3)), F.lit("UNKNOWN")))
-    out = rows.groupingSets([[F.col("code")], []], F.col("code"))
     hit = F.coalesce(F.col("his_matched"), F.lit(False))
-    out = out.agg(
-        F.grouping("code").alias("g"), F.count("*").alias("total_claims"), total("claim_net").alias("total_amount"),
-        F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"),
+    cells = rows.groupBy("code").agg(
+        F.count("*").alias("total_claims"), total("claim_net").alias("total_amount"), F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"),
     )
+    names = ("total_claims", "total_amount", "matched", "unmatched")
+    out = cells.groupingSets([[F.col("code")], []], F.col("code")).agg(F.grouping("code").alias("g"), *[total(c).alias(c) for c in names])
     return out.withColumns(
         {"code": F.when(F.col("g") == 1, "ALL").otherwise(F.col("code")), "match_rate": ratio(F.col("matched"), F.col("total_claims"), 4, 1)}
     ).drop("g")
