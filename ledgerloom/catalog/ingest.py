@@ -342,6 +342,13 @@ def _(t):
     return one("orders").unionByName(one("lineitem"))
 
 
+@query("ing31_month_folders", f"SELECT tran_id, {txt('dateadm')} AS dateadm, {d('claim_drg')} AS claim_drg FROM claims_core WHERE claims_core.dateadm BETWEEN DATE '1998-10-01' AND DATE '1999-09-30'")
+def _(t):
+    path = fresh_path(t.spark, "claims-by-month")
+    files.write_fact(t.claims_core.select("tran_id", "dateadm", "claim_drg"), path)
+    return files.read_months(t.spark, path, "1998-10", "1999-09").drop("month")
+
+
 @query("ing32_delete_where", f"SELECT vendor_no, count(*) AS n FROM transfers_core WHERE vendor_no NOT IN ('10010', '0000010010') GROUP BY 1")
 def _(t):
     return merge.delete_where(t.transfers_core, F.col("vendor_no").isin("10010", "0000010010")).groupBy("vendor_no").agg(F.count("*").alias("n"))

@@ -148,20 +148,26 @@ def claim_records(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFram
 def exists_counts(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFrame:
     """How many claims have a statement within ``tol`` and how many have one beyond it.
 
-    Both sides are first reduced to distinct (claim, amount) pairs with counts, so copies of one
-    claim meet as one row.
+    A claim's statements are reduced to the lowest and highest amount per step of ``tol``.  An amount
+    in the claim's own step is near; in the step below only the highest can be, in the step above
+    only the lowest.  So a claim meets at most three rows, however many statements it has.
     """
+    step = F.lit(tol).cast("decimal(10,4)")
     rep = claims.groupBy("tran_id", zero("reimb_nhso").alias("rep")).agg(F.count("*").alias("n"))
-    pay = stm.select("tran_id", zero("paid_after_deduction").alias("pay")).distinct()
-    near = F.abs(F.col("pay") - F.col("rep")) < tol
-    each = rep.join(pay, "tran_id", "left").groupBy("tran_id", "rep", "n").agg(
-        F.bool_or(near).alias("near"), F.bool_or(~near).alias("far")
-    )
+    pay = stm.filter(F.col("tran_id").isNotNull()).withColumn("pay", zero("paid_after_deduction"))
+    span = pay.groupBy("tran_id", F.floor(F.col("pay") / step).cast("bigint").alias("step")).agg(F.min("pay").alias("lo"), F.max("pay").alias("hi"))
+    home = F.floor(F.col("rep") / step).cast("bigint")
+    tries = rep.withColumn("step", F.explode(F.sequence(home - 1, home + 1)))
+    below, above = F.col("step") < home, F.col("step") > home
+    near = F.when(below, F.col("rep") - F.col("hi") < step).when(above, F.col("lo") - F.col("rep") < step).otherwise(F.col("lo").isNotNull())
+    close = tries.join(span, ["tran_id", "step"], "left").groupBy("tran_id", "rep", "n").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("near"))
+    ends = span.groupBy("tran_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    far = F.coalesce((F.col("rep") - F.col("lo") >= step) | (F.col("hi") - F.col("rep") >= step), F.lit(False))
     n = F.col("n")
-    out = each.agg(
-        F.sum(n).alias("total"),
+    out = close.join(ends, "tran_id", "left").agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("near"), n)), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum(F.when(F.col("far"), n)), F.lit(0)).alias("diff_amount"),
+        F.coalesce(F.sum(F.when(far, n)), F.lit(0)).alias("diff_amount"),
     )
     return out.withColumn("rep_only", F.col("total") - F.col("matched") - F.col("diff_amount"))
 

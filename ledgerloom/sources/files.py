@@ -58,3 +58,26 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
+
+
+def write_fact(df: DataFrame, path: str, date_col: str = "dateadm") -> None:
+    """A fact as Parquet folders per month.
+
+    Rows are rebalanced by month first: a busy month becomes several files of a good size and quiet
+    months share a task, instead of every task writing a sliver of every month.
+    """
+    month = F.coalesce(F.date_format(date_col, "yyyy-MM"), F.lit("none"))
+    df.withColumn("month", month).hint("rebalance", "month").write.mode("errorifexists").partitionBy("month").parquet(path)
+
+
+def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Only the folders from ``first`` to ``last`` (``yyyy-MM``) are listed and read."""
+    return spark.read.parquet(path).filter(F.col("month").between(first, last))
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """A table hashed and sorted by its join key: feeds bucketed alike join without a shuffle.
+
+    The key is hashed before the write so that each bucket is one file.
+    """
+    df.repartition(buckets, key).write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)

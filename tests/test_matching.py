@@ -50,6 +50,19 @@ def test_exists_counts_with_copies(spark):
     assert (row.total, row.matched, row.diff_amount) == (6, 5, 5)
 
 
+def test_exists_counts_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(5)
+    amount = lambda: f"{rnd.randrange(-300, 900) / 100:.2f}"
+    left = [(rnd.choice("aaab"), amount()) for _ in range(300)] + [("z", "1.00")]
+    right = [(rnd.choice("aaabc"), amount()) for _ in range(25)]
+    row = joins.exists_counts(claims(spark, left), stm(spark, right)).first()
+    near = sum(any(k == q and abs(D(a) - D(b)) < 1 for q, b in right) for k, a in left)
+    far = sum(any(k == q and abs(D(a) - D(b)) >= 1 for q, b in right) for k, a in left)
+    assert (row.total, row.matched, row.diff_amount) == (301, near, far)
+
+
 def test_either_code(spark):
     smt = spark.createDataFrame([("0000000000", 1), ("0000010670", 2), ("10670", 3), ("99", 4)], "vendor_no string, n int")
     dim = spark.createDataFrame([("10670", "A"), ("0000010670", "B")], "hcode5 string, name string")

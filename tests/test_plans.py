@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import filters, windows
 from ledgerloom.plans import reports
+from ledgerloom.session import fresh_path
+from ledgerloom.sources import files
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -36,3 +39,26 @@ def test_batches_need_one_shuffle_and_no_join(tables):
 
     text = plan(reconcile_batches(tables.claims_core.withColumn("rep_no", F.col("hn")), tables.stm_core.withColumn("rep_no", F.col("hn"))))
     assert "Join" not in text and text.count("Exchange") == 1
+
+
+def test_months_are_pruned(spark, tables):
+    path = fresh_path(spark, "months")
+    files.write_fact(tables.claims_core.select("tran_id", "dateadm"), path)
+    assert "PartitionFilters: [isnotnull(month" in plan(files.read_months(spark, path, "1999-01", "1999-03"))
+    assert spark.read.parquet(path).count() == tables.claims_core.count()
+
+
+def test_bucketed_feeds_join_without_a_shuffle(spark, tables):
+    from ledgerloom.operators.joins import reconcile
+
+    for name, df in (("b_claims", tables.claims_core), ("b_stm", tables.stm_core)):
+        files.write_bucketed(df.drop("rep_no"), name, fresh_path(spark, name), "tran_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = reconcile(spark.table("b_claims"), spark.table("b_stm"))
+        assert "Exchange" not in plan(rows)
+        assert rows.count() == reconcile(tables.claims_core, tables.stm_core).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("b_claims", "b_stm"):
+            spark.sql(f"DROP TABLE {name}")
