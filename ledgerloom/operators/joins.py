@@ -148,28 +148,36 @@ def claim_records(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFram
 def exists_counts(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFrame:
     """How many claims have a statement within ``tol`` and how many have one beyond it.
 
-    A claim's statements are reduced to the lowest and highest amount per step of ``tol``.  An amount
-    in the claim's own step is near; in the step below only the highest can be, in the step above
-    only the lowest.  So a claim meets at most three rows, however many statements it has.
+    The lowest and highest amount of a claim's statements settle most claims.  Where they differ, the
+    amounts are reduced to the lowest and highest per step of ``tol``: in the claim's own step any
+    amount is near, in the step below only the highest can be, in the step above only the lowest.
+    So a claim meets at most three rows, however many statements it has.
     """
     step = F.lit(tol).cast("decimal(10,4)")
     rep = claims.groupBy("tran_id", zero("reimb_nhso").alias("rep")).agg(F.count("*").alias("n"))
     pay = stm.filter(F.col("tran_id").isNotNull()).withColumn("pay", zero("paid_after_deduction"))
-    span = pay.groupBy("tran_id", F.floor(F.col("pay") / step).cast("bigint").alias("step")).agg(F.min("pay").alias("lo"), F.max("pay").alias("hi"))
-    home = F.floor(F.col("rep") / step).cast("bigint")
-    tries = rep.withColumn("step", F.explode(F.sequence(home - 1, home + 1)))
-    below, above = F.col("step") < home, F.col("step") > home
-    near = F.when(below, F.col("rep") - F.col("hi") < step).when(above, F.col("lo") - F.col("rep") < step).otherwise(F.col("lo").isNotNull())
-    close = tries.join(span, ["tran_id", "step"], "left").groupBy("tran_id", "rep", "n").agg(F.bool_or(F.coalesce(near, F.lit(False))).alias("near"))
-    ends = span.groupBy("tran_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    far = F.coalesce((F.col("rep") - F.col("lo") >= step) | (F.col("hi") - F.col("rep") >= step), F.lit(False))
-    n = F.col("n")
-    out = close.join(ends, "tran_id", "left").agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(F.col("near"), n)), F.lit(0)).alias("matched"),
-        F.coalesce(F.sum(F.when(far, n)), F.lit(0)).alias("diff_amount"),
-    )
-    return out.withColumn("rep_only", F.col("total") - F.col("matched") - F.col("diff_amount"))
+    ends = pay.groupBy("tran_id").agg(F.min("pay").alias("first"), F.max("pay").alias("last"))
+    c = F.col
+    each = rep.join(ends, "tran_id", "left")
+    far = (c("rep") - c("first") >= step) | (c("last") - c("rep") >= step)
+
+    def counts(df: DataFrame, near: Column) -> DataFrame:
+        def of(cond: Column) -> Column:
+            return F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0))
+
+        return df.agg(of(F.lit(True)).alias("total"), of(near).alias("matched"), of(far).alias("diff_amount"))
+
+    alone = c("first").isNull() | (c("first") == c("last"))
+    settled = counts(each.filter(alone), F.abs(c("rep") - c("first")) < step)
+
+    home = F.floor(c("rep") / step).cast("bigint")
+    span = pay.groupBy("tran_id", F.floor(c("pay") / step).cast("bigint").alias("step")).agg(F.min("pay").alias("lo"), F.max("pay").alias("hi"))
+    tries = each.filter(~alone).withColumn("step", F.explode(F.sequence(home - 1, home + 1))).join(span, ["tran_id", "step"], "left")
+    close = F.when(c("step") < home, c("rep") - c("hi") < step).when(c("step") > home, c("lo") - c("rep") < step).otherwise(c("lo").isNotNull())
+    open_ = tries.groupBy("tran_id", "rep", "n", "first", "last").agg(F.bool_or(F.coalesce(close, F.lit(False))).alias("near"))
+    both = settled.unionByName(counts(open_, c("near")))
+    out = both.agg(*[F.sum(k).alias(k) for k in ("total", "matched", "diff_amount")])
+    return out.withColumn("rep_only", c("total") - c("matched") - c("diff_amount"))
 
 
 def statement_view(stm: DataFrame, claims: DataFrame, files: DataFrame, tol: float = 1) -> DataFrame:

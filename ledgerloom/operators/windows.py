@@ -62,22 +62,22 @@ def change_between_months(monthly: DataFrame, month: str, value: str, keep: int
 def trailing_count(df: DataFrame, by: str, ts: str, seconds: int, out: str = "n_recent") -> DataFrame:
     """For each row, how many rows of the same key fall in ``(ts - seconds, ts]``, peers included.
 
-    Rows are first counted per distinct time.  A time belongs to the block ``ts / seconds`` and is
-    also lent to the next block, so each block alone can answer for its own times and a busy key is
-    spread over as many tasks as it has blocks.
+    Every row adds one at its time and takes it back ``seconds`` later, so the answer is a running
+    sum, which costs one pass where a sliding frame would recount itself at every row.  The sum is
+    taken inside blocks of ``seconds`` and the total of the earlier blocks is joined on, so a busy
+    key is spread over as many tasks as it has blocks.  A null key has no peers and counts 0.
     """
     width = seconds * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    per_time = df.groupBy(by, ts).agg(F.count("*").alias("_n")).withColumn("_us", us)
-    home = F.floor(F.col("_us") / width).cast("bigint")
-    lent = per_time.withColumn("_home", home).withColumn("_block", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = Window.partitionBy(by, "_block").orderBy("_us").rangeBetween(-(width - 1), 0)
-    counted = (
-        lent.withColumn(out, F.sum("_n").over(w))
-        .filter(F.col("_block") == F.col("_home"))
-        .select(F.col(by).alias("_by"), F.col(ts).alias("_ts"), out)
-    )
-    return df.join(counted, (F.col(by) == F.col("_by")) & (F.col(ts) == F.col("_ts")), "left").drop("_by", "_ts")
+    rows = df.withColumns({"_us": us, "_d": F.lit(1)})
+    gone = df.select(by, (us + width).alias("_us"), F.lit(-1).alias("_d"))
+    steps = rows.unionByName(gone, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_us") / width))
+    earlier = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = steps.groupBy(by, "_b").agg(F.sum("_d").alias("_t")).withColumn("_carry", F.sum("_t").over(earlier)).drop("_t")
+    upto = Window.partitionBy(by, "_b").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    n = F.sum("_d").over(upto) + F.coalesce("_carry", F.lit(0))
+    counted = steps.join(carry, [by, "_b"], "left").withColumn(out, F.when(F.col(by).isNull(), F.lit(0)).otherwise(n).cast("bigint"))
+    return counted.filter(F.col("_d") == 1).select(*df.columns, out)
 
 
 def gap_sessions(df: DataFrame, by: str, ts: str, gap: int) -> DataFrame:
