@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,19 @@ def with_tables(sql: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+@lru_cache(maxsize=8)
+def _tables(spark: SparkSession, folder: str) -> Tables:
+    """One set of views per session and folder, so that a view is analysed once and not per query."""
+    return Tables(spark, folder)
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of :class:`Tables`; its frame is returned in plain types."""
 
     def add(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: present(fn(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: present(fn(_tables(spark, folder)))
         if sql is not None:
             ORACLES[name] = with_tables(sql)
         return fn

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from ..plans import denial_model, outliers
-from .base import AS_OF, AS_OF_SQL, YM, d, hu, n, query, s, txt
+from .base import AS_OF, AS_OF_SQL, YM, _tables, d, hu, n, query, s, txt
 
 _STATS = """SELECT CAST(sum(claim_drg) AS DOUBLE) / count(claim_drg) AS mean, stddev_samp(CAST(claim_drg AS DOUBLE)) AS std, CAST(min(claim_drg) AS DOUBLE) AS min, CAST(max(claim_drg) AS DOUBLE) AS max,
   count(claim_drg) AS n, quantile_cont(CAST(claim_drg AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(claim_drg AS DOUBLE), 0.5) AS median, quantile_cont(CAST(claim_drg AS DOUBLE), 0.75) AS q3 FROM claims_core"""
@@ -98,9 +98,7 @@ def _(t):
 # One fitted model per folder serves the queries below; fitting is the costly part.
 @lru_cache(maxsize=4)
 def _fitted(spark, folder: str, with_error: bool):
-    from ..sources.tables import Tables
-
-    train, _ = denial_model.split(denial_model.training_frame(Tables(spark, folder).claims_core))
+    train, _ = denial_model.split(denial_model.training_frame(_tables(spark, folder).claims_core))
     return denial_model.train(train, with_error)
 
 

@@ -37,10 +37,9 @@ def minus_days(c: Column | str, n: int) -> Column:
 def be_to_date(c: Column | str) -> Column:
     """``yyyyMMdd`` in the Buddhist era to a date; null when malformed or impossible."""
     text = _c(c)
-    shifted = F.concat(
-        F.lpad((F.substring(text, 1, 4).try_cast("int") - ERA).cast("string"), 4, "0"), F.substring(text, 5, 4)
-    )
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(shifted, F.lit("yyyyMMdd")).cast("date"))
+    year = F.lpad((F.substring(text, 1, 4).try_cast("int") - ERA).cast("string"), 4, "0")
+    iso = F.concat(year, F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2))
+    return F.when(text.rlike(r"^\d{8}$"), iso.try_cast("date"))
 
 
 def to_be_month(c: Column | str) -> Column:

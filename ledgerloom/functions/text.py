@@ -128,19 +128,26 @@ def digest(c: Column | str, algorithm: str = "sha256") -> Column:
 
 
 def clean_cell(c: Column | str, width: int | None = None, is_id: bool = False) -> Column:
-    """One spreadsheet cell: first non-blank line, trimmed, empty markers to null, cut to width."""
-    # Blanks and line ends before the first text are dropped, so the first line is the wanted one.
-    text = F.trim(F.substring_index(F.ltrim(_c(c), F.lit(" \t\r\n")), "\n", 1), F.lit(" \t\r"))
-    if is_id:
-        text = F.regexp_replace(text, r"\.0$", "")
-    text = F.when(~text.isin(EMPTY_CELLS), text)
+    """One spreadsheet cell: first non-blank line, trimmed, empty markers to null, cut to width.
+
+    One pattern per cell does all of it; a wide layout of nested expressions would outgrow what the
+    JVM compiles.
+    """
+    empty = "|".join(w for w in EMPTY_CELLS if w)
+    tail = r"(?:\.0)?" if is_id else ""
+    line = rf"^\s*+(?!(?:{empty})?\s*(?:\n|$))([^\n]*?){tail}\s*(?:\n|$)"
+    text = blank_to_null(F.regexp_extract(_c(c), line, 1))
     return F.substring(text, 1, width) if width else text
 
 
-def to_ts(c: Column | str, formats: tuple[str, ...] = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")) -> Column:
-    """The first format that reads the text, else null."""
-    text = F.trim(_c(c))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+def to_ts(c: Column | str) -> Column:
+    """``d/M/yyyy`` with or without ``H:m:s`` to a timestamp, anything else null.
+
+    The text is rearranged to ISO order and cast: a cast reads it once and, unlike a format parser,
+    does not raise inside on every unreadable cell.
+    """
+    shape = r"(?s)^(?:(\d{1,2})/(\d{1,2})/(\d{4})( \d{1,2}:\d{1,2}:\d{1,2})?|.*)$"
+    return F.regexp_replace(F.trim(_c(c)), shape, "$3-$2-$1$4").try_cast("timestamp")
 
 
 def slash_date(c: Column | str) -> Column:
@@ -151,15 +158,13 @@ def slash_date(c: Column | str) -> Column:
     iso = F.concat_ws(
         "-", F.lpad(year.cast("string"), 4, "0"), pad(F.get(parts, F.lit(1)), 2), pad(F.get(parts, F.lit(0)), 2)
     )
-    return F.when(
-        (F.size(parts) == 3) & year.isNotNull(), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
-    )
+    return F.when((F.size(parts) == 3) & year.isNotNull(), iso.try_cast("date"))
 
 
 def compact_date(c: Column | str) -> Column:
     """``yyyyMMdd`` given as a number or text."""
     text = _c(c).cast("string")
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
+    return F.regexp_replace(text, r"(?s)^(?:(\d{4})(\d{2})(\d{2})|.*)$", "$1-$2-$3").try_cast("date")
 
 
 def posting_key(c: Column | str) -> Column:
