@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import pad
 from ..operators import joins, windows
 from ..plans import calendar, reports, views
-from .base import d, hu, n, query, s, txt
+from .base import d, hu, n, query, txt
 
 _R = "coalesce(reimb_nhso, 0)"
 

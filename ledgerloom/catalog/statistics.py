@@ -106,11 +106,17 @@ def _model(t, with_error: bool = True):
     return _fitted(t.spark, t.folder, with_error)
 
 
-@query("ml02_features")
+def _code(c: str, default: str) -> str:
+    return f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, '{default}')) - 1 AS DOUBLE) AS {c}_code"
+
+
+@query("ml02_features", f"""SELECT tran_id, {_code('service_type', 'UN')}, {', '.join(_code(c, 'UNKNOWN') for c in ('drg', 'main_fund', 'main_inscl', 'ptype'))},
+  coalesce(CAST({_DIG} AS INT), 0) AS error_code_num, CAST(contains(coalesce(error_code, '0'), '998') AS INT) AS high_risk_error, {d('claim_drg')} AS claim_amount,
+  round(ln(1 + CAST(claim_drg AS DOUBLE)), 6) AS claim_amount_log, {d('coalesce(rw, 0)')} AS rw, {d('coalesce(adjrw_nhso, 0)')} AS adjrw FROM claims_core WHERE claims_core.claim_drg > 0""")
 def _(t):
     frame = denial_model.training_frame(t.claims_core)
     fitted = denial_model.Pipeline(stages=denial_model.feature_stages()).fit(frame)
-    return fitted.transform(frame).select("tran_id", *denial_model.feature_names())
+    return fitted.transform(frame).select("tran_id", *denial_model.feature_names()).withColumn("claim_amount_log", F.round("claim_amount_log", 6))
 
 
 @query("ml03_metrics")

@@ -30,7 +30,7 @@ _HOUR = f"""SELECT {txt("date_trunc('hour', ts)")} AS window_start, {txt("date_t
 _MARK = "(SELECT max(ts) FROM audit) - INTERVAL 1 HOUR"
 
 
-@query("str01_ingest")
+@query("str01_ingest", f"SELECT event_id, {txt('ts')} AS ts, user_id, event_type, value, props FROM events")
 def _(t):
     out = fresh_path(t.spark, "ingest")
     jobs.ingest_stream(_events(t), f"{out}/table", f"{out}/checkpoint", ["event_id"], [F.desc("ts")])
@@ -51,15 +51,15 @@ def _(t):
     return jobs.log_rates(_audit_batch(t))
 
 
-@query("str03_bruteforce")
-def _(t):
-    return jobs.collect_stream(t.spark, jobs.bruteforce(_audit(t), "24 hours", "1 hour", 3, "1 hour"), "bruteforce")
-
-
 _SLIDE = f"""SELECT {txt('w')} AS window_start, {txt('w + INTERVAL 24 HOUR')} AS window_end, user_id, count(*) AS failures
   FROM (SELECT user_id, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM audit WHERE action = 'LOGIN_FAILED') GROUP BY w, user_id HAVING count(*) >= 3"""
 
 
+@query("str03_bruteforce", f"{_SLIDE} AND w + INTERVAL 24 HOUR <= (SELECT max(ts) FROM audit WHERE action = 'LOGIN_FAILED') - INTERVAL 1 HOUR")
+def _(t):
+    return jobs.collect_stream(t.spark, jobs.bruteforce(_audit(t), "24 hours", "1 hour", 3, "1 hour"), "bruteforce")
+
+
 @query("str03_bruteforce_batch", _SLIDE)
 def _(t):
     return jobs.bruteforce(_audit_batch(t), "24 hours", "1 hour", 3)
