@@ -36,3 +36,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from .token_binary import token_binary
 
     return token_binary(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@named("op7_secrets")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, folder, "documents"))
