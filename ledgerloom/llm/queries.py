@@ -43,3 +43,22 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from .secrets import find_secrets
 
     return find_secrets(table(spark, folder, "documents"))
+
+
+@named(
+    "op10_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(sha, 1 + 5 * CAST(i // 4 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f USING (sha)
+""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, folder, "pages"))
