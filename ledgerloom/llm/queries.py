@@ -62,3 +62,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from .warc import archive
 
     return archive(table(spark, folder, "pages"))
+
+
+@named("op6_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from . import language
+    from .learning import remainder
+
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs, language.fit(docs, remainder(4) != 2))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
+from .learning import blocks
 from .ship import session_of
 
 
@@ -92,19 +93,6 @@ def _joined(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
     return ",".join(f"{rules[i].kind}:{a}:{b}" for a, i, b in spans)
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[tuple[list, list]]:
-    """Rows as (doc_ids, texts) of about ``size`` characters."""
-    for batch in batches:
-        names, texts = batch.column(0).to_pylist(), batch.column(1)
-        lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)) if len(texts) else []
-        begin = held = 0
-        for i, n in enumerate(lengths):
-            held += int(n)
-            if held >= size or i + 1 == len(lengths):
-                yield names[begin : i + 1], texts.slice(begin, i + 1 - begin).to_pylist()
-                begin, held = i + 1, 0
-
-
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row a document: counts of the base kinds, the checksum of their spans, and all spans."""
     spark = session_of(docs)
@@ -114,7 +102,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         scanner = sent.value
         empty = hashlib.sha256(b"").hexdigest()
         kinds = {r.kind: i for i, r in enumerate(rules)}
-        for names, texts in _in_blocks(batches):
+        for block in blocks(batches):
+            names, texts = (c.to_pylist() for c in block.columns)
             found = scanner(texts)
             columns = [names, [], [], [], [], []]
             for spans in found:
@@ -136,16 +125,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for begin in range(0, len(texts), 1024):
-                part = texts[begin : begin + 1024]
-                for i, spans in enumerate(scanner(part)):
-                    if spans:
-                        texts[begin + i] = _cut(part[i], spans, mark)
-            columns = batch.columns
-            columns[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for block in blocks(batches, at):
+            texts = block.column(at).to_pylist()
+            for i, spans in enumerate(scanner(texts)):
+                if spans:
+                    texts[i] = _cut(texts[i], spans, mark)
+            columns = block.columns
+            columns[at] = pa.array(texts, block.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=block.schema)
 
     return docs.mapInArrow(scan, schema)
 
