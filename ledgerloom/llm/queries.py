@@ -72,3 +72,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.predict(docs, language.fit(docs, remainder(4) != 2))
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@named("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from . import toxicity
+    from .learning import remainder
+
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
