@@ -102,3 +102,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from .neighbours import nearest
 
     return nearest(table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+@named("op4_pieces")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
