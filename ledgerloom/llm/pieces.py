@@ -19,9 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +30,6 @@ from .learning import blocks
 from .ship import session_of
 
 SPACE = "▁"
-_LITERAL = "\n" + SPACE  # the sign itself; no piece has a line end, so it never merges
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
 _UNIT = re.compile(rf"\n| *[{_LETTER}]+(?=[ \n{_SIGN}]|\Z)| *[^ \n]+| +")
 _CROSSED = re.compile(rf"[^{SPACE}]{SPACE}|\n|[{_LETTER}][{_SIGN}]")
@@ -51,74 +48,117 @@ class Pieces:
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.id_of = {model.id_to_piece(i): i for i in plain}
         # Places in the agenda: 0 is the best score; equal scores share a place.
-        place = {s: k for k, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
-        self.place = {p: place[model.get_score(i)] for p, i in self.id_of.items() if len(p) > 1}
+        place = {x: k for k, x in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
+        # Every way to make a piece of two others, sorted by (left, right).
+        made = sorted((self.id_of[p[:k]] << 32 | self.id_of[p[k:]], place[model.get_score(i)], i) for p, i in self.id_of.items() for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of)
+        self.pair, self.rank, self.joined = (np.array(column, dtype=np.int64) for column in zip(*made, strict=True))
+        self.char_id = np.full(0x110000, -1, dtype=np.int64)
+        for p, i in self.id_of.items():
+            if len(p) == 1:
+                self.char_id[ord(p)] = i
+        self.char_id[32], self.char_id[ord(SPACE)] = self.id_of.get(SPACE, -1), -1
         self.byte_id = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = [b""] * len(ids)
         for p, i in self.id_of.items():
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_id):
             self.bytes_of[i] = bytes([b])
-        self.code = "H" if len(ids) <= 1 << 16 else "I"
+        self.kind = "<u2" if len(ids) <= 1 << 16 else "<u4"
         self.whole = any(_CROSSED.search(p) for p in self.id_of)
         self.limit, self.seed = int(dropout * (1 << 32)), seed
         self.variants = variants if dropout else 1
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.count = 0
-
-    def segment(self, unit: str, variant: int = 0) -> list[int]:
-        """Ids of one unit."""
-        parts = [SPACE if c == " " else _LITERAL if c == SPACE else c for c in unit]
-        n, place, limit = len(parts), self.place, self.limit
-        key = zlib.crc32(unit.encode("utf-8", "surrogatepass"), zlib.crc32(b"%d/%d" % (self.seed, variant))) if limit else 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(place[both], i, i + 1, both) for i in range(n - 1) if (both := parts[i] + parts[i + 1]) in place]
-        heapify(agenda)
-        while agenda:
-            rank, i, j, both = heappop(agenda)
-            if parts[i] is None or after[i] != j or parts[i] + parts[j] != both:
+
+    def _candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where in the table of pairs the two pieces are, or -1."""
+        key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, at, -1)
+
+    def segment(self, units: list[str], variants: list[int]) -> list[bytes]:
+        """Ids of many units, packed; the agendas of all units are worked off side by side, a step a round."""
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        owner = np.repeat(np.arange(len(units)), sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        piece = self.char_id[code]
+        keys = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass"), zlib.crc32(b"%d/%d" % (self.seed, v))) for u, v in zip(units, variants, strict=True)] if self.limit else [0] * len(units), dtype=np.uint64)
+        done: list[tuple] = []
+        never = len(self.pair)
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Place in the table of the pair that starts at these symbols; ``never`` if there is none."""
+            after = np.minimum(at + 1, len(piece) - 1)
+            found = self._candidates(piece[at], np.where((at + 1 < len(piece)) & (owner[after] == owner[at]), piece[after], -1))
+            return np.where(found < 0, never, found)
+
+        pair = ranks(np.arange(len(piece))) if len(piece) else np.zeros(0, np.int64)
+        order = np.append(self.rank, np.iinfo(np.int64).max)
+        while len(piece):
+            # The candidate each unit takes up: best rank, leftmost among equals.
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            rank = order[pair]
+            best = np.minimum.reduceat(rank, first)
+            if (best == order[-1]).any():
+                spent = np.repeat(best == order[-1], np.diff(np.append(first, len(piece))))
+                done.append((owner[spent], place[spent], piece[spent], code[spent]))
+                owner, place, piece, code, pair = (x[~spent] for x in (owner, place, piece, code, pair))
                 continue
-            if limit:
-                h = (key ^ i * 0x9E3779B1 ^ rank * 0x85EBCA77) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
-                if (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 >> 16 & 0xFFFFFFFF < limit:
+            hit = np.flatnonzero(rank == np.repeat(best, np.diff(np.append(first, len(piece)))))
+            hit = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])]
+            if self.limit:
+                h = (keys[owner[hit]] ^ place[hit].astype(np.uint64) * np.uint64(0x9E3779B1) ^ rank[hit].astype(np.uint64) * np.uint64(0x85EBCA77)) * np.uint64(0xFF51AFD7ED558CCD)
+                h = ((h ^ h >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+                skipped = h < self.limit
+                pair[hit[skipped]] = never
+                hit = hit[~skipped]
+                if not len(hit):
                     continue
-            parts[i], parts[j] = both, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (more := both + parts[k]) in place:
-                    heappush(agenda, (place[more], i, k, more))
-            if (k := before[i]) >= 0 and (more := parts[k] + both) in place:
-                heappush(agenda, (place[more], k, i, more))
-        out, id_of = [], self.id_of
-        for p in parts:
-            if p is not None:
-                if (i := id_of.get(p)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.byte_id[b] for b in p.removeprefix("\n" if len(p) > 1 else "").encode("utf-8", "surrogatepass")]
-        return out
-
-    def _packed(self, unit: str, variant: int) -> bytes:
-        ids = array(self.code, self.segment(unit, variant)).tobytes()
-        if self.count < KNOWN_UNITS and len(unit) <= LONG_UNIT:
-            self.known[variant][unit] = ids
-            self.count += 1
-        return ids
-
-    def encode(self, text: str, document: int = 0) -> np.ndarray:
-        """Ids of a text; the document's number and the seed choose the variants."""
-        if not text:
-            return np.zeros(0, np.int32)
-        units = [" " + text] if self.whole else _UNIT.findall(" " + text)
-        known, packed = self.known, self._packed
-        if self.variants == 1:
-            own = known[0]
-            data = b"".join([own[u] if u in own else packed(u, 0) for u in units])
+            piece[hit] = self.joined[pair[hit]]
+            stays = np.ones(len(piece), dtype=bool)
+            stays[hit + 1] = False
+            hit -= np.arange(len(hit))  # one symbol has gone before each later one
+            owner, place, piece, code, pair = (x[stays] for x in (owner, place, piece, code, pair))
+            near = np.concatenate([hit, hit[hit > 0] - 1])
+            near = near[np.isin(near, hit) | (owner[near] == owner[np.minimum(near + 1, len(owner) - 1)])]
+            pair[near] = ranks(near)
+        return self._collected(done, len(units))
+
+    def _collected(self, done: list[tuple], n: int) -> list[bytes]:
+        """Symbols of finished units in order, characters without a piece as bytes."""
+        if not done:
+            return [b""] * n
+        owner, place, piece, code = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.lexsort((place, owner))
+        owner, piece, code = owner[order], piece[order], code[order]
+        if (piece < 0).any():
+            spelt = [[self.byte_id[b] for b in chr(c).encode("utf-8", "surrogatepass")] if p < 0 else [p] for p, c in zip(piece.tolist(), code.tolist(), strict=True)]
+            owner = np.repeat(owner, [len(x) for x in spelt])
+            piece = np.array([i for x in spelt for i in x], dtype=np.int64)
+        data = piece.astype(self.kind).tobytes()
+        ends = (np.searchsorted(owner, np.arange(n + 1)) * np.dtype(self.kind).itemsize).tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """Ids of texts; a document's number and the seed choose the variants of its units."""
+        known, cut = self.known, []
+        fresh: set[tuple[str, int]] = set()
+        for text, document in zip(texts, documents, strict=True):
+            units = ([" " + text] if self.whole else _UNIT.findall(" " + text)) if text else []
+            chosen = (_spread(self.seed, document, len(units)) % np.uint64(self.variants)).tolist()
+            fresh.update([(u, v) for u, v in zip(units, chosen, strict=True) if u not in known[v]])
+            cut.append((units, chosen))
+        todo = list(fresh)
+        packed = self.segment([u for u, _ in todo], [v for _, v in todo])
+        held: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        room = KNOWN_UNITS - sum(map(len, known))
+        for k, ((u, v), ids) in enumerate(zip(todo, packed, strict=True)):
+            (known if k < room and len(u) <= LONG_UNIT else held)[v][u] = ids
+        if any(held):
+            data = [b"".join([own[u] if u in (own := known[v]) else held[v][u] for u, v in zip(*both, strict=True)]) for both in cut]
         else:
-            chosen = _spread(self.seed, document, len(units)) % np.uint64(self.variants)
-            data = b"".join([own[u] if u in (own := known[v]) else packed(u, v) for u, v in zip(units, chosen.tolist(), strict=True)])
-        return np.frombuffer(data, dtype=f"<u{array(self.code).itemsize}").astype(np.int32)
+            data = [b"".join([known[v][u] for u, v in zip(*both, strict=True)]) for both in cut]
+        return [np.frombuffer(d, dtype=self.kind).astype(np.int32) for d in data]
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -150,7 +190,7 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, vari
         coder = _coder(path, dropout, seed, variants)
         for block in blocks(batches):
             names, texts = (c.to_pylist() for c in block.columns)
-            ids = [coder.encode(t or "", -1 if d is None else d) for d, t in zip(names, texts, strict=True)]
+            ids = coder.encode([t or "" for t in texts], [-1 if d is None else d for d in names])
             same = [coder.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
             sizes = np.array([len(i) for i in ids], dtype=np.int64)
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
