@@ -109,3 +109,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from .pieces import encode
 
     return encode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@named("op9_leaks")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from .leaks import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
