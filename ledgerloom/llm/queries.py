@@ -116,3 +116,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from .leaks import find_leaks
 
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@named("op2_near_copies")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from .near_copies import near_copies
+
+    return near_copies(table(spark, folder, "documents"))
