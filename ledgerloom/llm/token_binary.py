@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ MAGIC = b"EFTOKEN1"
 HEADER = struct.Struct("<8sQQQQqIIII")  # magic, documents, null ids, ids, id bytes, first doc_id, bytes of the four sections before the ids
 SAMPLE = 256
 SHARD_IDS = 4_000_000
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 800_000
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------
@@ -97,10 +99,11 @@ class EliasFano:
 # --- encoding -----------------------------------------------------------------------------------
 
 # White space that the tokenizer knows beyond ASCII; a text that has any is encoded in one piece.
-_OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
-# The tokenizer never joins a letter, digit or sign to white space after it, so a text falls into units of
-# white space and what follows it, and the ids of a text are those of its units.
-_UNIT = re.compile(r"\s*\S+|\s+", re.ASCII)
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# The tokenizer never joins a letter to a sign or to white space after it, nor a sign to white space after
+# it.  So a text falls into units, and the ids of a text are those of its units.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
+_UNIT = re.compile(rf"\s*[{_LETTER}]+(?=[\s{_SIGN}]|\Z)|\s*\S+|\s+", re.ASCII)
 
 
 class Encoder:
@@ -114,28 +117,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
         self.known: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 4096):
             for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
-                yield np.array(e.ids, dtype=self.kind).tobytes()
+                yield array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         units = [[t] if _OTHER_SPACE.search(t) else _UNIT.findall(t) for t in texts]
-        fresh = list(set().union(*units) - self.known.keys()) if units else []
+        fresh = list(set().union(*units) - self.known.keys())
         seen = dict(zip(fresh, self._packed(fresh), strict=True))
-        lookup = self.known
-        if seen:
-            room = KNOWN_UNITS - len(self.known)
-            if room >= len(seen):
-                self.known.update(seen)
-            else:
-                lookup = {**seen}
-                known = self.known
-                return [b"".join([known[u] if u in known else lookup[u] for u in own]) for own in units]
-        return [b"".join(map(lookup.__getitem__, own)) for own in units]
+        self.known.update(islice(seen.items(), max(0, KNOWN_UNITS - len(self.known))))
+        if len(self.known) < KNOWN_UNITS:
+            return [b"".join(map(self.known.__getitem__, own)) for own in units]
+        known = self.known
+        return [b"".join([known[u] if u in known else seen[u] for u in own]) for own in units]
 
 
 _encoders: dict[str, Encoder] = {}
