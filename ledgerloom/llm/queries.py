@@ -123,3 +123,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from .near_copies import near_copies
 
     return near_copies(table(spark, folder, "documents"))
+
+
+@named("op8_repeats")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents"))
