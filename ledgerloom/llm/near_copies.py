@@ -214,14 +214,19 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     named = first.join(classes, F.col("first") == F.col("node"), "left").select(F.col("same").alias("_same"), F.coalesce("class", "first").alias("class_id"))
     # Grouped anew, so that the join has an exchange on both sides and a text with many copies can be split.
     named = named.groupBy("_same", F.lit(0).alias("_")).agg(F.first("class_id").alias("class_id"))
-    found = every.select("doc_id", "same").join(named, F.col("same") == F.col("_same")).select("doc_id", "class_id")
-    return found
+    return every.select("doc_id", "same").join(named, F.col("same") == F.col("_same")).select("doc_id", "class_id")
 
 
 def first_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: one row of each; rows without id and class all stay."""
+    """The rows of ``docs`` that stand for their class, one of each.
+
+    A row without an id stays if no row with an id has its text, one row for each text.
+    """
     classes = near_copies(docs, least)
     chosen = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(chosen, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"])
-
+    named = docs.join(chosen, docs["doc_id"] == chosen["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    same = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    known = docs.where(F.col("doc_id").isNotNull()).select(same.alias("_text")).distinct()
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_own_text", same)
+    nameless = nameless.join(known, nameless["_own_text"] == known["_text"], "left_anti").dropDuplicates(["_own_text"]).drop("_own_text")
+    return named.unionByName(nameless)

@@ -118,19 +118,28 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of every rule replaced by ``mark``; null texts stay null."""
+    """``docs`` with every span of every rule replaced by ``mark``; null texts stay null.
+
+    A column ``n_chars`` is counted again where the text has changed.
+    """
     spark = session_of(docs)
     sent = spark.sparkContext.broadcast(Scanner(rules))
     schema, at = docs.schema, docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
         for block in blocks(batches, at):
             texts = block.column(at).to_pylist()
+            columns = block.columns
+            sizes = columns[counted].to_pylist() if counted is not None else []
             for i, spans in enumerate(scanner(texts)):
                 if spans:
                     texts[i] = _cut(texts[i], spans, mark)
-            columns = block.columns
+                    if counted is not None:
+                        sizes[i] = len(texts[i])
+            if counted is not None:
+                columns[counted] = pa.array(sizes, columns[counted].type)
             columns[at] = pa.array(texts, block.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=block.schema)
 
