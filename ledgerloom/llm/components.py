@@ -12,7 +12,7 @@ from .ship import session_of
 def _least(edges: DataFrame) -> DataFrame:
     """(u, least): the smallest neighbour.  Grouped by more than ``u``, so that a join on ``u`` has an exchange
     on both sides and a node with many links can be split."""
-    return edges.groupBy("u", F.lit(0).alias("_")).agg(F.min("v").alias("least")).select(F.col("u").alias("_u"), "least")
+    return edges.groupBy("u", F.hash("u").alias("_")).agg(F.min("v").alias("least")).select(F.col("u").alias("_u"), "least")
 
 
 def _with_least(edges: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def signed(docs: DataFrame, weights: Weights, samples: int = SAMPLES, rows: int
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts are at least ``least`` similar; ``b`` is the side many pairs share."""
     sent = session_of(pairs).sparkContext.broadcast(weights)
-    salts = pairs.groupBy("b", F.lit(0).alias("_")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts")).select(F.col("b").alias("centre"), "salts")
+    salts = pairs.groupBy("b", F.hash("b").alias("_")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts")).select(F.col("b").alias("centre"), "salts")
     members = pairs.join(salts, F.col("b") == F.col("centre")).select("centre", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("place"), F.col("a").alias("doc_id"))
     centres = salts.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("centre").alias("doc_id"))
     rows = members.unionByName(centres).join(texts, "doc_id").select("centre", "salt", "place", "doc_id", "text")
@@ -192,7 +192,7 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     weights = weights_of(texts)
     every = kept(signed(texts, weights), "signed")
     # One text stands for its copies.
-    first = every.groupBy("same", F.lit(0).alias("_")).agg(F.min("doc_id").alias("first")).select("same", "first")
+    first = every.groupBy("same", F.hash("same").alias("_")).agg(F.min("doc_id").alias("first")).select("same", "first")
     first = kept(first, "first")
     single = every.join(first, (every["same"] == first["same"]) & (every["doc_id"] == first["first"])).select("doc_id", every["same"], "keys").dropDuplicates(["doc_id", "same"])
     count = SAMPLES // ROWS
@@ -206,14 +206,14 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     links = kept(verified(stars, candidates, weights, least), "stars")
     classes = kept(components(links), "star-classes")
     classed = buckets.join(classes.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select("key", "k1", "k2", "k3", "doc_id", F.coalesce("class", "doc_id").alias("class"))
-    mixed = classed.groupBy("key", F.lit(0).alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"))
+    mixed = classed.groupBy("key", F.hash("key").alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"))
     classed = classed.join(mixed, F.col("key") == F.col("_key")).drop("_key")
     more = _next_ones(classed).distinct().join(stars, ["a", "b"], "left_anti")
     more = kept(verified(kept(more, "more-pairs"), candidates, weights, least), "more")
     classes = kept(components(links.unionByName(more)), "classes")
     named = first.join(classes, F.col("first") == F.col("node"), "left").select(F.col("same").alias("_same"), F.coalesce("class", "first").alias("class_id"))
     # Grouped anew, so that the join has an exchange on both sides and a text with many copies can be split.
-    named = named.groupBy("_same", F.lit(0).alias("_")).agg(F.first("class_id").alias("class_id"))
+    named = named.groupBy("_same", F.hash("_same").alias("_")).agg(F.first("class_id").alias("class_id"))
     return every.select("doc_id", "same").join(named, F.col("same") == F.col("_same")).select("doc_id", "class_id")
 
 

@@ -291,7 +291,7 @@ def _lists(found: DataFrame, points: DataFrame, asked: DataFrame, k: int) -> Dat
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     # Two keys, so that the join below has an exchange of its own and a vector that many queries share is split.
-    lists = best.groupBy("query", F.lit(0).alias("_")).agg(F.collect_list(F.struct("place", "vec_id", "score")).alias("list"))
+    lists = best.groupBy("query", F.hash("query").alias("_")).agg(F.collect_list(F.struct("place", "vec_id", "score")).alias("list"))
     lists = lists.join(points.select(F.col("point").alias("query"), "vector"), "query").select("vector", "list")
     rows = asked.join(lists, "vector").select("query_id", F.filter(F.sort_array("list"), lambda e: e["vec_id"] != F.col("query_id")).alias("list"))
     rows = rows.select("query_id", F.posexplode(F.slice("list", 1, k)).alias("at", "e"))
