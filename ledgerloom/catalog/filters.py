@@ -142,7 +142,7 @@ def _(t):
 @query("fil19_user_activity", f"""SELECT id, action, status, {txt('ts')} AS ts FROM audit WHERE user_id = '7' AND audit.ts >= TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 10 DAY
   ORDER BY audit.ts DESC, id DESC LIMIT 1000""")
 def _(t):
-    return filters.user_activity(t.audit, "7", 10, dt.datetime(2024, 1, 25)).select("id", "action", "status", "ts")
+    return filters.user_activity(t.audit, "7", 10, dt.datetime(2024, 1, 25), k=1000).select("id", "action", "status", "ts")
 
 
 @query("prj01_status_columns", f"""SELECT tran_id, CASE WHEN {IS_IP} THEN 'IPD' ELSE 'OPD' END AS visit, CASE WHEN {ERR} THEN 'fail' ELSE 'pass' END AS outcome,

@@ -63,9 +63,9 @@ def _cell(c: str) -> str:
     return f"CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END"
 
 
-def _idcell(c: str, w: int) -> str:
+def _idcell(c: str) -> str:
     line = f"regexp_replace(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '\\.0$', '')"
-    return f"substr(CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END, 1, {w})"
+    return f"(CASE WHEN {line} NOT IN {_EMPTY} THEN {line} END)"
 
 
 def _tscell(c: str) -> str:
@@ -76,7 +76,7 @@ def _numcell(c: str) -> str:
     return f"TRY_CAST(replace({_cell(c)}, ',', '') AS DECIMAL(15,2))"
 
 
-TYPED = f"""SELECT file, row, {_cell('c0')} AS seq, {_idcell('c1', 15)} AS tran_id, {_idcell('c2', 15)} AS hn, substr({_cell('c3')}, 1, 15) AS an, {_idcell('c4', 20)} AS pid,
+TYPED = f"""SELECT file, row, {_cell('c0')} AS seq, {_idcell('c1')} AS tran_id, {_idcell('c2')} AS hn, substr({_cell('c3')}, 1, 15) AS an, {_idcell('c4')} AS pid,
   {_cell('c5')} AS file_type, {txt(_tscell('c6'))} AS dateadm, {d(_numcell('c7'))} AS amount, {d(f'coalesce({_numcell("c7")}, 0)')} AS amount0,
   substr({_cell('c8')}, 1, 100) AS main_fund, CAST(NULL AS VARCHAR) AS extra FROM raw_claims"""
 
@@ -89,8 +89,8 @@ def _(t):
 _NAMED = {"UCS": {"REP No.": "c1", "HN": "c2", "AMT": "c7"}, "LGO": {"REP": "c1", "HN": "c2", "FUND": "c8"}}
 
 
-@query("ing05_named", f"""SELECT file, row, {_idcell('c1', 15)} AS tran_id, {_idcell('c2', 15)} AS hn, {d(_numcell('c7'))} AS amount, CAST(NULL AS VARCHAR) AS main_fund FROM raw_claims WHERE row % 2 = 0
-  UNION ALL SELECT file, row, {_idcell('c1', 15)}, {_idcell('c2', 15)}, NULL, {_cell('c8')} FROM raw_claims WHERE row % 2 = 1""")
+@query("ing05_named", f"""SELECT file, row, {_idcell('c1')} AS tran_id, {_idcell('c2')} AS hn, {d(_numcell('c7'))} AS amount, CAST(NULL AS VARCHAR) AS main_fund FROM raw_claims WHERE row % 2 = 0
+  UNION ALL SELECT file, row, {_idcell('c1')}, {_idcell('c2')}, NULL, {_cell('c8')} FROM raw_claims WHERE row % 2 = 1""")
 def _(t):
     fields = {
         "UCS": [F_("tran_id", "REP No.", "id", 15), F_("hn", "HN", "id", 15), F_("amount", "AMT", "number")],
@@ -104,11 +104,11 @@ def _(t):
     return out[0].unionByName(out[1], allowMissingColumns=True)
 
 
-@query("ing06_clean_cells", f"SELECT row, c0 AS raw, {_cell('c0')} AS c0, {_idcell('c1', 4)} AS c1, {_cell('c2')} AS c2, {_cell('c3')} AS c3, {_idcell('c4', 20)} AS c4 FROM raw_claims")
+@query("ing06_clean_cells", f"SELECT row, c0 AS raw, {_cell('c0')} AS c0, {_idcell('c1')} AS c1, {_cell('c2')} AS c2, {_cell('c3')} AS c3, {_idcell('c4')} AS c4 FROM raw_claims")
 def _(t):
     c = text.clean_cell
     return t.raw_claims.select(
-        "row", F.col("c0").alias("raw"), c("c0").alias("c0"), c("c1", 4, True).alias("c1"), c("c2").alias("c2"), c("c3").alias("c3"), c("c4", 20, True).alias("c4")
+        "row", F.col("c0").alias("raw"), c("c0").alias("c0"), c("c1", is_id=True).alias("c1"), c("c2").alias("c2"), c("c3").alias("c3"), c("c4", is_id=True).alias("c4")
     )
 
 
@@ -289,7 +289,7 @@ def _(t):
     return ingest.parse_drug_names(t.drug_names)
 
 
-@query("ing25_procedures", """SELECT substr(CASE WHEN NOT contains(code, '.') AND length(code) IN (3, 4) THEN substr(code, 1, 2) || '.' || substr(code, 3) ELSE code END, 1, 10) AS code, description
+@query("ing25_procedures", """SELECT CASE WHEN NOT contains(code, '.') AND length(code) IN (3, 4) THEN substr(code, 1, 2) || '.' || substr(code, 3) ELSE code END AS code, description
   FROM (SELECT regexp_extract(trim(value), '^(\\d{2,4}\\.?\\d*)\\s+(.+)$', 1) AS code, substr(regexp_extract(trim(value), '^(\\d{2,4}\\.?\\d*)\\s+(.+)$', 2), 1, 500) AS description
   FROM procedure_lines WHERE regexp_matches(trim(value), '^(\\d{2,4}\\.?\\d*)\\s+(.+)$'))""")
 def _(t):
@@ -324,7 +324,7 @@ def _(t):
     return ingest.import_outcomes(t.raw_claims)
 
 
-@query("ing30_export_csv", f"SELECT tran_id, {txt('dateadm')} AS dateadm, {txt('claim_drg')} AS claim_drg FROM claims_core ORDER BY CAST(tran_id AS BIGINT) LIMIT 10000")
+@query("ing30_export_csv", f"SELECT tran_id, {txt('dateadm')} AS dateadm, {txt('claim_drg')} AS claim_drg FROM claims_core")
 def _(t):
     path = fresh_path(t.spark, "export-csv")
     rows = t.claims_core.withColumn("k", F.col("tran_id").cast("bigint"))

@@ -105,12 +105,12 @@ def _(t):
 
 @query("ag55_completed_files", f"SELECT file_id, filename, {txt('file_date')} AS file_date, total_records FROM ledger WHERE status = 'completed' ORDER BY ledger.file_date DESC, file_id DESC LIMIT 100")
 def _(t):
-    return bookkeeping.completed_files(t.ledger).select("file_id", "filename", "file_date", "total_records")
+    return bookkeeping.completed_files(t.ledger, k=100).select("file_id", "filename", "file_date", "total_records")
 
 
 @query("ag55_transfer_runs", f"SELECT {txt('run_date')} AS run_date, count(*) AS records, {s('total_amount')} AS total_amount FROM transfers_core GROUP BY transfers_core.run_date ORDER BY transfers_core.run_date DESC LIMIT 100")
 def _(t):
-    return bookkeeping.transfer_runs(t.transfers_core)
+    return bookkeeping.transfer_runs(t.transfers_core, k=100)
 
 
 @query("ag55_file_items", f"SELECT tran_id, hn, {d('claim_drg')} AS claim_drg FROM claims_core WHERE file_id = 12 ORDER BY tran_id LIMIT 25 OFFSET 50")

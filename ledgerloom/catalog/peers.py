@@ -218,7 +218,7 @@ def _(t):
 
 @query("ag54_inbox", f"SELECT id, {txt('created_at')} AS created_at, alert_type, severity, is_read, is_dismissed FROM notices WHERE NOT is_dismissed AND severity = 'critical' AND NOT is_read ORDER BY notices.created_at DESC, id DESC LIMIT 100")
 def _(t):
-    return alerts.inbox(t.notices, "critical", unread_only=True)
+    return alerts.inbox(t.notices, "critical", unread_only=True, k=100)
 
 
 @query("ag54_unread", f"SELECT severity, count(*) AS unread FROM notices WHERE NOT is_dismissed AND NOT is_read GROUP BY 1")

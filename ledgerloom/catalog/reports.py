@@ -260,7 +260,7 @@ def _(t):
 @query("ag22_his_list", f"""SELECT tran_id, his_vn, {d('his_amount_diff')} AS his_amount_diff, {txt('dateadm')} AS dateadm, coalesce(reconcile_status, 'pending') AS status
   FROM claims_core WHERE abs(his_amount_diff) >= 100 ORDER BY abs(claims_core.his_amount_diff) DESC, claims_core.dateadm DESC NULLS LAST, tran_id LIMIT 50""")
 def _(t):
-    return reports.his_list(t.claims_core, 100)
+    return reports.his_list(t.claims_core, 100, k=50)
 
 
 @query("ag23_filter_options", """SELECT 'scheme' AS option, scheme AS value, count(*) AS count FROM claims WHERE scheme IS NOT NULL GROUP BY 2

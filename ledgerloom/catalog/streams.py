@@ -99,7 +99,7 @@ def _(t):
     out = fresh_path(t.spark, "latest")
     stream = _events(t).select("user_id", "event_id", "ts")
     jobs.ingest_stream(stream, f"{out}/table", f"{out}/checkpoint", ["user_id"], [F.desc("event_id")])
-    return jobs.current(t.spark, f"{out}/table", ["user_id"]).select("user_id", "event_id")
+    return jobs.current(t.spark, f"{out}/table", ["user_id"], [F.desc("event_id")]).select("user_id", "event_id")
 
 
 @query("str06_without_repeats", f"SELECT event_id, user_id, event_type FROM events")

@@ -230,7 +230,7 @@ def _(t):
 
 @query("vw29_recent_imports_secure", f"SELECT filename, {txt('file_date')} AS file_date, status, imported_records, error_message FROM ledger WHERE ledger.file_date >= {AS_OF_SQL} - 30 ORDER BY ledger.file_date DESC, file_id DESC LIMIT 100")
 def _(t):
-    return views.recent_imports_secure(t.ledger, AS_OF)
+    return views.recent_imports_secure(t.ledger, AS_OF, k=100)
 
 
 @query("vw30_high_cost_months", f"SELECT {txt('make_date(year(dateadm), month(dateadm), 1)')} AS month, count(*) AS claims, {n('iphc > 0')} AS ip_high_cost, {n('ophc > 0')} AS op_high_cost FROM claims_core GROUP BY 1")

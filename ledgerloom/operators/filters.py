@@ -15,10 +15,22 @@ from ..functions.text import digits_key, like_escape, pad, strip0
 from .windows import latest
 
 
+def _in_days(df: DataFrame, lo: dt.date | None, hi: dt.date | None, col: str) -> DataFrame:
+    """Rows between two days.  A fact table in month folders (``sources.files.write_fact``) is also cut by
+    folder, so other months are not even listed."""
+    by_month = col == "dateadm" and dict(df.dtypes).get("month") == "string"
+    for day, keeps in ((lo, lambda c, x: c >= x), (hi, lambda c, x: c <= x)):
+        if day is not None:
+            df = df.filter(keeps(F.col(col).cast("date"), F.lit(day)))
+            if by_month:
+                df = df.filter(keeps(F.col("month"), F.lit(day.strftime("%Y-%m"))))
+    return df
+
+
 def fiscal_year(df: DataFrame, fy: int, col: str = "dateadm", to_current: dt.date | None = None) -> DataFrame:
     """Rows of one fiscal year by a Gregorian date or timestamp (compared as a date)."""
     first, last = fiscal.bounds(fy, to_current)
-    return df.filter(F.col(col).cast("date").between(F.lit(first), F.lit(last)))
+    return _in_days(df, first, last, col)
 
 
 def fiscal_year_be(df: DataFrame, fy: int, col: str = "posting_date", to_current: dt.date | None = None) -> DataFrame:
@@ -29,7 +41,7 @@ def fiscal_year_be(df: DataFrame, fy: int, col: str = "posting_date", to_current
 
 def fiscal_months(df: DataFrame, fy: int, first: int, last: int, col: str = "dateadm") -> DataFrame:
     lo, hi = fiscal.month_bounds(fy, first, last)
-    return df.filter(F.col(col).cast("date").between(F.lit(lo), F.lit(hi)))
+    return _in_days(df, lo, hi, col)
 
 
 def fiscal_months_be(df: DataFrame, fy: int, first: int, last: int, col: str = "posting_date") -> DataFrame:
@@ -49,12 +61,7 @@ def checked_date(text: str | None) -> dt.date | None:
 
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None, col: str = "dateadm") -> DataFrame:
     """Open or closed range; an invalid bound is ignored."""
-    lo, hi = checked_date(start), checked_date(end)
-    if lo:
-        df = df.filter(F.col(col).cast("date") >= F.lit(lo))
-    if hi:
-        df = df.filter(F.col(col).cast("date") <= F.lit(hi))
-    return df
+    return _in_days(df, checked_date(start), checked_date(end), col)
 
 
 def statement_fy(df: DataFrame, fy: int, year: str = "statement_year", month: str = "statement_month") -> DataFrame:
@@ -160,7 +167,7 @@ def aged_unpaid(df: DataFrame, days: int, as_of: dt.date, only_clean: bool = Fal
     return df.filter(old & unpaid & (~is_error() if only_clean else F.col("claim_drg") > 0))
 
 
-def user_activity(audit: DataFrame, user: str, days: int, as_of: dt.datetime, k: int = 1000) -> DataFrame:
+def user_activity(audit: DataFrame, user: str, days: int, as_of: dt.datetime, k: int) -> DataFrame:
     since = F.lit(as_of - dt.timedelta(days=days))
     rows = audit.filter((F.col("user_id") == user) & (F.col("ts") >= since))
     return rows.orderBy(F.desc("ts"), F.desc("id")).limit(k)

@@ -28,7 +28,10 @@ TOTAL_WORD = "รวม"
 
 @dataclass(frozen=True)
 class Field:
-    """One output column: where it comes from and how its cell is read."""
+    """One output column: where it comes from and how its cell is read.
+
+    ``width`` cuts text.  A column of kind ``id`` is a key and is never cut: two keys must not become one.
+    """
 
     name: str
     source: int | str
@@ -42,7 +45,15 @@ class Field:
             return num0(clean_cell(cell))
         if self.kind == "timestamp":
             return to_ts(clean_cell(cell))
-        return clean_cell(cell, self.width, is_id=self.kind == "id")
+        if self.kind == "id":
+            return clean_cell(cell, is_id=True)
+        return clean_cell(cell, self.width)
+
+
+def over_width(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Flag rows with a key longer than its column, for the import's report: ``too_long`` names the keys."""
+    wide = [F.when(F.length(f.name) > f.width, F.lit(f.name)) for f in fields if f.kind == "id" and f.width]
+    return rows.withColumn("too_long", F.concat_ws(",", *wide) if wide else F.lit(""))
 
 
 def cells(raw: DataFrame) -> list[str]:
@@ -183,14 +194,14 @@ def parse_procedures(lines: DataFrame, col: str = "value") -> DataFrame:
     code = F.regexp_extract(text, pattern, 1)
     dotted = F.when(~F.contains(code, F.lit(".")) & F.length(code).isin(3, 4), F.concat(F.left(code, F.lit(2)), F.lit("."), F.substring(code, 3, 10))).otherwise(code)
     return lines.filter(text.rlike(pattern)).select(
-        prefix(dotted, 10).alias("code"), prefix(F.regexp_extract(text, pattern, 2), 500).alias("description")
+        dotted.alias("code"), prefix(F.regexp_extract(text, pattern, 2), 500).alias("description")
     )
 
 
 def diagnoses(df: DataFrame, code: str = "code", kind: str = "kind", text: str = "description") -> DataFrame:
-    """Diagnosis rows without headings and blank codes, cut to the dimension's widths."""
+    """Diagnosis rows without headings and blank codes; a description is cut, a code is a key and is not."""
     ok = F.col(code).isNotNull() & (F.trim(F.col(code)) != "") & (F.col(kind) != "HEADING")
-    return df.filter(ok).select(prefix(F.trim(F.col(code)), 10).alias("code"), prefix(text, 500).alias("description"))
+    return df.filter(ok).select(F.trim(F.col(code)).alias("code"), prefix(text, 500).alias("description"))
 
 
 def import_outcomes(raw: DataFrame, key: str = "c1", amount: str = "c7") -> DataFrame:

@@ -1,9 +1,12 @@
 """Joins between feeds.
 
-Statuses are settled by joins that AQE can split when one claim id is hot: Spark splits the large
-side of a left join but not of a full outer join, so :func:`full_match` is a left join plus the
-right rows that found nothing.  Where only sums per key are needed no join is used at all: both
-feeds are tagged, stacked and aggregated once.
+Statuses are settled by joins that AQE can split when one claim id is hot.  Spark splits both sides of
+an inner join, the left side of a left or anti join, and no side of a full outer join; and it splits a
+side only where a shuffle made for the join stands directly under it.  So :func:`full_match` and
+:func:`left_match` are an inner join plus the rows that found nothing, and sides with one row per key
+come from :func:`one_per_key`, which leaves the join a shuffle of its own.  A blank key is no key.
+Where only sums per key are needed no join is used at all: both feeds are tagged, stacked and
+aggregated once.
 """
 
 from __future__ import annotations
@@ -18,15 +21,37 @@ from ..functions.text import strip0
 from .filters import date_range
 
 
+def keyed(key: str) -> Column:
+    """Whether a row has a key: neither null nor blank."""
+    return F.coalesce(F.trim(F.col(key).cast("string")) != "", F.lit(False))
+
+
+def one_per_key(df: DataFrame, keys: str | Sequence[str], *aggs: Column) -> DataFrame:
+    """One row per key, hashed by more than the key.
+
+    A join on the key then shuffles it again, one row per key, and AQE can split a hot key on the other
+    side; grouped by the key alone, the rows would stay where the aggregate left them and nothing could be
+    split.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    grouped = df.groupBy(*keys, F.hash(*keys).alias("_apart"))
+    return grouped.agg(*aggs).drop("_apart") if aggs else grouped.agg(F.lit(True).alias("_one")).select(*keys)
+
+
+def left_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left equi join on ``key`` that tolerates a key that is hot on either side."""
+    found = left.filter(keyed(key)).join(right.filter(keyed(key)), key)
+    alone = left.join(one_per_key(right.filter(keyed(key)), key), key, "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
+
+
 def full_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer equi join on ``key`` that tolerates hot keys; both sides keep their columns.
+    """Full outer equi join on ``key`` that tolerates a key that is hot on either side.
 
     ``right`` must not reuse a column name of ``left`` other than ``key``.
     """
-    both = left.join(right, key, "left")
-    seen = left.select(key).distinct()
-    alone = right.join(seen, key, "left_anti")
-    return both.unionByName(alone, allowMissingColumns=True)
+    alone = right.join(one_per_key(left.filter(keyed(key)), key), key, "left_anti")
+    return left_match(left, right, key).unionByName(alone, allowMissingColumns=True)
 
 
 def _status(diff: Column, has_left: Column, has_right: Column, tol: float) -> Column:
@@ -50,12 +75,12 @@ def reconcile(
     """Claims against statements, one row per pair or unmatched row.
 
     Date and error filters apply to each side before the join, as they cannot be pushed through it.
-    Rows without a key never match and are left out.
+    Rows whose key is null or blank never match and are left out.
     """
-    rep = date_range(claims.filter(F.col(key).isNotNull()), date_from, date_to, "dateadm")
+    rep = date_range(claims.filter(keyed(key)), date_from, date_to, "dateadm")
     if has_error:
         rep = rep.filter(is_error())
-    pay = date_range(stm.filter(F.col(key).isNotNull()), date_from, date_to, "date_admit")
+    pay = date_range(stm.filter(keyed(key)), date_from, date_to, "date_admit")
     has = set(claims.columns) & set(stm.columns)
     extra = [c for c in ("rep_no", "hn") if c in has and c != key]
     left = rep.select(
@@ -136,10 +161,8 @@ def batch_records(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFram
 
 def claim_records(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFrame:
     """Claims with one statement amount each (the smallest if a claim was paid in parts)."""
-    first = stm.filter(F.col("tran_id").isNotNull()).groupBy("tran_id").agg(
-        F.lit(True).alias("found"), F.min(zero("paid_after_deduction")).alias("stm_amount")
-    )
-    rows = claims.join(first, "tran_id", "left")
+    first = one_per_key(stm.filter(keyed("tran_id")), "tran_id", F.min(zero("paid_after_deduction")).alias("stm_amount"))
+    rows = claims.join(first.withColumn("found", F.lit(True)), "tran_id", "left")
     rep = zero("reimb_nhso")
     status = F.when(F.col("found").isNull(), "rep_only").when(F.abs(rep - zero("stm_amount")) < tol, "matched").otherwise("diff_amount")
     return rows.select("tran_id", "rep_no", "hn", rep.alias("rep_amount"), "stm_amount", status.alias("status"))
@@ -187,7 +210,7 @@ def statement_view(stm: DataFrame, claims: DataFrame, files: DataFrame, tol: flo
         F.col("paid").alias("rep_paid"), F.col("reimb_nhso").alias("rep_reimb_nhso"),
     )
     held = files.select("file_id", "document_no", "scheme", "file_type", "statement_month", "statement_year")
-    rows = stm.filter(F.col("data_type").isin("normal", "appeal")).drop("rep_no").join(rep, "tran_id", "left").join(held, "file_id", "left")
+    rows = left_match(stm.filter(F.col("data_type").isin("normal", "appeal")).drop("rep_no"), rep, "tran_id").join(held, "file_id", "left")
     diff = zero("total_compensation") - zero("rep_paid")
     status = (
         F.when(F.col("in_rep").isNull(), "missing_rep")
@@ -226,7 +249,7 @@ def statement_counts(view: DataFrame) -> DataFrame:
 def persist_match(stm: DataFrame, latest_claims: DataFrame, tol: float = 1, file_id: int | None = None) -> DataFrame:
     """Statement rows with their match written on them.  ``latest_claims`` has one row per claim."""
     rows = stm if file_id is None else stm.filter(F.col("file_id") == file_id)
-    rep = latest_claims.select("tran_id", F.lit(True).alias("_in"), F.col("paid").alias("_paid"))
+    rep = one_per_key(latest_claims.filter(keyed("tran_id")), "tran_id", F.first("paid").alias("_paid")).withColumn("_in", F.lit(True))
     diff = zero("total_compensation") - zero("_paid")
     return (
         rows.join(rep, "tran_id", "left")
@@ -247,7 +270,7 @@ def match_totals(matched: DataFrame) -> DataFrame:
 
 def apply_matches(claims: DataFrame, matches: DataFrame) -> DataFrame:
     """Write visit numbers from outside onto claims; ``matches`` is (tran_id, his_vn), one per claim."""
-    found = matches.groupBy("tran_id").agg(F.max("his_vn").alias("_vn"))
+    found = one_per_key(matches.filter(keyed("tran_id")), "tran_id", F.max("his_vn").alias("_vn"))
     rows = claims.join(found, "tran_id", "left")
     hit = F.col("_vn").isNotNull()
     return rows.withColumns(
@@ -259,7 +282,7 @@ def apply_matches(claims: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def failed_matches(claims: DataFrame, matches: DataFrame) -> DataFrame:
-    return matches.join(claims.select("tran_id").distinct(), "tran_id", "left_anti")
+    return matches.join(one_per_key(claims.filter(keyed("tran_id")), "tran_id"), "tran_id", "left_anti")
 
 
 def enrich(df: DataFrame, dim: DataFrame, left: str, right: str) -> DataFrame:
@@ -294,19 +317,24 @@ def waterfall_match(claims: DataFrame, visits: DataFrame, admissions: DataFrame,
     """Claims to visits in three passes: hn + date, then admission number, then pid -> hn + date.
 
     Each right side has one row per key, so the passes never multiply claims; the first pass that
-    finds a visit wins and is recorded.
+    finds a visit wins and is recorded.  Claims without a key, which would all hash to one task, get
+    one that is spread over the tasks and that no right side has.
     """
-    by_day = visits.groupBy("hn", "visit_date").agg(F.min("vn").alias("vn"))
-    by_an = admissions.groupBy("an").agg(F.min("vn").alias("vn_an"))
-    hn_of = patients.groupBy("pid").agg(F.min("hn").alias("hn_pid"))
+
+    def spread(key: str) -> Column:
+        return F.when(keyed(key), F.col(key)).otherwise(F.concat(F.lit("\0"), F.xxhash64("tran_id", "hn", "pid").cast("string")))
+
+    by_day = one_per_key(visits.filter(keyed("hn")), ["hn", "visit_date"], F.min("vn").alias("vn"))
+    by_an = one_per_key(admissions.filter(keyed("an")), "an", F.min("vn").alias("vn_an"))
+    hn_of = one_per_key(patients.filter(keyed("pid")), "pid", F.min("hn").alias("hn_pid"))
     day = F.col("dateadm").cast("date")
     one = by_day.select(F.col("hn").alias("_h1"), F.col("visit_date").alias("_d1"), F.col("vn").alias("vn_day"))
     three = by_day.select(F.col("hn").alias("_h3"), F.col("visit_date").alias("_d3"), F.col("vn").alias("vn_pid"))
     rows = (
-        claims.join(one, (F.col("hn") == F.col("_h1")) & (day == F.col("_d1")), "left")
-        .join(by_an.withColumnRenamed("an", "_an"), F.nullif(F.col("an"), F.lit("")) == F.col("_an"), "left")
-        .join(hn_of.withColumnRenamed("pid", "_pid"), F.col("pid") == F.col("_pid"), "left")
-        .join(three, (F.col("hn_pid") == F.col("_h3")) & (day == F.col("_d3")), "left")
+        claims.join(one, (spread("hn") == F.col("_h1")) & (day == F.col("_d1")), "left")
+        .join(by_an.withColumnRenamed("an", "_an"), spread("an") == F.col("_an"), "left")
+        .join(hn_of.withColumnRenamed("pid", "_pid"), spread("pid") == F.col("_pid"), "left")
+        .join(three, (spread("hn_pid") == F.col("_h3")) & (day == F.col("_d3")), "left")
     )
     how = F.when(F.col("vn_day").isNotNull(), "hn_date").when(F.col("vn_an").isNotNull(), "an").when(F.col("vn_pid").isNotNull(), "pid_date")
     return rows.withColumns({"vn": F.coalesce("vn_day", "vn_an", "vn_pid"), "match_pass": how}).drop(

@@ -2,26 +2,36 @@
 
 Every function returns the new table as a plan; the caller writes it to a fresh path (or uses
 ``MERGE INTO`` where a table format is at hand).  A batch is reduced to one row per key first, so
-applying the same batch twice changes nothing.
+applying the same batch twice changes nothing.  A null part of a key equals a null part, both where a
+batch is reduced and where it meets the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import one_per_key
 from .windows import latest
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Replace rows whose key is in the batch, add the others; the last row of a key wins."""
     newest = latest(batch, keys, order)
-    kept = target.join(newest.select(*keys), list(keys), "left_anti")
+    seen = one_per_key(newest, keys).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    kept = target.join(seen, _same(target, keys, [f"_k{i}" for i in range(len(keys))]), "left_anti")
     return kept.unionByName(newest, allowMissingColumns=True)
 
 
+def _same(target: DataFrame, keys: Sequence[str], others: Sequence[str]) -> Column:
+    """Keys equal part by part; null equals null."""
+    return reduce(and_, [target[k].eqNullSafe(F.col(o)) for k, o in zip(keys, others, strict=True)])
+
+
 def upsert_columns(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Update only ``update`` on known keys; unknown keys are inserted whole.
 
@@ -30,13 +40,13 @@ def upsert_columns(target: DataFrame, batch: DataFrame, keys: Sequence[str], upd
     """
     newest = latest(batch, keys, order)
     cols = target.columns
-    b = newest.select(*keys, F.lit(True).alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in newest.columns if c not in keys])
+    b = newest.select(F.lit(True).alias("_b"), *[F.col(c).alias(f"_b_{c}") for c in newest.columns])
     t = target.withColumn("_t", F.lit(True))
-    joined = t.join(b, list(keys), "full_outer")
+    joined = t.join(b, _same(t, keys, [f"_b_{k}" for k in keys]), "full_outer")
 
     def value(c: str) -> Column:
         if c in keys:
-            return F.col(c)
+            return F.when(F.col("_t").isNull(), F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c)
         if c not in newest.columns:
             return F.col(c)
         given = F.col(f"_b_{c}")

@@ -19,9 +19,11 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     """One row per key, the first in ``order``.
 
     The ``row_number() = 1`` filter is pushed into the window as a group limit, so every map task
-    sends at most one row per key whatever the key's size.
+    sends at most one row per key whatever the key's size.  Rows are dealt out by more than the key, so
+    that a join on the key shuffles the one row per key again and can split a key that is hot on its
+    other side.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = Window.partitionBy(*keys, F.hash(*keys)).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
@@ -63,21 +65,27 @@ def trailing_count(df: DataFrame, by: str, ts: str, seconds: int, out: str = "n_
     """For each row, how many rows of the same key fall in ``(ts - seconds, ts]``, peers included.
 
     Every row adds one at its time and takes it back ``seconds`` later, so the answer is a running
-    sum, which costs one pass where a sliding frame would recount itself at every row.  The sum is
-    taken inside blocks of ``seconds`` and the total of the earlier blocks is joined on, so a busy
-    key is spread over as many tasks as it has blocks.  A null key has no peers and counts 0.
+    sum, which costs one pass where a sliding frame would recount itself at every row.  Rows of one
+    key and moment are first added up, map-side, so what is put in order is moments and not rows,
+    however hard a key is hit.  The sum is taken inside blocks of ``seconds`` and the total of the
+    earlier blocks is joined on, so a busy key is spread over as many tasks as it has blocks.  The
+    answers are joined to the rows by key and moment.  A null key has no peers and counts 0.
     """
     width = seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumns({"_us": us, "_d": F.lit(1)})
-    gone = df.select(by, (us + width).alias("_us"), F.lit(-1).alias("_d"))
-    steps = rows.unionByName(gone, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_us") / width))
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    known = rows.filter(F.col(by).isNotNull() & F.col("_us").isNotNull())
+    moments = known.groupBy(by, "_us").agg(F.count("*").alias("_d"))
+    steps = moments.unionByName(moments.select(by, (F.col("_us") + width).alias("_us"), (-F.col("_d")).alias("_d")))
+    steps = steps.groupBy(by, "_us").agg(F.sum("_d").alias("_d")).withColumn("_b", F.floor(F.col("_us") / width))
     earlier = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = steps.groupBy(by, "_b").agg(F.sum("_d").alias("_t")).withColumn("_carry", F.sum("_t").over(earlier)).drop("_t")
     upto = Window.partitionBy(by, "_b").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     n = F.sum("_d").over(upto) + F.coalesce("_carry", F.lit(0))
-    counted = steps.join(carry, [by, "_b"], "left").withColumn(out, F.when(F.col(by).isNull(), F.lit(0)).otherwise(n).cast("bigint"))
-    return counted.filter(F.col("_d") == 1).select(*df.columns, out)
+    counted = steps.join(carry, [by, "_b"], "left").select(F.col(by).alias("_by"), F.col("_us").alias("_at"), n.cast("bigint").alias("_n"))
+    # A row without key or time is spread by itself and finds nothing.
+    moment = F.coalesce(F.when(F.col(by).isNotNull(), F.col("_us")), F.xxhash64(*df.columns))
+    joined = rows.join(counted, (F.col(by) == F.col("_by")) & (moment == F.col("_at")), "left")
+    return joined.select(*df.columns, F.coalesce("_n", F.lit(0).cast("bigint")).alias(out))
 
 
 def gap_sessions(df: DataFrame, by: str, ts: str, gap: int) -> DataFrame:

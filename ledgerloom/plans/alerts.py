@@ -117,7 +117,7 @@ def insight_score(insights: DataFrame) -> DataFrame:
     return out.select("total_insights", F.least(F.lit(100), F.col("points")).cast("int").alias("priority_score"), health.alias("health_status"))
 
 
-def inbox(notices: DataFrame, severity: str | None = None, kind: str | None = None, unread_only: bool = False, k: int = 100) -> DataFrame:
+def inbox(notices: DataFrame, severity: str | None = None, kind: str | None = None, unread_only: bool = False, *, k: int) -> DataFrame:
     """Open notices, newest first."""
     rows = notices.filter(~F.col("is_dismissed"))
     if severity:

@@ -138,12 +138,12 @@ def seed_status(tables: Mapping[str, tuple[DataFrame, int]]) -> DataFrame:
     return out.withColumn("state", state)
 
 
-def completed_files(ledger: DataFrame, k: int = 100) -> DataFrame:
+def completed_files(ledger: DataFrame, k: int) -> DataFrame:
     rows = ledger.filter(F.col("status") == "completed")
     return rows.orderBy(F.desc("file_date"), F.desc("file_id")).limit(k)
 
 
-def transfer_runs(smt: DataFrame, k: int = 100) -> DataFrame:
+def transfer_runs(smt: DataFrame, k: int) -> DataFrame:
     """Transfers by run date, newest first: the nearest thing a transfer has to a file."""
     out = smt.groupBy("run_date").agg(F.count("*").alias("records"), total("total_amount").alias("total_amount"))
     return out.orderBy(F.desc("run_date")).limit(k)

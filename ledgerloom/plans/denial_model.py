@@ -139,9 +139,11 @@ def score(frame: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
-def high_risk(claims: DataFrame, model: PipelineModel, looked_at: int = 100, threshold: float = 0.3, k: int = 20) -> DataFrame:
-    """The riskiest of the largest error-free claims."""
-    clean = claims.filter((F.col("claim_drg") > 0) & ~is_error(exclude=("0",))).orderBy(F.desc("claim_drg"), "tran_id").limit(looked_at)
+def high_risk(claims: DataFrame, model: PipelineModel, looked_at: int | None = None, threshold: float = 0.3, k: int = 20) -> DataFrame:
+    """The ``k`` riskiest of all error-free claims, or of the ``looked_at`` largest."""
+    clean = claims.filter((F.col("claim_drg") > 0) & ~is_error(exclude=("0",)))
+    if looked_at is not None:
+        clean = clean.orderBy(F.desc("claim_drg"), "tran_id").limit(looked_at)
     return score(training_frame(clean), model).filter(F.col("risk_score") >= threshold).orderBy(F.desc("risk_score"), "tran_id").limit(k)
 
 

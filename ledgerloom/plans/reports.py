@@ -418,7 +418,7 @@ def his_summary(claims: DataFrame) -> DataFrame:
     )
 
 
-def his_list(claims: DataFrame, threshold: float = 0, k: int = 50) -> DataFrame:
+def his_list(claims: DataFrame, threshold: float = 0, *, k: int) -> DataFrame:
     rows = claims.filter(F.abs("his_amount_diff") >= F.lit(threshold).cast("decimal(10,2)"))
     return rows.orderBy(F.abs("his_amount_diff").desc(), F.col("dateadm").desc(), "tran_id").limit(k).select(
         "tran_id", "his_vn", "his_amount_diff", "dateadm", F.coalesce("reconcile_status", F.lit("pending")).alias("status")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import is_error, mean, ratio_or_null, total, zero
 from ..operators.filters import secure
-from ..operators.joins import enrich, statement_view
+from ..operators.joins import enrich, left_match, statement_view
 from ..operators.windows import trailing_count
 
 
@@ -265,7 +265,7 @@ def user_login_history(users: DataFrame, audit: DataFrame, as_of: dt.datetime, d
     since = F.lit(as_of - dt.timedelta(days=days))
     logins = audit.filter(F.col("action").isin("LOGIN", "LOGIN_FAILED") & (F.col("ts") > since))
     logins = logins.select(F.col("user_id").alias("username"), F.col("ts").alias("login_time"), "ip_address", "status")
-    return users.filter(~F.col("is_deleted")).select(F.col("id").alias("user_id"), "username", "email").join(logins, "username", "left")
+    return users.filter(~F.col("is_deleted")).select(F.col("id").alias("user_id"), "username", "email").transform(left_match, logins, "username")
 
 
 def claims_summary_secure(claims: DataFrame, role: str | None, hospital: str | None) -> DataFrame:
@@ -275,7 +275,7 @@ def claims_summary_secure(claims: DataFrame, role: str | None, hospital: str | N
     )
 
 
-def recent_imports_secure(ledger: DataFrame, as_of: dt.date, role: str | None = None, hospital: str | None = None, k: int = 100) -> DataFrame:
+def recent_imports_secure(ledger: DataFrame, as_of: dt.date, role: str | None = None, hospital: str | None = None, *, k: int) -> DataFrame:
     rows = secure(ledger, role, hospital, "hospital_code").filter(F.col("file_date") >= F.date_sub(F.lit(as_of), 30))
     return rows.orderBy(F.desc("file_date"), F.desc("file_id")).limit(k).select("filename", "file_date", "status", "imported_records", "error_message")
 

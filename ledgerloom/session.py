@@ -7,6 +7,9 @@ split a hot key and to turn a join into a broadcast only after the side has been
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,17 +43,18 @@ def build_session(master: str | None = None, app: str = "ledgerloom", **extra: s
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may fall back to a
-    temporary folder, because there driver and executors share one disk.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, only a session in one process
+    gets a temporary folder, which goes when the process ends; tests, bench and tools name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     fresh = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, fresh, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", fresh)
     return fresh
 

@@ -33,20 +33,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip(BOM) for c in df.columns])
 
 
-def export_csv(df: DataFrame, path: str, cols: Sequence[str], order: Sequence[str], limit: int = 10_000, bom: bool = False) -> None:
-    """The first ``limit`` rows as one CSV file; the mark lets spreadsheets detect the encoding."""
-    out = df.orderBy(*order).limit(limit).select(*cols)
+def export_csv(df: DataFrame, path: str, cols: Sequence[str], order: Sequence[str], limit: int | None = None, bom: bool = False) -> None:
+    """The rows in order as CSV part files, or the first ``limit`` of them; the mark lets spreadsheets detect
+    the encoding."""
+    out = df.orderBy(*order)
+    if limit is not None:
+        out = out.limit(limit)
+    out = out.select(*cols)
     if bom:
         out = out.withColumnRenamed(cols[0], BOM + cols[0])
-    out.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+    out.write.mode("errorifexists").option("header", True).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Transfer records from documents of the form ``{"datas": [...]}``.
 
-    One document per file or per line; give the record schema to skip inference.
+    One document per line, so that a file can be split; give the record schema to skip inference.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read
     if schema:
         reader = reader.schema(f"datas array<struct<{schema}>>")
     return reader.json(path).select(F.explode("datas").alias("d")).select("d.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,30 +36,59 @@ def collect_stream(spark: SparkSession, stream: DataFrame, label: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def _batches(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batch folders a table has."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(int(f.getPath().getName()[6:]) for f in fs.listStatus(path) if f.getPath().getName().startswith("batch="))
+
+
 def ingest_stream(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column]) -> StreamingQuery:
     """Append each micro-batch, one row per key, as its own ``batch=N`` folder.
 
     ``foreachBatch`` may repeat a batch after a failure; the repeat overwrites the same folder, so the
-    table never holds a batch twice.  :func:`current` gives the upserted view.
+    table never holds a batch twice.  A new checkpoint begins at 0 again; its folders follow those that are
+    there, the place being written once beside the checkpoint.  :func:`current` gives the upserted view.
     """
+    spark = stream.sparkSession
+    note = f"{checkpoint}-first"
+    try:
+        base = spark.read.text(note).first()[0]
+    except AnalysisException:
+        base = str(max(_batches(spark, table), default=-1) + 1)
+        spark.createDataFrame([(base,)], "value string").coalesce(1).write.text(note)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        latest(batch, keys, order).write.mode("overwrite").parquet(f"{table}/batch={int(base) + batch_id}")
 
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def current(spark: SparkSession, table: str, keys: Sequence[str], schema=None) -> DataFrame:
-    """The newest row of each key over all batches."""
+def current(spark: SparkSession, table: str, keys: Sequence[str], order: Sequence[Column] = (), schema=None) -> DataFrame:
+    """The row of each key that is first in ``order`` over all batches; among equals the one that came last.
+
+    Give the ``order`` of :func:`ingest_stream`: a row that arrives late is then not taken for a newer one.
+    Without an order what came last wins.
+    """
     reader = spark.read.schema(schema.add("batch", "bigint")) if schema is not None else spark.read
-    return latest(reader.parquet(table), keys, [F.desc("batch")]).drop("batch")
+    return latest(reader.parquet(table), keys, [*order, F.desc("batch")]).drop("batch")
+
 
+def compact(spark: SparkSession, table: str, keys: Sequence[str], order: Sequence[Column] = (), target: str | None = None) -> str:
+    """Write the current rows as the single batch of a fresh table; returns its path.
 
-def compact(spark: SparkSession, table: str, keys: Sequence[str], target: str) -> None:
-    """Write the current rows as a fresh single-batch table."""
-    current(spark, table, keys).write.mode("errorifexists").parquet(f"{target}/batch=0")
+    The batch keeps the number of the newest it stands for, so a stream goes on in the new table with the
+    checkpoint it has: its next batches get higher numbers.
+    """
+    target = target or fresh_path(spark, "compacted")
+    newest = max(_batches(spark, table), default=0)
+    current(spark, table, keys, order).write.mode("errorifexists").parquet(f"{target}/batch={newest}")
+    return target
 
 
 def without_repeats(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:

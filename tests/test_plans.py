@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import filters, windows
@@ -45,6 +47,11 @@ def test_months_are_pruned(spark, tables):
     path = fresh_path(spark, "months")
     files.write_fact(tables.claims_core.select("tran_id", "dateadm"), path)
     assert "PartitionFilters: [isnotnull(month" in plan(files.read_months(spark, path, "1999-01", "1999-03"))
+    facts = spark.read.parquet(path)
+    year = filters.fiscal_year(facts, 2542)
+    assert "(month" in re.search(r"PartitionFilters: \[([^\]]*)", plan(year))[1] and "1998-10" in plan(year)
+    assert "1999-02" in re.search(r"PartitionFilters: \[([^\]]*)", plan(filters.date_range(facts, "1999-02-03")))[1]
+    assert year.count() == filters.fiscal_year(tables.claims_core, 2542).count() > 0
     assert spark.read.parquet(path).count() == tables.claims_core.count()
 
 

@@ -36,11 +36,20 @@ def test_each_file_is_read_once(spark, feed):
     run()
     add([event(2, 9), event(3, 1)])
     run()
-    rows = {r.id: r.ts for r in jobs.current(spark, f"{out}/t", ["id"]).collect()}
+    rows = {r.id: r.ts for r in jobs.current(spark, f"{out}/t", ["id"], [F.desc("ts")]).collect()}
     assert rows == {1: T0 + dt.timedelta(minutes=5), 2: T0 + dt.timedelta(minutes=9), 3: T0 + dt.timedelta(minutes=1)}
     assert spark.read.parquet(f"{out}/t").count() == 4
-    jobs.compact(spark, f"{out}/t", ["id"], f"{out}/small")
-    assert spark.read.parquet(f"{out}/small").count() == 3
+    small = jobs.compact(spark, f"{out}/t", ["id"], [F.desc("ts")])
+    assert spark.read.parquet(small).count() == 3
+    # The stream goes on in the compacted table with the checkpoint it has.
+    add([event(2, 2), event(3, 7), event(4, 4)])
+    jobs.ingest_stream(jobs.file_stream(spark, folder, SCHEMA), small, f"{out}/c", ["id"], [F.desc("ts")])
+    minutes = {r.id: (r.ts - T0).total_seconds() / 60 for r in jobs.current(spark, small, ["id"], [F.desc("ts")]).collect()}
+    assert minutes == {1: 5, 2: 9, 3: 7, 4: 4}
+    # A new checkpoint reads everything again into folders of its own and loses nothing.
+    jobs.ingest_stream(jobs.file_stream(spark, folder, SCHEMA), small, f"{out}/c2", ["id"], [F.desc("ts")])
+    again = {r.id: (r.ts - T0).total_seconds() / 60 for r in jobs.current(spark, small, ["id"], [F.desc("ts")]).collect()}
+    assert again == minutes
 
 
 def test_late_event_is_dropped(spark, feed):
