@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..operators import ingest, merge
 from ..session import fresh_path
-from ..sources import files
+from ..sources import files, layouts
 from .base import d, n, query, s, txt
 
 F_ = ingest.Field
@@ -86,6 +86,35 @@ def _(t):
     return ingest.project_positional(t.raw_claims, CLAIM_LAYOUT)
 
 
+# Whole layouts over the raw rows: every cell of a layout takes a raw cell of its kind.
+_RAW = {"id": ("c1", "c2", "c4"), "timestamp": ("c6",), "number": ("c7",), "text": ("c8", "c5", "c9", "c3")}
+
+
+def _raw_cells(fields: list) -> list[str]:
+    return [_RAW[f.kind][i % len(_RAW[f.kind])] for i, f in enumerate(fields)]
+
+
+def _layout_sql(fields: list) -> str:
+    read = {"id": lambda c, f: _idcell(c), "timestamp": lambda c, f: txt(_tscell(c)), "number": lambda c, f: d(_numcell(c)), "text": lambda c, f: f"substr({_cell(c)}, 1, {f.width})"}
+    return "SELECT file, row, " + ", ".join(f"{read[f.kind](c, f)} AS {f.name}" for f, c in zip(fields, _raw_cells(fields))) + " FROM raw_claims"
+
+
+for _kind, _fields in layouts.POSITIONAL.items():
+
+    @query(f"ing04_{_kind.lower()}", _layout_sql(_fields))
+    def _(t, fields=_fields):
+        sheet = t.raw_claims.select("file", "row", *[F.col(c).alias(f"c{f.source}") for f, c in zip(fields, _raw_cells(fields))])
+        return ingest.project_positional(sheet, fields)
+
+
+for _kind, _fields in layouts.NAMED.items():
+
+    @query(f"ing05_{_kind.lower()}", _layout_sql(_fields))
+    def _(t, fields=_fields):
+        sheet = t.raw_claims.select("file", "row", *[F.col(c).alias(f.source) for f, c in zip(fields, _raw_cells(fields))])
+        return ingest.project_named(sheet, fields)
+
+
 _NAMED = {"UCS": {"REP No.": "c1", "HN": "c2", "AMT": "c7"}, "LGO": {"REP": "c1", "HN": "c2", "FUND": "c8"}}
 
 

@@ -130,13 +130,18 @@ def digest(c: Column | str, algorithm: str = "sha256") -> Column:
 def clean_cell(c: Column | str, width: int | None = None, is_id: bool = False) -> Column:
     """One spreadsheet cell: first non-blank line, trimmed, empty markers to null, cut to width.
 
-    One pattern per cell does all of it; a wide layout of nested expressions would outgrow what the
-    JVM compiles.
+    Hardly any cell has a line break, so only those with one are read by a pattern, which has to go
+    back and forth; the others are trimmed.
     """
+    cell = _c(c)
     empty = "|".join(w for w in EMPTY_CELLS if w)
     tail = r"(?:\.0)?" if is_id else ""
     line = rf"^\s*+(?!(?:{empty})?\s*(?:\n|$))([^\n]*?){tail}\s*(?:\n|$)"
-    text = blank_to_null(F.regexp_extract(_c(c), line, 1))
+    plain = F.btrim(cell, F.lit(" \t\x0b\f\r"))
+    whole = F.when(plain.isin(*EMPTY_CELLS), F.lit("")).otherwise(plain)
+    if is_id:
+        whole = F.when(F.endswith(whole, F.lit(".0")), F.left(whole, F.length(whole) - 2)).otherwise(whole)
+    text = blank_to_null(F.when(F.contains(cell, F.lit("\n")), F.regexp_extract(cell, line, 1)).otherwise(whole))
     return F.substring(text, 1, width) if width else text
 
 
