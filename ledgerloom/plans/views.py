@@ -25,7 +25,7 @@ def _denied() -> Column:
 def with_calendar(df: DataFrame, dim_date: DataFrame, *cols: str) -> DataFrame:
     """Rows whose admission day is in the calendar, with the named calendar columns."""
     days = dim_date.select("full_date", *cols)
-    return df.join(F.broadcast(days), F.col("dateadm").cast("date") == F.col("full_date")).drop("full_date")
+    return df.join(days, F.col("dateadm").cast("date") == F.col("full_date")).drop("full_date")
 
 
 def daily_claim_summary(claims: DataFrame) -> DataFrame:
