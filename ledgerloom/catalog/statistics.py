@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -131,6 +132,29 @@ def _(t):
     return denial_model.metrics(_model(t, False), test)
 
 
+_DENIED = "CASE WHEN reimb_nhso > 0 THEN 0 WHEN error_code NOT IN ('', '0') THEN 1 ELSE 0 END"
+
+
+@query("ml03_confusion", f"""SELECT sum({_DENIED})::BIGINT AS denied, (count(*) - sum({_DENIED}))::BIGINT AS paid, count(*) AS test_size, true AS in_range FROM claims_core WHERE claim_drg > 0""")
+def _(t):
+    c, out = F.col, denial_model.metrics(_model(t), denial_model.training_frame(t.claims_core))
+    scores = [c(k).between(0, 1) for k in ("accuracy", "precision", "recall", "f1_score", "auc_roc")]
+    return out.select((c("true_positive") + c("false_negative")).alias("denied"), (c("false_positive") + c("true_negative")).alias("paid"), "test_size", reduce(and_, scores).alias("in_range"))
+
+
+@query("ml03_cross_validation")
+def _(t):
+    mean, deviation = denial_model.cross_validate(denial_model.training_frame(t.claims_core), folds=5, trees=20, depth=8)
+    return t.spark.createDataFrame([(5, mean, deviation)], "folds int, mean_f1 double, deviation double")
+
+
+@query("ml04_scores_hold", "SELECT count(*) AS claims, 0::BIGINT AS out_of_range, 0::BIGINT AS wrong_level FROM claims_core WHERE claim_drg > 0")
+def _(t):
+    out, p = denial_model.score(denial_model.training_frame(t.claims_core), _model(t)), F.col("risk_score")
+    level = F.when(p > 0.70005, "high").when(p < 0.39995, "low").when(p.between(0.40005, 0.69995), "medium").otherwise(F.col("risk_level"))
+    return out.agg(F.count("*").alias("claims"), F.count_if(~p.between(0, 1)).alias("out_of_range"), F.count_if(level != F.col("risk_level")).alias("wrong_level"))
+
+
 @query("ml03_importances")
 def _(t):
     return denial_model.importances(_model(t), t.claims_core, denial_model.feature_names())

@@ -131,10 +131,6 @@ def page(df: DataFrame, page: int = 1, per_page: int = 50, sort: str = "dateadm"
     )
 
 
-def latest_version(df: DataFrame, key: str = "tran_id", order: str = "file_id") -> DataFrame:
-    return latest(df, [key], [F.col(order).desc()])
-
-
 def lookup(df: DataFrame, code: str, short: str = "hcode5", long: str = "hcode9") -> DataFrame:
     """Rows whose short code is ``code`` (as given or padded to five) or whose long code is or ends with it."""
     return df.filter(F.col(short).isin(code, code.zfill(5)) | (F.col(long) == code) | F.col(long).endswith(code))

@@ -147,7 +147,3 @@ def error_rates(df: DataFrame, group: Column, name: str, min_rows: int = 1) -> D
     )
     level = F.when(F.col("error_rate") > 10, "high").when(F.col("error_rate") > 5, "medium").otherwise("low")
     return out.filter(F.col("total_claims") >= min_rows).withColumn("risk_level", level)
-
-
-def rate_of(a: str, b: str, dp: int = 2) -> Column:
-    return ratio(F.col(a), F.col(b), dp)

@@ -10,11 +10,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import is_error, ratio
 from ..functions.text import first_digits, has
+from ..operators.quantiles import exact_quantiles
 
 CATEGORIES = ["service_type", "drg", "main_fund", "main_inscl", "ptype"]
 FROM_ERROR = ["error_code_num", "high_risk_error"]
@@ -53,10 +54,20 @@ def feature_stages(with_error: bool = True) -> list:
     return [indexed, plain, VectorAssembler(inputCols=feature_names(with_error), outputCol="features")]
 
 
-def split(frame: DataFrame, train_parts: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """80/20 by a hash of the claim id, so the split is stable; both labels are cut alike."""
-    part = F.pmod(F.xxhash64("tran_id", F.lit(seed)), F.lit(10))
-    return frame.filter(part < train_parts), frame.filter(part >= train_parts)
+def split(frame: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows by a hash of the claim id, so the split is stable.
+
+    Each label is cut at its own quantile of the hash, so ``share`` of the denied and of the paid claims
+    train, to a row.
+    """
+    place = F.pmod(F.xxhash64("tran_id", F.lit(seed)), F.lit(1 << 31))
+
+    def cut(label: int) -> Column:
+        own = frame.filter(F.col("is_denied") == label).select(place.alias("place"))
+        return exact_quantiles(own, "place", [share]).select("value").scalar()
+
+    trains = place <= F.when(F.col("is_denied") == 1, cut(1)).otherwise(cut(0))
+    return frame.filter(trains), frame.filter(~trains)
 
 
 def weighted(train: DataFrame) -> DataFrame:

@@ -93,7 +93,3 @@ def forecast(claims: DataFrame, as_of: dt.date, horizon: int = 6, from_intercept
         F.greatest(F.lit(50), 95 - F.col("i") * 7).alias("confidence"),
         F.round(F.col("v") * 0.85, 2).alias("lower_bound"), F.round(F.col("v") * 1.15, 2).alias("upper_bound"),
     ).orderBy("month")
-
-
-def top_months(history: DataFrame, k: int = 12) -> DataFrame:
-    return topk(history, "month", k, "month")

@@ -652,8 +652,3 @@ def recent_claims(claims: DataFrame, ledger: DataFrame, k: int = 100) -> DataFra
     """Newest claims with the file they came from: the top-k is taken before the lookup."""
     top = claims.orderBy(F.desc_nulls_last("dateadm"), "tran_id").limit(k)
     return top.join(ledger.select("file_id", "filename"), "file_id", "left")
-
-
-def find_claims(claims: DataFrame, term: str, as_of: dt.date | None = None) -> DataFrame:
-    rows = search(claims, term, ["tran_id", "hn", "pid", "an"])
-    return rows.filter(F.col("dateadm") <= F.lit(as_of)) if as_of else rows

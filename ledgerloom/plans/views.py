@@ -288,9 +288,3 @@ def high_cost_months(claims: DataFrame) -> DataFrame:
 
 def monthly_by_patient_type(claims: DataFrame) -> DataFrame:
     return claims.groupBy(F.trunc("dateadm", "MM").alias("month"), "ptype").agg(F.count("*").alias("claims"), total("reimb_nhso").alias("total_reimb"))
-
-
-def register(views: dict[str, DataFrame]) -> None:
-    """Expose frames as temporary views for SQL users."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)

@@ -60,10 +60,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
 def write_fact(df: DataFrame, path: str, date_col: str = "dateadm") -> None:
     """A fact as Parquet folders per month.
 
