@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import blocks, bounded_sample
+from .learning import SAMPLE_PARTS, blocks, bounded_sample
 from .ship import session_of
 
 WIDTH = 4096
@@ -126,7 +126,8 @@ def fit(docs: DataFrame, learned_from, most: int = SAMPLE) -> LanguageModel:
     spark = session_of(docs)
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learned_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = bounded_sample(labelled.select("doc_id", "lang"), "lang", most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    rows = labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    # At most ``most`` ids of each language, so they are sent to the texts and not the texts to them.
+    rows = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, learned_from, most: int = SAMPLE) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([block.column(2).cast(pa.string()), pa.array(values, pa.list_(pa.float64()))], names=["lang", "counts"])
 
     made = rows.select("doc_id", "text", "lang").mapInArrow(vectors, "lang string, counts array<double>")
-    made = made.select("lang", array_to_vector("counts").alias("features")).persist()
+    made = made.repartition(SAMPLE_PARTS).select("lang", array_to_vector("counts").alias("features")).persist()
     langs = sorted(r.lang for r in made.select("lang").distinct().collect())
     groups: dict[str, list[str]] = {}
     for lang in langs:

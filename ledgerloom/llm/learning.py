@@ -18,13 +18,21 @@ def remainder(divisor: int):
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """At most ``most`` rows for each value of ``by``, those with the smallest hash of ``doc_id``.
 
-    The limit is applied in every task before rows are shuffled, so no value owns a task.  ``rows`` has
-    ``doc_id`` and ``by`` and should be narrow.
+    Hashes are even, so the smallest ``most`` of a value's ``n`` are below about ``most / n`` of their range; rows
+    beyond four times that are left out first, and a task ranks a few times ``most`` rows however common a
+    value is.  ``rows`` has ``doc_id`` and ``by``, a column of labels, of which there are few.
     """
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")))
+    place = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(by, "_by")
+    near = rows.join(F.broadcast(counts), F.col(by) == F.col("_by")).where(place * F.col("_n") <= 4 * most + 100).drop("_by", "_n")
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")))
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 
 
+#: Partitions of a bounded sample.  Fitting runs hundreds of small jobs over it, each with a task a partition.
+SAMPLE_PARTS = 8
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches cut into parts whose texts hold about ``size`` bytes, one row at least."""
     for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import blocks, bounded_sample
+from .learning import SAMPLE_PARTS, blocks, bounded_sample
 from .ship import session_of
 
 SAMPLE = 3000
@@ -174,11 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, learned_from, most: int = SAMPLE, tr
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
     known = known.withColumn("part", F.when(part == 2, "curve").when(part == 1, F.concat(F.lit("trees"), F.col("toxic"))).otherwise(F.concat(F.lit("words"), F.col("toxic"))))
     chosen = bounded_sample(known, "part", most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").persist()
+    # At most ``most`` ids of each part, so they are sent to the texts and not the texts to them.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").persist()
     try:
         words = rows.where(F.col("part").startswith("words"))
         lexicon = _lexicon(words)
-        x = _features(rows.where(~F.col("part").startswith("words")).withColumn("toxic", F.col("toxic") + F.when(F.col("part") == "curve", 2).otherwise(0)), lexicon).persist()
+        x = _features(rows.where(~F.col("part").startswith("words")).withColumn("toxic", F.col("toxic") + F.when(F.col("part") == "curve", 2).otherwise(0)), lexicon).repartition(SAMPLE_PARTS).persist()
         own = x.where("toxic < 2").select(F.col("toxic").cast("double").alias("label"), array_to_vector("x").alias("features"))
         if own.select("label").distinct().count() < 2:
             return ToxicityModel(lexicon, None, None)
