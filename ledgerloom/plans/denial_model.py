@@ -119,7 +119,7 @@ def cross_validate(frame: DataFrame, folds: int = 5, with_error: bool = True, **
     judge = MulticlassClassificationEvaluator(labelCol="is_denied", metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=pipeline(with_error, **forest), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, foldCol="fold", parallelism=2)
     fitted = cv.fit(rows.withColumn("is_denied", F.col("is_denied").cast("double")))
-    return [fitted.avgMetrics[0], fitted.stdMetrics[0]]
+    return [float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])]
 
 
 def importances(model: PipelineModel, frame: DataFrame, names: Sequence[str]) -> DataFrame:
