@@ -130,9 +130,10 @@ def fit(docs: DataFrame, learned_from, most: int = SAMPLE) -> LanguageModel:
     rows = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            values = [frequencies(t).tolist() for t in block.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(2).cast(pa.string()), pa.array(values, pa.list_(pa.float64()))], names=["lang", "counts"])
+        for block in blocks(batches, size=1 << 19):
+            values = np.concatenate([frequencies(t) for t in block.column(1).to_pylist()])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(block.num_rows + 1) * WIDTH, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([block.column(2).cast(pa.string()), rows], names=["lang", "counts"])
 
     made = rows.select("doc_id", "text", "lang").mapInArrow(vectors, "lang string, counts array<double>")
     made = made.repartition(SAMPLE_PARTS).select("lang", array_to_vector("counts").alias("features")).persist()

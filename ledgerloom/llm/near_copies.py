@@ -38,7 +38,7 @@ LEAST = 0.8
 ROWS = 4
 LAG = 8
 PARTNERS = 500
-HELD = 4_000_000
+HELD = 1_500_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:

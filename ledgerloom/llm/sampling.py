@@ -24,7 +24,7 @@ class _Words(dict):
     """Hashes of words met so far."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
