@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,13 +156,21 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
 
 
 def _next_ones(buckets: DataFrame, lag: int = LAG) -> DataFrame:
-    """Pairs of texts of one bucket that follow each other within ``lag`` places and are of different classes."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Pairs of texts of one bucket that follow each other within ``lag`` places and are of different classes.
+
+    Where a range ends, a bucket may be cut.  So a partition also gives its first and last ``lag`` rows and how many
+    it has, from which the driver makes the pairs across partitions.
+    """
+    spark = session_of(buckets)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("key", pa.int64()), ("class", pa.int64())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        part, tail, n = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             key, doc, group = (batch.column(k).to_numpy() for k in (0, 4, 5))
+            if n < lag:
+                yield edges(part, n, key[: lag - n], doc[: lag - n], group[: lag - n])
+            n += len(key)
             new = 0
             if tail is not None:
                 new = len(tail[0])
@@ -173,10 +182,35 @@ def _next_ones(buckets: DataFrame, lag: int = LAG) -> DataFrame:
                 found.append((doc[at], doc[at + k]))
             tail = key[-lag:], doc[-lag:], group[-lag:]
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none.cast(pa.int32()), none, none, none], schema=schema)
+        if n > lag:
+            new = min(len(tail[0]), n - lag)
+            yield edges(part, n - new, *(x[-new:] for x in tail))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, part, n, None, None), schema.types, strict=True)], schema=schema)
+
+    def edges(part: int, place: int, key: np.ndarray, doc: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        columns = [doc, None, np.full(len(key), part), np.arange(place, place + len(key)), key, group]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), t) if c is None else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     order = ["key", "k1", "k2", "k3", "doc_id"]
-    return buckets.select(*order, "class").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pair, "a long, b long")
+    ranges = buckets.select(*order, "class").repartitionByRange(*order).sortWithinPartitions(*order)
+    folder = fresh_folder(spark, "next-ones")
+    ranges.mapInArrow(pair, "a long, b long, part int, place long, key long, class long").write.parquet(folder)
+    found = spark.read.schema("a long, b long, part int, place long, key long, class long").parquet(folder)
+    # At most two times ``lag`` rows and one more of each partition.
+    rows = found.where("part IS NOT NULL").collect()
+    before, total = {}, 0
+    for part, n in sorted((r.part, r.place) for r in rows if r.a is None):
+        before[part], total = total, total + n
+    ends = sorted((before[r.part] + r.place, r.part, r.key, r.a, r["class"]) for r in rows if r.a is not None)
+    across = []
+    for i, (place, part, key, doc, group) in enumerate(ends):
+        for other, far, same, text, kind in ends[i + 1 : i + 1 + lag]:
+            if other - place <= lag and far != part and same == key and kind != group:
+                across.append((max(doc, text), min(doc, text)))
+    return found.where("part IS NULL").select("a", "b").unionByName(spark.createDataFrame(across, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -83,6 +83,31 @@ def test_classes_as_all_pairs(docs):
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and set(kept[0].asDict()) == set(df.columns)
 
 
+def test_next_ones_over_many_partitions(spark):
+    """Every pair within ``LAG`` places, wherever ranges cut buckets; small buckets are compared whole."""
+    rng = random.Random(4)
+    rows, doc = [], 0
+    for key in range(-20, 20):
+        for _ in range(rng.choice([2, 5, nc.LAG + 1, nc.LAG + 1, 60])):
+            doc += 1
+            rows.append((key, rng.randrange(3), rng.randrange(3), rng.randrange(3), doc, doc if rng.random() < 0.8 else key))
+    rows.sort()
+    want = {(max(x[4], y[4]), min(x[4], y[4])) for i, x in enumerate(rows) for y in rows[i + 1 : i + 1 + nc.LAG] if x[0] == y[0] and x[5] != y[5]}
+    assert len(want) > 2000
+    df = spark.createDataFrame(rows, "key long, k1 long, k2 long, k3 long, doc_id long, class long")
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for parts in (1, 7, 40):
+            for name, value in zip(names, (str(parts), "false"), strict=True):
+                spark.conf.set(name, value)
+            got = [(r.a, r.b) for r in nc._next_ones(df).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    finally:
+        for name, value in zip(names, old, strict=True):
+            spark.conf.set(name, value)
+
+
 def test_edges(docs):
     got = Counter((r.doc_id, r.class_id) for r in nc.near_copies(docs(EDGES)).collect())
     assert got == Counter([(0, 0), (1, 0), (2, 2), (3, 3), (3, 3), (4, 4), (5, 5), (None, 6), (6, 6), (7, 7), (8, 8)])
