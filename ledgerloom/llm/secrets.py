@@ -1,8 +1,9 @@
 """Secrets in texts: all rules run as one automaton over the bytes, a line with a hit is then read exactly.
 
 The automaton of :mod:`.automaton` says in one pass over the bytes which rules can match in which lines.
-Only there the rule itself gives the spans, leftmost first and without overlap within a kind.  No rule
-crosses a line end, so a line decides alone.
+Only there the rule itself gives the spans, leftmost first and without overlap within a kind.  A line decides
+alone, except for rules with ``lines``: a private key goes from its header through the matching end line, or
+else through the base64 lines that follow, and is read from the whole text of a document with a header.
 
 Positions are code points, the end is exclusive.  Defined results: a null text is empty and has no span;
 repeated rows are each answered; an empty table gives no row; other columns are not looked at.
@@ -36,8 +37,13 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    lines: bool = False
 
 
+# A header without its end line: what base64 (and encryption headers) follows it, also where line ends are escaped.
+_PEM_END = r"(?:[^-]++|-(?!----BEGIN |----END \1PRIVATE KEY-----))*+-----END \1PRIVATE KEY-----"
+_PEM_REST = r"(?:\s*(?:Proc-Type|DEK-Info):[^\n]*)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?<=[A-Za-z0-9+/]{16})(?:\s|\\[nr])++[A-Za-z0-9+/]{1,15}+={0,2}(?![^\s\\]))?"
+
 # The base rules first, in the order of their kinds, then known forms of credentials.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}""", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 12, True),
@@ -47,7 +53,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{3}", r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 24),
     Rule("google", r"AIza[A-Za-z0-9_-]{3}", r"AIza[A-Za-z0-9_-]+", False, 0, 39),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 0),
+    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY", rf"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:{_PEM_END}|{_PEM_REST})", False, 0, 0, False, True),
 )
 
 
@@ -72,15 +78,20 @@ class Scanner:
                 line_end = data.index(b"\n", offset)
                 lines.append([data.rfind(b"\n", 0, offset) + 1, line_end, 0])
             lines[-1][2] |= rules
+        across: set[tuple[int, int]] = set()
         owners = np.searchsorted(first, [x[0] for x in lines], side="right") - 1 if lines else []
         for (start, end, rules), owner in zip(lines, owners, strict=True):
             line = data[start:end].decode("utf-8", "surrogatepass")
             before = len(data[first[owner] : start].decode("utf-8", "surrogatepass"))
             for i, rule in enumerate(self.rules):
-                if rules >> i & 1:
+                if rules >> i & 1 and rule.lines:
+                    across.add((owner, i))
+                elif rules >> i & 1:
                     for m in self.exact[i].finditer(line):
                         if len(m[rule.group]) >= rule.least:
                             out[owner].append((before + m.start(), i, before + m.end()))
+        for owner, i in across:
+            out[owner] += [(m.start(), i, m.end()) for m in self.exact[i].finditer(texts[owner]) if len(m[self.rules[i].group]) >= self.rules[i].least]
         for spans in out:
             spans.sort()
         return out

@@ -72,6 +72,18 @@ def test_redaction(docs):
     assert out[2].text is None and out[3].text == "clean" and out[3].score == 0.5
 
 
+def test_redaction_of_private_keys(docs):
+    rng = random.Random(6)
+    body = ["".join(rng.choice("ABCdef0189+/") for _ in range(64)) for _ in range(12)] + ["Qx7+abc/9g=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole, cut = "\n".join([head, *body, end]), "\n".join([head, "Proc-Type: 4,ENCRYPTED", "", *body])
+    rows = [(1, f"é before\n{whole}\nafter"), (2, f"a\n{cut}\nplain words follow"), (3, "k = '" + whole.replace("\n", "\\n") + "';"), (4, f"x {head}\r\n" + "\r\n".join(body)), (5, f"{whole}\n{cut}\n{whole}"), (6, f"the line {head} starts a key")]
+    out = {r.doc_id: r.text for r in secrets.redact(docs(rows)).collect()}
+    assert out[1] == "é before\n[secret]\nafter" and out[2] == "a\n[secret]\nplain words follow"
+    assert out[3] == "k = '[secret]';" and out[4] == "x [secret]" and out[5] == "[secret]\n[secret]\n[secret]"
+    assert out[6] == "the line [secret] starts a key"
+
+
 def test_whole_table(spark, folder, documents):
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op7_secrets"](spark, folder).collect()}
     assert got == {r.doc_id: digest(r.text) for r in documents.select("doc_id", "text").collect()}
