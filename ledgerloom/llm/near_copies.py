@@ -8,8 +8,12 @@ weighted Jaccard similarity; classes are the connected components of what holds.
 A bucket is never paired out.  First each text is verified against the smallest of its bucket.  In buckets
 that still hold several classes, texts are then sorted by their next keys, which puts together those that
 agree longest, and each is verified against the ``LAG`` after it that are of another class; a bucket of up to
-``LAG + 1`` texts is thereby compared whole.  So work grows with the number of texts however large a group
-of copies is.  Pairs go to tasks by salted centre: a task reads a centre once and streams its partners.
+``LAG + 1`` texts is thereby compared whole.  Texts of larger buckets that still hold several classes are at
+last compared without a cap, by their rare shingles: in any order of all shingles, two texts of similarity
+``least`` share one of those that come first and without which less than ``least`` of a text's weight is left.
+The order is by how many of these texts hold a shingle, so what a template brings comes last and pairs nothing.
+So work grows with the number of texts however large a group of copies is.  Pairs go to tasks by salted
+centre: a task reads a centre once and streams its partners.
 
 The common shingles are found exactly in two passes: a shingle in ``COMMON`` of all documents is in a fourth
 of that share of some task's documents; those candidates, whose number is bounded, are then counted.
@@ -40,6 +44,7 @@ ROWS = 4
 LAG = 8
 PARTNERS = 500
 HELD = 1_500_000
+SLOT_BITS = 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -213,6 +218,94 @@ def _next_ones(buckets: DataFrame, lag: int = LAG) -> DataFrame:
     return found.where("part IS NULL").select("a", "b").unionByName(spark.createDataFrame(across, "a long, b long"))
 
 
+def _rare_ones(texts: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
+    """All pairs of ``texts(doc_id, class, n_class, text)`` of different classes that can be ``least`` similar.
+
+    ``b`` is the side whose class has fewer texts.  Any order gives all pairs; counts by a part of the hash
+    give a good one in bounded memory.
+    """
+    spark = session_of(texts)
+    shift = np.uint64(64 - SLOT_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << SLOT_BITS, np.int64)
+        for block in blocks(batches, 3):
+            held = [shingles(text)[0] for text in block.column(3).to_pylist()]
+            sums += np.bincount((np.concatenate(held) >> shift).astype(np.intp), minlength=1 << SLOT_BITS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["slot", "n"])
+
+    counted = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    held_by = np.zeros(1 << SLOT_BITS, np.int64)
+    held_by[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    sent = spark.sparkContext.broadcast((weights, held_by))
+    floor = least * (1 - 1e-9)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh, order = sent.value
+        for block in blocks(batches, 3):
+            rare, sizes = [], []
+            for text in block.column(3).to_pylist():
+                h, counts = shingles(text)
+                w = weigh(h, counts)
+                by = np.lexsort((h, order[h >> shift]))
+                rest = np.cumsum(w[by][::-1])[::-1]
+                sizes.append(float(w.sum()))
+                rare.append(h[by][rest >= floor * sizes[-1]].view(np.int64))
+            n = [len(x) for x in rare]
+            names, kinds, many = (np.repeat(block.column(k).to_numpy(), n) for k in range(3))
+            columns = [np.concatenate(rare), kinds, names, np.repeat(sizes, n), many]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "class", "doc_id", "size", "n_class"])
+
+    def pairs_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, kind, doc, size, many = columns
+        end = np.searchsorted(shingle, shingle, side="right")
+        last = np.append(np.flatnonzero((shingle[1:] != shingle[:-1]) | (kind[1:] != kind[:-1])) + 1, len(kind))
+        after = last[np.searchsorted(last, np.arange(len(kind)), side="right")]
+        n = end - after
+        total = np.cumsum(n)
+        begin = 0
+        while begin < len(n):
+            done = total[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(total, done + 500_000, side="right")))
+            m = n[begin:stop]
+            i = np.repeat(np.arange(begin, stop), m)
+            j = np.arange(len(i)) - np.repeat(total[begin:stop] - m - done, m) + np.repeat(after[begin:stop], m)
+            near = np.minimum(size[i], size[j]) >= floor * np.maximum(size[i], size[j])
+            i, j = i[near], j[near]
+            fewer = (many[i] < many[j]) | ((many[i] == many[j]) & (doc[i] < doc[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(fewer, doc[j], doc[i])), pa.array(np.where(fewer, doc[i], doc[j]))], names=["a", "b"])
+            begin = stop
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [batch.column(k).to_numpy() for k in range(5)]
+            if not len(columns[0]):
+                continue
+            if held and columns[0][-1] != held[-1][0][-1]:
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                yield from pairs_of([np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)])
+                held, columns = [], [c[cut:] for c in columns]
+            held.append(columns)
+        if held:
+            yield from pairs_of([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    folder = fresh_folder(spark, "rare-shingles")
+    texts.mapInArrow(post, "shingle long, class long, doc_id long, size double, n_class long").write.parquet(folder)
+    posts = spark.read.parquet(folder)
+    mixed = posts.groupBy("shingle", F.hash("shingle").alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("shingle").alias("_shingle"))
+    posts = posts.join(mixed, F.col("shingle") == F.col("_shingle")).select("shingle", "class", "doc_id", "size", "n_class")
+    return posts.repartition("shingle").sortWithinPartitions("shingle", "class", "doc_id").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with their ``class``."""
+    classed = buckets.join(classes.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select("key", "k1", "k2", "k3", "doc_id", F.coalesce("class", "doc_id").alias("class"))
+    mixed = classed.groupBy("key", F.hash("key").alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"))
+    return classed.join(mixed, F.col("key") == F.col("_key")).drop("_key")
+
+
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, class_id) of every row; the class is the smallest id of a group of copies and near copies."""
     spark = session_of(docs)
@@ -232,19 +325,26 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     count = SAMPLES // ROWS
     following = [F.element_at("keys", F.pmod(F.col("band") + k, F.lit(count)) + 1).alias(f"k{k}") for k in (1, 2, 3)]
     buckets = single.select("doc_id", "keys", F.posexplode("keys").alias("band", "key")).select("key", "band", "doc_id", *following)
-    shared = buckets.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select(F.col("key").alias("_key"), "centre")
-    buckets = kept(buckets.join(shared, F.col("key") == F.col("_key")).select("key", "k1", "k2", "k3", "doc_id", "centre"), "buckets")
+    shared = buckets.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select(F.col("key").alias("_key"), "centre", "n")
+    buckets = kept(buckets.join(shared, F.col("key") == F.col("_key")).select("key", "k1", "k2", "k3", "doc_id", "centre", "n"), "buckets")
     involved = buckets.select("doc_id").distinct()
     candidates = kept(texts.join(involved, "doc_id", "left_semi"), "candidates")
     stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     links = kept(verified(stars, candidates, weights, least), "stars")
     classes = kept(components(links), "star-classes")
-    classed = buckets.join(classes.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select("key", "k1", "k2", "k3", "doc_id", F.coalesce("class", "doc_id").alias("class"))
-    mixed = classed.groupBy("key", F.hash("key").alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"))
-    classed = classed.join(mixed, F.col("key") == F.col("_key")).drop("_key")
-    more = _next_ones(classed).distinct().join(stars, ["a", "b"], "left_anti")
-    more = kept(verified(kept(more, "more-pairs"), candidates, weights, least), "more")
-    classes = kept(components(links.unionByName(more)), "classes")
+    classed = _mixed(buckets, classes)
+    nexts = kept(_next_ones(classed).distinct().join(stars, ["a", "b"], "left_anti"), "more-pairs")
+    more = kept(verified(nexts, candidates, weights, least), "more")
+    classes = kept(components(links.unionByName(more)), "next-classes")
+    left = kept(_mixed(buckets.where(F.col("n") > LAG + 1), classes).select("doc_id", "class").distinct(), "left")
+    sizes = left.groupBy("class", F.hash("class").alias("_")).agg(F.count(F.lit(1)).alias("n_class")).select(F.col("class").alias("_class"), "n_class")
+    left = left.join(sizes, F.col("class") == F.col("_class")).select(F.col("doc_id").alias("_doc"), "class", "n_class")
+    left = kept(candidates.join(left, F.col("doc_id") == F.col("_doc")).select("doc_id", "class", "n_class", "text"), "left-texts")
+    known = stars.unionByName(nexts).select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
+    rare = _rare_ones(left, weights, least)
+    rare = kept(rare.join(known, (F.greatest("a", "b") == F.col("_a")) & (F.least("a", "b") == F.col("_b")), "left_anti"), "rare-pairs")
+    rare = kept(verified(rare, candidates, weights, least), "rare")
+    classes = kept(components(links.unionByName(more).unionByName(rare)), "classes")
     named = first.join(classes, F.col("first") == F.col("node"), "left").select(F.col("same").alias("_same"), F.coalesce("class", "first").alias("class_id"))
     # Grouped anew, so that the join has an exchange on both sides and a text with many copies can be split.
     named = named.groupBy("_same", F.hash("_same").alias("_")).agg(F.first("class_id").alias("class_id"))

@@ -108,6 +108,21 @@ def test_next_ones_over_many_partitions(spark):
             spark.conf.set(name, value)
 
 
+def test_copies_that_share_a_template(docs):
+    """Pairs whose keys come from a template that many texts have are found as by all pairs."""
+    rng = random.Random(9)
+    template, rows = words(rng, 300), []
+    for _ in range(60):
+        own = words(rng, 45)
+        for _ in range(2):
+            rows.append((len(rows), " ".join(template + own[:24] + words(rng, 21))))
+    df = docs(rows)
+    weights = nc.weights_of(df)
+    want = exact_classes(rows, weights)
+    assert 40 <= len(set(want.values())) <= 110
+    assert {r.doc_id: r.class_id for r in nc.near_copies(df).collect()} == want
+
+
 def test_edges(docs):
     got = Counter((r.doc_id, r.class_id) for r in nc.near_copies(docs(EDGES)).collect())
     assert got == Counter([(0, 0), (1, 0), (2, 2), (3, 3), (3, 3), (4, 4), (5, 5), (None, 6), (6, 6), (7, 7), (8, 8)])
