@@ -56,3 +56,9 @@ def reader(uri: str):
     """The file as a stream that can seek."""
     system, place = _split(uri)
     return system.open_input_file(place)
+
+
+def drop(spark: SparkSession, uri: str) -> None:
+    """Remove a folder of this package's own that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -130,3 +130,75 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from .repeats import remove_repeats
 
     return remove_repeats(table(spark, folder, "documents"))
+
+
+def _squared_sql(a: str, b: str) -> str:
+    return f"CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _floor_sql(total: str, many: str) -> str:
+    """The floor of a quotient; the engine's own integer division goes towards zero."""
+    return f"CAST(({total} - ((({total}) % {many} + {many}) % {many})) // {many} AS BIGINT)"
+
+
+_FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    steps = [
+        f"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x,
+  len(embedding) // 16 AS width FROM embeddings WHERE {_FINITE_SQL} AND len(embedding) > 0 AND len(embedding) % 16 = 0),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS n FROM v
+  WHERE len(x) = (SELECT len(x) FROM v ORDER BY vec_id NULLS LAST, x LIMIT 1)),
+parts AS MATERIALIZED (SELECT n, vec_id, label, part, x[part * width + 1:part * width + width] AS y FROM kept, range(16) AS r(part)),
+c0 AS MATERIALIZED (SELECT part, n - 1 AS entry, y AS c FROM parts WHERE n <= 64)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (SELECT n, p.part, min(struct_pack(far := {_squared_sql("y", "c")}, entry := entry)) AS best
+  FROM parts AS p JOIN c{k} AS c ON p.part = c.part GROUP BY n, p.part)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT d.part, d.best.entry AS entry, i, sum(y[i]) AS total, count(*) AS many
+  FROM d{k} AS d JOIN parts AS p ON p.n = d.n AND p.part = d.part, unnest(generate_series(1, len(y))) AS g(i) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list({_floor_sql("total", "many")} ORDER BY i) AS c FROM s{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, o.c) AS c FROM c{k} AS o LEFT JOIN m{k} AS m USING (part, entry))""")
+    steps.append(f"""seal AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT n, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM d{rounds} GROUP BY n)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (n), seal""")
+    return ",\n".join(steps)
+
+
+@named("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .codes import vector_codes
+
+    return vector_codes(table(spark, folder, "embeddings"))
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    steps = [
+        f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE {_FINITE_SQL} AND len(embedding) = 64),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) AS n FROM v),
+c0 AS MATERIALIZED (SELECT n - 1 AS cluster, x AS c FROM kept WHERE n <= 8)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (SELECT n, min(struct_pack(far := {_squared_sql("x", "c")}, cluster := cluster)) AS best
+  FROM kept, c{k} GROUP BY n)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT best.cluster AS cluster, i, sum(x[i]) AS total, count(*) AS many
+  FROM d{k} JOIN kept USING (n), range(1, 65) AS r(i) GROUP BY ALL),
+m{k} AS (SELECT cluster, list({_floor_sql("total", "many")} ORDER BY i) AS c FROM s{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM c{k} AS o LEFT JOIN m{k} AS m USING (cluster))""")
+    steps.append(f"""f AS (SELECT n, best.cluster AS cluster, best.far AS distance FROM d{rounds})
+SELECT vec_id, CAST(cluster AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN kept USING (n) JOIN c{rounds} USING (cluster)""")
+    return ",\n".join(steps)
+
+
+@named("op12_vector_clusters", _clusters_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .clusters import vector_clusters
+
+    return vector_clusters(table(spark, folder, "embeddings"))
