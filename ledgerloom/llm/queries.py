@@ -202,3 +202,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from .clusters import vector_clusters
 
     return vector_clusters(table(spark, folder, "embeddings"))
+
+
+@named("op13_document_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from .simhash import document_fingerprints
+
+    return document_fingerprints(table(spark, folder, "documents"))

@@ -20,11 +20,15 @@ SAMPLES = 64
 _M = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
+#: Words whose hashes a worker remembers, a few megabytes.
+KNOWN_WORDS = 1 << 15
+
+
 class _Words(dict):
     """Hashes of words met so far."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -39,12 +43,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text, in order."""
+    words = (text or "").lower().split()
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles as ascending 64-bit hashes, and how often each occurs."""
-    words = (text or "").lower().split()
-    if not words:
+    return shingles_of(word_hashes(text))
+
+
+def shingles_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the hashes of the words."""
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     size = min(SIZE, len(h))
     total = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
