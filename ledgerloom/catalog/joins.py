@@ -16,10 +16,10 @@ _R = "coalesce(reimb_nhso, 0)"
 
 def _match_sql(rep: str, pay: str, err: str = "true") -> str:
     return f"""SELECT coalesce(r.tran_id, s.tran_id) AS tran_id, coalesce(r.rep_no, s.rep_no) AS rep_no, coalesce(r.hn, s.hn) AS hn,
-      {txt('coalesce(r.dateadm, s.date_admit)')} AS service_date, r.error_code, {d('r.reimb_nhso')} AS rep_amount, {d('s.paid_after_deduction')} AS stm_amount,
-      {d('coalesce(s.paid_after_deduction, 0) - coalesce(r.reimb_nhso, 0)')} AS diff,
-      CASE WHEN s.tran_id IS NULL THEN 'rep_only' WHEN r.tran_id IS NULL THEN 'stm_only'
-        WHEN abs(coalesce(s.paid_after_deduction, 0) - coalesce(r.reimb_nhso, 0)) < 0.01 THEN 'matched' ELSE 'diff_amount' END AS status
+      {txt('coalesce(r.dateadm, s.date_admit)')} AS service_date, r.error_code, {d('coalesce(r.reimb_nhso, 0)')} AS rep_amount, {d('coalesce(s.paid_after_deduction, 0)')} AS stm_amount,
+      {d('coalesce(r.reimb_nhso, 0) - coalesce(s.paid_after_deduction, 0)')} AS diff,
+      CASE WHEN r.tran_id IS NOT NULL AND s.tran_id IS NOT NULL AND abs(coalesce(r.reimb_nhso, 0) - coalesce(s.paid_after_deduction, 0)) < 0.01 THEN 'matched'
+        WHEN r.tran_id IS NOT NULL AND s.tran_id IS NOT NULL THEN 'diff_amount' WHEN r.tran_id IS NOT NULL THEN 'rep_only' ELSE 'stm_only' END AS status
       FROM (SELECT * FROM claims WHERE {rep} AND {err}) r FULL JOIN (SELECT * FROM stm WHERE {pay}) s ON r.tran_id = s.tran_id"""
 
 
@@ -37,8 +37,8 @@ def _(t):
 
 
 BATCH = """SELECT rep_no, coalesce(rc, 0) AS rep_count, coalesce(sc, 0) AS stm_count, CAST(coalesce(ra, 0) AS DOUBLE) AS rep_amount, CAST(coalesce(sa, 0) AS DOUBLE) AS stm_amount,
-  CAST(coalesce(sa, 0) - coalesce(ra, 0) AS DOUBLE) AS diff, CASE WHEN sc IS NULL THEN 'rep_only' WHEN rc IS NULL THEN 'stm_only'
-  WHEN abs(coalesce(sa, 0) - coalesce(ra, 0)) < 0.01 THEN 'matched' ELSE 'diff_amount' END AS status
+  CAST(coalesce(ra, 0) - coalesce(sa, 0) AS DOUBLE) AS diff, CASE WHEN sc IS NULL THEN 'rep_only' WHEN rc IS NULL THEN 'stm_only'
+  WHEN abs(coalesce(ra, 0) - coalesce(sa, 0)) < 0.01 THEN 'matched' ELSE 'diff_amount' END AS status
   FROM (SELECT rep_no, count(*) AS rc, sum(reimb_nhso) AS ra FROM claims GROUP BY 1) r
   FULL JOIN (SELECT rep_no, count(*) AS sc, sum(paid_after_deduction) AS sa FROM stm GROUP BY 1) s USING (rep_no)"""
 

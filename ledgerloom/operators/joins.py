@@ -38,11 +38,21 @@ def one_per_key(df: DataFrame, keys: str | Sequence[str], *aggs: Column) -> Data
     return grouped.agg(*aggs).drop("_apart") if aggs else grouped.agg(F.lit(True).alias("_one")).select(*keys)
 
 
+def _left_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    found = left.join(right, key)
+    return found.unionByName(left.join(one_per_key(right, key), key, "left_anti"), allowMissingColumns=True)
+
+
+def _full_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Full outer join of rows that all have a key: each side is shuffled once and read by both its joins."""
+    alone = right.join(one_per_key(left, key), key, "left_anti")
+    return _left_match(left, right, key).unionByName(alone, allowMissingColumns=True)
+
+
 def left_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left equi join on ``key`` that tolerates a key that is hot on either side."""
-    found = left.filter(keyed(key)).join(right.filter(keyed(key)), key)
-    alone = left.join(one_per_key(right.filter(keyed(key)), key), key, "left_anti")
-    return found.unionByName(alone, allowMissingColumns=True)
+    found = _left_match(left.filter(keyed(key)), right.filter(keyed(key)), key)
+    return found.unionByName(left.filter(~keyed(key)), allowMissingColumns=True)
 
 
 def full_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -50,8 +60,9 @@ def full_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
     ``right`` must not reuse a column name of ``left`` other than ``key``.
     """
-    alone = right.join(one_per_key(left.filter(keyed(key)), key), key, "left_anti")
-    return left_match(left, right, key).unionByName(alone, allowMissingColumns=True)
+    found = _full_match(left.filter(keyed(key)), right.filter(keyed(key)), key)
+    keyless = left.filter(~keyed(key)).unionByName(right.filter(~keyed(key)), allowMissingColumns=True)
+    return found.unionByName(keyless, allowMissingColumns=True)
 
 
 def _status(diff: Column, has_left: Column, has_right: Column, tol: float) -> Column:
@@ -74,6 +85,7 @@ def reconcile(
 ) -> DataFrame:
     """Claims against statements, one row per pair or unmatched row.
 
+    ``diff`` is what was claimed less what was paid; an amount that is missing, or whose side is, counts as 0.
     Date and error filters apply to each side before the join, as they cannot be pushed through it.
     Rows whose key is null or blank never match and are left out.
     """
@@ -84,20 +96,20 @@ def reconcile(
     has = set(claims.columns) & set(stm.columns)
     extra = [c for c in ("rep_no", "hn") if c in has and c != key]
     left = rep.select(
-        key, F.lit(True).alias("in_rep"), F.col("reimb_nhso").alias("rep_amount"), "dateadm", "error_code",
+        key, F.lit(True).alias("in_rep"), zero("reimb_nhso").alias("rep_amount"), "dateadm", "error_code",
         *[F.col(c).alias(f"rep_{c}") for c in extra],
     )
     right = pay.select(
-        key, F.lit(True).alias("in_stm"), F.col("paid_after_deduction").alias("stm_amount"), "date_admit",
+        key, F.lit(True).alias("in_stm"), zero("paid_after_deduction").alias("stm_amount"), "date_admit",
         *[F.col(c).alias(f"stm_{c}") for c in extra],
     )
-    both = full_match(left, right, key)
-    diff = zero("stm_amount") - zero("rep_amount")
+    both = _full_match(left, right, key)
+    diff = zero("rep_amount") - zero("stm_amount")
     return both.select(
         key,
         *[F.coalesce(F.col(f"rep_{c}"), F.col(f"stm_{c}")).alias(c + "_" if c == "rep_no" else c) for c in extra],
         F.coalesce("dateadm", "date_admit").alias("service_date"),
-        "error_code", "rep_amount", "stm_amount", diff.alias("diff"),
+        "error_code", zero("rep_amount").alias("rep_amount"), zero("stm_amount").alias("stm_amount"), diff.alias("diff"),
         _status(diff, F.col("in_rep").isNotNull(), F.col("in_stm").isNotNull(), tol).alias("status"),
     ).withColumnsRenamed({"rep_no_": "rep_no"})
 
@@ -126,7 +138,7 @@ def reconcile_batches(
         F.sum("r").alias("rep_count"), F.sum("s").alias("stm_count"),
         F.coalesce(F.sum("rep"), F.lit(0)).alias("rep_amount"), F.coalesce(F.sum("stm"), F.lit(0)).alias("stm_amount"),
     )
-    diff = F.col("stm_amount") - F.col("rep_amount")
+    diff = F.col("rep_amount") - F.col("stm_amount")
     return both.withColumn("diff", diff).withColumn(
         "status", _status(diff, F.col("rep_count") > 0, F.col("stm_count") > 0, tol)
     )
@@ -179,7 +191,7 @@ def exists_counts(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFram
     step = F.lit(tol).cast("decimal(10,4)")
     rep = claims.groupBy("tran_id", zero("reimb_nhso").alias("rep")).agg(F.count("*").alias("n"))
     pay = stm.filter(F.col("tran_id").isNotNull()).withColumn("pay", zero("paid_after_deduction"))
-    ends = pay.groupBy("tran_id").agg(F.min("pay").alias("first"), F.max("pay").alias("last"))
+    ends = one_per_key(pay, "tran_id", F.min("pay").alias("first"), F.max("pay").alias("last"))
     c = F.col
     each = rep.join(ends, "tran_id", "left")
     far = (c("rep") - c("first") >= step) | (c("last") - c("rep") >= step)
@@ -194,7 +206,8 @@ def exists_counts(claims: DataFrame, stm: DataFrame, tol: float = 1) -> DataFram
     settled = counts(each.filter(alone), F.abs(c("rep") - c("first")) < step)
 
     home = F.floor(c("rep") / step).cast("bigint")
-    span = pay.groupBy("tran_id", F.floor(c("pay") / step).cast("bigint").alias("step")).agg(F.min("pay").alias("lo"), F.max("pay").alias("hi"))
+    stepped = pay.withColumn("step", F.floor(c("pay") / step).cast("bigint"))
+    span = one_per_key(stepped, ["tran_id", "step"], F.min("pay").alias("lo"), F.max("pay").alias("hi"))
     tries = each.filter(~alone).withColumn("step", F.explode(F.sequence(home - 1, home + 1))).join(span, ["tran_id", "step"], "left")
     close = F.when(c("step") < home, c("rep") - c("hi") < step).when(c("step") > home, c("lo") - c("rep") < step).otherwise(c("lo").isNotNull())
     open_ = tries.groupBy("tran_id", "rep", "n", "first", "last").agg(F.bool_or(F.coalesce(close, F.lit(False))).alias("near"))
