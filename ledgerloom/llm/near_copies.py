@@ -9,9 +9,8 @@ A bucket is never paired out.  First each text is verified against the smallest
 that still hold several classes, texts are then sorted by their next keys, which puts together those that
 agree longest, and each is verified against the ``LAG`` after it that are of another class; a bucket of up to
 ``LAG + 1`` texts is thereby compared whole.  Texts of larger buckets that still hold several classes are at
-last compared without a cap, by their rare shingles: in any order of all shingles, two texts of similarity
-``least`` share one of those that come first and without which less than ``least`` of a text's weight is left.
-The order is by how many of these texts hold a shingle, so what a template brings comes last and pairs nothing.
+last compared without a cap, by prefixes of their rare shingles (:mod:`.prefixes`): a template that many of them share
+comes last in the order of shingles and pairs nothing.
 So work grows with the number of texts however large a group of copies is.  Pairs go to tasks by salted
 centre: a task reads a centre once and streams its partners.
 
@@ -30,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .files import fresh_folder
 from .learning import blocks
-from .sampling import COMMON, SAMPLES, Sampler, Weights, shingles, similarity
+from .prefixes import possible_pairs
+from .sampling import COMMON, SAMPLES, Sampler, Weights, shingle_lists, similarity
 from .ship import session_of
 
 LEAST = 0.8
@@ -44,7 +45,6 @@ ROWS = 4
 LAG = 8
 PARTNERS = 500
 HELD = 1_500_000
-SLOT_BITS = 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -61,12 +61,12 @@ def weights_of(docs: DataFrame, share: float = COMMON) -> Weights:
         """Distinct shingles of documents, some millions at a time."""
         held, size, n = [], 0, 0
         for block in blocks(batches, 0):
-            for text in block.column(0).to_pylist():
-                held.append(shingles(text)[0])
-                size, n = size + len(held[-1]), n + 1
-            if size >= HELD:
-                yield n, np.sort(np.concatenate(held))
-                held, size, n = [], 0, 0
+            for h, _ in shingle_lists(block.column(0).to_pylist()):
+                held.append(h)
+                size, n = size + len(h), n + 1
+                if size >= HELD:
+                    yield n, np.sort(np.concatenate(held))
+                    held, size, n = [], 0, 0
         if n:
             yield n, np.sort(np.concatenate(held))
 
@@ -102,6 +102,7 @@ def weights_of(docs: DataFrame, share: float = COMMON) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(common))), pa.array(sums)], names=["at", "count"])
 
     counted = texts.mapInArrow(count, "at long, count long").groupBy("at").agg(F.sum("count").alias("count")).collect()
+    sent.destroy()
     held_by = np.zeros(len(candidates))
     for r in counted:
         held_by[r.at] = r["count"]
@@ -109,9 +110,9 @@ def weights_of(docs: DataFrame, share: float = COMMON) -> Weights:
     return Weights(total, candidates[common], held_by[common])
 
 
-def signed(docs: DataFrame, weights: Weights, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
+def signed(docs: DataFrame, sent: Broadcast[Weights], samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
     """(doc_id, same, keys): a key of the text itself and one of each band; no bands for an empty text."""
-    sent = session_of(docs).sparkContext.broadcast(weights)
+    session_of(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("same", pa.string()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +120,7 @@ def signed(docs: DataFrame, weights: Weights, samples: int = SAMPLES, rows: int
         band = np.arange(1, samples // rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for block in blocks(batches):
             keys = []
-            for text in block.column(1).to_pylist():
-                h, counts = shingles(text)
+            for h, counts in shingle_lists(block.column(1).to_pylist()):
                 if len(h):
                     drawn = sampler(h, weigh(h, counts)).reshape(-1, rows)
                     key = band.copy()
@@ -135,9 +135,9 @@ def signed(docs: DataFrame, weights: Weights, samples: int = SAMPLES, rows: int
     return docs.select("doc_id", "text", F.md5("text").alias("same")).mapInArrow(sign, "doc_id long, same string, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sent: Broadcast[Weights], least: float = LEAST) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts are at least ``least`` similar; ``b`` is the side many pairs share."""
-    sent = session_of(pairs).sparkContext.broadcast(weights)
+    session_of(pairs)
     salts = pairs.groupBy("b", F.hash("b").alias("_")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts")).select(F.col("b").alias("centre"), "salts")
     members = pairs.join(salts, F.col("b") == F.col("centre")).select("centre", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("place"), F.col("a").alias("doc_id"))
     centres = salts.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("place"), F.col("centre").alias("doc_id"))
@@ -148,8 +148,8 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
         weigh, held, own = sent.value, None, None
         for block in blocks(batches, 4):
             links: list[tuple[int, int]] = []
-            for centre, place, doc_id, text in zip(*(block.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                h, counts = shingles(text)
+            names = zip(*(block.column(k).to_pylist() for k in (0, 2, 3)), strict=True)
+            for (centre, place, doc_id), (h, counts) in zip(names, shingle_lists(block.column(4).to_pylist()), strict=True):
                 weighted = h, weigh(h, counts)
                 if place == 0:
                     held, own = centre, weighted
@@ -218,87 +218,6 @@ def _next_ones(buckets: DataFrame, lag: int = LAG) -> DataFrame:
     return found.where("part IS NULL").select("a", "b").unionByName(spark.createDataFrame(across, "a long, b long"))
 
 
-def _rare_ones(texts: DataFrame, weights: Weights, least: float = LEAST) -> DataFrame:
-    """All pairs of ``texts(doc_id, class, n_class, text)`` of different classes that can be ``least`` similar.
-
-    ``b`` is the side whose class has fewer texts.  Any order gives all pairs; counts by a part of the hash
-    give a good one in bounded memory.
-    """
-    spark = session_of(texts)
-    shift = np.uint64(64 - SLOT_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SLOT_BITS, np.int64)
-        for block in blocks(batches, 3):
-            held = [shingles(text)[0] for text in block.column(3).to_pylist()]
-            sums += np.bincount((np.concatenate(held) >> shift).astype(np.intp), minlength=1 << SLOT_BITS)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["slot", "n"])
-
-    counted = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    held_by = np.zeros(1 << SLOT_BITS, np.int64)
-    held_by[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    sent = spark.sparkContext.broadcast((weights, held_by))
-    floor = least * (1 - 1e-9)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, order = sent.value
-        for block in blocks(batches, 3):
-            rare, sizes = [], []
-            for text in block.column(3).to_pylist():
-                h, counts = shingles(text)
-                w = weigh(h, counts)
-                by = np.lexsort((h, order[h >> shift]))
-                rest = np.cumsum(w[by][::-1])[::-1]
-                sizes.append(float(w.sum()))
-                rare.append(h[by][rest >= floor * sizes[-1]].view(np.int64))
-            n = [len(x) for x in rare]
-            names, kinds, many = (np.repeat(block.column(k).to_numpy(), n) for k in range(3))
-            columns = [np.concatenate(rare), kinds, names, np.repeat(sizes, n), many]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "class", "doc_id", "size", "n_class"])
-
-    def pairs_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shingle, kind, doc, size, many = columns
-        end = np.searchsorted(shingle, shingle, side="right")
-        last = np.append(np.flatnonzero((shingle[1:] != shingle[:-1]) | (kind[1:] != kind[:-1])) + 1, len(kind))
-        after = last[np.searchsorted(last, np.arange(len(kind)), side="right")]
-        n = end - after
-        total = np.cumsum(n)
-        begin = 0
-        while begin < len(n):
-            done = total[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(total, done + 500_000, side="right")))
-            m = n[begin:stop]
-            i = np.repeat(np.arange(begin, stop), m)
-            j = np.arange(len(i)) - np.repeat(total[begin:stop] - m - done, m) + np.repeat(after[begin:stop], m)
-            near = np.minimum(size[i], size[j]) >= floor * np.maximum(size[i], size[j])
-            i, j = i[near], j[near]
-            fewer = (many[i] < many[j]) | ((many[i] == many[j]) & (doc[i] < doc[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(fewer, doc[j], doc[i])), pa.array(np.where(fewer, doc[i], doc[j]))], names=["a", "b"])
-            begin = stop
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(5)]
-            if not len(columns[0]):
-                continue
-            if held and columns[0][-1] != held[-1][0][-1]:
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))
-                yield from pairs_of([np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)])
-                held, columns = [], [c[cut:] for c in columns]
-            held.append(columns)
-        if held:
-            yield from pairs_of([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    folder = fresh_folder(spark, "rare-shingles")
-    texts.mapInArrow(post, "shingle long, class long, doc_id long, size double, n_class long").write.parquet(folder)
-    posts = spark.read.parquet(folder)
-    mixed = posts.groupBy("shingle", F.hash("shingle").alias("_")).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("shingle").alias("_shingle"))
-    posts = posts.join(mixed, F.col("shingle") == F.col("_shingle")).select("shingle", "class", "doc_id", "size", "n_class")
-    return posts.repartition("shingle").sortWithinPartitions("shingle", "class", "doc_id").mapInArrow(pair, "a long, b long").distinct()
-
-
 def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of buckets that hold several classes, with their ``class``."""
     classed = buckets.join(classes.withColumnRenamed("node", "_node"), F.col("doc_id") == F.col("_node"), "left").select("key", "k1", "k2", "k3", "doc_id", F.coalesce("class", "doc_id").alias("class"))
@@ -316,7 +235,8 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}")
 
     texts = _texts(docs)
-    weights = weights_of(texts)
+    # Bounded by the mean length of a text, and gone from the executors when the classes are known.
+    weights = spark.sparkContext.broadcast(weights_of(texts))
     every = kept(signed(texts, weights), "signed")
     # One text stands for its copies.
     first = every.groupBy("same", F.hash("same").alias("_")).agg(F.min("doc_id").alias("first")).select("same", "first")
@@ -335,16 +255,21 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     classed = _mixed(buckets, classes)
     nexts = kept(_next_ones(classed).distinct().join(stars, ["a", "b"], "left_anti"), "more-pairs")
     more = kept(verified(nexts, candidates, weights, least), "more")
-    classes = kept(components(links.unionByName(more)), "next-classes")
+    # What is linked already goes on as its classes.
+    stars_of = classes.select(F.col("node").alias("a"), F.col("class").alias("b"))
+    classes = kept(components(stars_of.unionByName(more)), "next-classes")
     left = kept(_mixed(buckets.where(F.col("n") > LAG + 1), classes).select("doc_id", "class").distinct(), "left")
-    sizes = left.groupBy("class", F.hash("class").alias("_")).agg(F.count(F.lit(1)).alias("n_class")).select(F.col("class").alias("_class"), "n_class")
-    left = left.join(sizes, F.col("class") == F.col("_class")).select(F.col("doc_id").alias("_doc"), "class", "n_class")
-    left = kept(candidates.join(left, F.col("doc_id") == F.col("_doc")).select("doc_id", "class", "n_class", "text"), "left-texts")
-    known = stars.unionByName(nexts).select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
-    rare = _rare_ones(left, weights, least)
-    rare = kept(rare.join(known, (F.greatest("a", "b") == F.col("_a")) & (F.least("a", "b") == F.col("_b")), "left_anti"), "rare-pairs")
-    rare = kept(verified(rare, candidates, weights, least), "rare")
-    classes = kept(components(links.unionByName(more).unionByName(rare)), "classes")
+    if not left.isEmpty():
+        sizes = left.groupBy("class", F.hash("class").alias("_")).agg(F.count(F.lit(1)).alias("n_class")).select(F.col("class").alias("_class"), "n_class")
+        left = left.join(sizes, F.col("class") == F.col("_class")).select(F.col("doc_id").alias("_doc"), "class", "n_class")
+        left = kept(candidates.join(left, F.col("doc_id") == F.col("_doc")).select("doc_id", "class", "n_class", "text"), "left-texts")
+        known = stars.unionByName(nexts).select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
+        rare = possible_pairs(left, weights, least)
+        rare = kept(rare.join(known, (F.greatest("a", "b") == F.col("_a")) & (F.least("a", "b") == F.col("_b")), "left_anti"), "rare-pairs")
+        rare = kept(verified(rare, candidates, weights, least), "rare")
+        stars_of = classes.select(F.col("node").alias("a"), F.col("class").alias("b"))
+        classes = kept(components(stars_of.unionByName(rare)), "classes")
+    weights.destroy()
     named = first.join(classes, F.col("first") == F.col("node"), "left").select(F.col("same").alias("_same"), F.coalesce("class", "first").alias("class_id"))
     # Grouped anew, so that the join has an exchange on both sides and a text with many copies can be split.
     named = named.groupBy("_same", F.hash("_same").alias("_")).agg(F.first("class_id").alias("class_id"))

@@ -3,10 +3,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import near_copies as nc
 from ledgerloom.llm.components import components
-from ledgerloom.llm.sampling import COMMON, TOP, Sampler, Weights, shingles, similarity
+from ledgerloom.llm.prefixes import SLOT_BITS, possible_pairs, prefix
+from ledgerloom.llm.sampling import CHUNK, COMMON, TOP, Sampler, Weights, shingle_lists, shingles, similarity, word_hashes, word_lists
 
 from .conftest import EDGES
 
@@ -78,7 +80,7 @@ def test_classes_as_all_pairs(docs):
     df = docs(rows)
     got = {r.doc_id: r.class_id for r in nc.near_copies(df).collect()}
     want = exact_classes(rows, nc.weights_of(df))
-    assert sum(got[d] != c for d, c in want.items()) <= 1
+    assert got == want
     kept = nc.first_of_each(df).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values())) and set(kept[0].asDict()) == set(df.columns)
 
@@ -123,6 +125,73 @@ def test_copies_that_share_a_template(docs):
     assert {r.doc_id: r.class_id for r in nc.near_copies(df).collect()} == want
 
 
+def templated(rng, n, template, own):
+    return [(k, " ".join(template + words(rng, own))) for k in range(n)]
+
+
+def test_a_template_alone_pairs_nothing(spark, docs):
+    """Texts with 82 % of their weight in a template: none alike, and candidates grow no faster than texts."""
+    rng = random.Random(12)
+    template = words(rng, 300)
+    found = {}
+    for n in (100, 300):
+        rows = templated(rng, n, template, 40)
+        df = docs(rows).select("doc_id", "text", F.col("doc_id").alias("class"), F.lit(1).cast("long").alias("n_class"))
+        weights = nc.weights_of(df)
+        h, c = shingles(rows[0][1])
+        shared = np.isin(h, shingles(rows[1][1])[0])
+        w = weights(h, c)
+        assert 0.8 < w[shared].sum() / w.sum() < 0.86
+        found[n] = possible_pairs(df, spark.sparkContext.broadcast(weights), nc.LEAST).count()
+    assert found[300] <= 4 * found[100] + 300
+    assert {r.doc_id: r.class_id for r in nc.near_copies(docs(rows)).collect()} == {d: d for d, _ in rows}
+
+
+@pytest.mark.parametrize("cell", [3, 2000])
+def test_possible_pairs_hold_all_that_are_similar(spark, docs, cell):
+    rng = random.Random(13)
+    template = words(rng, 120)
+    rows = templated(rng, 30, template, 30)
+    for base in range(12):
+        own = template[: 40 + 5 * base] + words(rng, 60)
+        rows += [(1000 * (base + 1) + e, " ".join(edited(rng, own, e))) for e in (0, 1, 2, 5)]
+    kinds = {d: d // 2 for d, _ in rows}
+    df = docs(rows).select("doc_id", "text", F.floor(F.col("doc_id") / 2).alias("class"), F.lit(2).cast("long").alias("n_class"))
+    weights = nc.weights_of(df)
+    got = [(r.a, r.b) for r in possible_pairs(df, spark.sparkContext.broadcast(weights), nc.LEAST, cell).collect()]
+    assert len(got) == len(set(got)) and all(kinds[a] != kinds[b] for a, b in got)
+    own = {d: (h, weights(h, c)) for d, t in rows for h, c in [shingles(t)]}
+    similar = {(a, b) for a in own for b in own if b < a and kinds[a] != kinds[b] and similarity(own[a], own[b]) >= nc.LEAST}
+    assert len(similar) > 10 and similar <= {(max(p), min(p)) for p in got}
+    assert len(got) < 0.2 * len(rows) ** 2
+
+
+def test_prefixes():
+    h, w = np.arange(10, dtype=np.uint64) << np.uint64(60), np.ones(10)
+    order = np.zeros(1 << SLOT_BITS, np.int64)
+    order[(h >> np.uint64(64 - SLOT_BITS)).view(np.int64)] = np.arange(10)[::-1]
+    shingle, left, posted, size = prefix(h, w, order, 0.8)
+    assert size == 10 and left.tolist() == [10, 9, 8] and posted.tolist() == [True, True, False]
+    assert (shingle == h[[9, 8, 7]]).all()
+    assert prefix(h[:0], w[:0], order, 0.8)[3] == 0
+
+
+def test_words_as_split():
+    """Words of many texts together, of single texts and of texts cut into parts, as by the text's own methods."""
+    rng = random.Random(14)
+    odd = ["", None, " ", "a\u3000b\xa0c\x85d\x1ce", "\u0130x \u00dcn\u00ef\n\n", "x" * (CHUNK + 5), "y " + "z" * (2 * CHUNK) + " w", "q " * CHUNK, "x" * (CHUNK - 1) + " b c" + "x" * (CHUNK - 1)]
+    texts = odd + [" ".join(words(rng, rng.randrange(40))) for _ in range(200)]
+    h, n = word_lists(texts)
+    assert n.tolist() == [len((t or "").lower().split()) for t in texts]
+    assert (np.concatenate([word_hashes(t) for t in texts]) == h).all()
+    known = {}
+    for word, value in zip([w for t in texts for w in (t or "").lower().split()], h.tolist(), strict=True):
+        assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+    for t, (own, counts) in zip(texts, shingle_lists(texts), strict=True):
+        assert (own == shingles(t)[0]).all() and (counts == shingles(t)[1]).all()
+
+
 def test_edges(docs):
     got = Counter((r.doc_id, r.class_id) for r in nc.near_copies(docs(EDGES)).collect())
     assert got == Counter([(0, 0), (1, 0), (2, 2), (3, 3), (3, 3), (4, 4), (5, 5), (None, 6), (6, 6), (7, 7), (8, 8)])
