@@ -8,6 +8,7 @@ from ..functions import money, text
 from ..operators import ingest, merge
 from ..session import fresh_path
 from ..sources import files, layouts
+from ..sources.keyed import KeyedTable
 from .base import d, n, query, s, txt
 
 F_ = ingest.Field
@@ -252,6 +253,32 @@ def _(t):
     return merge.upsert_columns(target, batch, _KEYS, ["claim_amount"], order)
 
 
+def _keyed(t, target, keys):
+    """A keyed table that holds ``target``."""
+    table = KeyedTable.create(t.spark, fresh_path(t.spark, "keyed"), target.schema, keys, 8)
+    table.merge(target, [F.lit(0)], number=0)
+    return table
+
+
+@query("ing16_touched_buckets", f"""SELECT {_OUT} FROM ({_BATCH1}) UNION ALL SELECT {_OUT} FROM ({_TARGET}) x
+  WHERE NOT EXISTS (SELECT 1 FROM ({_BATCH1}) b WHERE b.tran_id = x.tran_id AND b.row_number = x.row_number)""")
+def _(t):
+    target, batch, order = _parts(t)
+    table = _keyed(t, target, _KEYS)
+    for _ in range(2):  # the repeat is known by its number
+        table.merge(batch, order, number=1)
+    return table.read()
+
+
+@query("ing17_touched_columns", f"""SELECT tran_id, row_number, coalesce(t.item_code, b.item_code) AS item_code, {d('coalesce(b.claim_amount, t.claim_amount)')} AS claim_amount,
+  CASE WHEN t.tran_id IS NULL THEN b.deny_code ELSE t.deny_code END AS deny_code FROM ({_TARGET}) t FULL JOIN ({_BATCH1}) b USING (tran_id, row_number)""")
+def _(t):
+    target, batch, order = _parts(t)
+    table = _keyed(t, target, _KEYS)
+    table.merge(batch, order, update=["claim_amount"], number=1)
+    return table.read()
+
+
 @query("ing18_upsert_statements", f"""SELECT tran_id, file_id, {d('amt')} AS paid_after_deduction FROM (SELECT tran_id, file_id, CASE WHEN data_type = 'appeal' THEN paid_after_deduction + 5
   ELSE paid_after_deduction END AS amt FROM stm_core)""")
 def _(t):
@@ -302,6 +329,15 @@ def _(t):
     return merge.apply_delta(t.drugs, delta, "tmt_code", ["price"], [F.asc("price")])
 
 
+@query("ing22_touched_delta", f"""SELECT tmt_code, CASE WHEN x.tmt_code IS NULL THEN 'delta' ELSE x.generic_name END AS generic_name, {d('coalesce(y.price, x.price)')} AS price
+  FROM drugs x FULL JOIN (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS tmt_code, CAST(p_size AS DECIMAL(15,2)) AS price FROM part WHERE p_partkey % 6 < 2) y USING (tmt_code)""")
+def _(t):
+    delta = t.part.filter("p_partkey % 6 < 2").select(text.pad("p_partkey", 6).alias("tmt_code"), F.lit("delta").alias("generic_name"), F.col("p_size").cast("decimal(15,2)").alias("price"))
+    table = _keyed(t, t.drugs.select("tmt_code", "generic_name", "price"), ["tmt_code"])
+    table.merge(delta, [F.asc("price")], update=["price"], source="delta", number=1)
+    return table.read()
+
+
 @query("ing23_unwrap_formula", "SELECT hcode5 AS hcode5, hcode5 AS unwrapped, name AS plain FROM offices")
 def _(t):
     wrapped = F.concat(F.lit('="'), "hcode5", F.lit('"'))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, windows
 from ..session import fresh_path
+from ..sources.keyed import KeyedTable
 from ..sources.tables import VIEWS
 from ..streaming import jobs
 from .base import n, query, txt
@@ -31,6 +32,15 @@ _MARK = "(SELECT max(ts) FROM audit) - INTERVAL 1 HOUR"
 
 
 @query("str01_ingest", f"SELECT event_id, {txt('ts')} AS ts, user_id, event_type, value, props FROM events")
+def _(t):
+    out = fresh_path(t.spark, "ingest")
+    table = KeyedTable.create(t.spark, f"{out}/table", t.events.schema, ["event_id"], 8)
+    for _ in range(2):
+        jobs.upsert_stream(_events(t), table, f"{out}/checkpoint", [F.desc("ts")])
+    return table.read()
+
+
+@query("str01_append", f"SELECT event_id, {txt('ts')} AS ts, user_id, event_type, value, props FROM events")
 def _(t):
     out = fresh_path(t.spark, "ingest")
     jobs.ingest_stream(_events(t), f"{out}/table", f"{out}/checkpoint", ["event_id"], [F.desc("ts")])

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.windows import latest
 from ..session import fresh_path
+from ..sources.keyed import KeyedTable
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", fmt: str = "parquet") -> DataFrame:
@@ -91,6 +92,27 @@ def compact(spark: SparkSession, table: str, keys: Sequence[str], order: Sequenc
     return target
 
 
+def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, order: Sequence[Column], source: str = "stream") -> StreamingQuery:
+    """Upsert each micro-batch into a keyed table; of a key's rows the first in ``order`` stays, however late it comes.
+
+    Only the buckets that a batch touches are written, and a batch that is repeated after a failure is known by its
+    number.  A new checkpoint begins at 0 again, so its numbers follow the table's own.
+    """
+    note = f"{checkpoint}-first"
+    try:
+        base = int(stream.sparkSession.read.text(note).first()[0])
+    except AnalysisException:
+        base = table.last_batch(source) + 1
+        stream.sparkSession.createDataFrame([(str(base),)], "value string").coalesce(1).write.text(note)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, order, late=True, source=source, number=base + batch_id)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def without_repeats(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """Drop exact repeats that arrive within the delay."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
