@@ -33,8 +33,9 @@ SPACE = "▁"
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
 _UNIT = re.compile(rf"\n| *[{_LETTER}]+(?=[ \n{_SIGN}]|\Z)| *[^ \n]+| +")
 _CROSSED = re.compile(rf"[^{SPACE}]{SPACE}|\n|[{_LETTER}][{_SIGN}]")
-KNOWN_UNITS = 600_000
-LONG_UNIT = 64
+#: Units whose ids a worker remembers while a task lasts, some thirty megabytes.
+KNOWN_UNITS = 100_000
+LONG_UNIT = 32
 
 
 class Pieces:
@@ -160,6 +161,10 @@ class Pieces:
             data = [b"".join([known[v][u] for u, v in zip(*both, strict=True)]) for both in cut]
         return [np.frombuffer(d, dtype=self.kind).astype(np.int32) for d in data]
 
+    def forget(self) -> None:
+        for known in self.known:
+            known.clear()
+
     def decode(self, ids) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         return data[1:].decode("utf-8", "surrogatepass")
@@ -188,7 +193,7 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, vari
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, dropout, seed, variants)
-        for block in blocks(batches):
+        for block in blocks(batches, size=1 << 20):
             names, texts = (c.to_pylist() for c in block.columns)
             ids = coder.encode([t or "" for t in texts], [-1 if d is None else d for d in names])
             same = [coder.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
@@ -196,6 +201,7 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, vari
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes), lists.cast(_OUT.types[2]), pa.array(same)], schema=_OUT)
+        coder.forget()  # the worker goes on to other work
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 

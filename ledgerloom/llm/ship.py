@@ -9,11 +9,19 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of rows that a Python worker is handed at once.  A batch of ten thousand long texts would be gigabytes.
+BATCH_BYTES = 8 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:
-    """The session of ``df``; its executors can import this package from now on."""
+    """The session of ``df``; its executors can import this package from now on.
+
+    Batches are small from now on too, unless the session has a limit of its own.
+    """
     spark = df.sparkSession
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == f"{64 << 20}b":
+        spark.conf.set(limit, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
