@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import ingest, merge
+from ..operators import ingest, merge, sheets
 from ..session import fresh_path
 from ..sources import files, layouts
 from ..sources.keyed import KeyedTable
@@ -116,6 +116,36 @@ for _kind, _fields in layouts.NAMED.items():
         return ingest.project_named(sheet, fields)
 
 
+# The social-security sheet, its headers and columns typed out by hand.
+_SSS_HAND = {
+    "REP No.": "rep_no", "ลำดับที่": "seq", "TRAN_ID": "tran_id", "HN": "hn", "AN": "an", "PID": "pid", "ชื่อ-สกุล": "name", "ประเภทผู้ป่วย": "ptype", "วันเข้ารักษา": "dateadm", "วันจำหน่าย": "datedsc",
+    "กรณีที่เบิก": "claim_case", "ประเภทบริการ": "service_type", "การรับส่งต่อ": "chk_refer", "การมีสิทธิ": "chk_right", "การใช้สิทธิ": "chk_use_right", "CHK": "chk", "สิทธิหลัก": "main_inscl", "สิทธิย่อย": "sub_inscl",
+    "HREF": "href", "HCODE": "hcode", "HMAIN": "hmain", "PROV1": "prov1", "HMAIN2": "hmain2", "PROV2": "prov2", "PROJ": "projcode", "HTYPE": "htype", "AESTATUS": "ae_status", "IPTYPE": "iptype", "HSEND": "hsend",
+    "DRG": "drg", "RW(1)": "rw", "AdjRW\n(2)": "adjrw_nhso", "ชำระเอง": "paid", "อัตราจ่ายที่กำหนด\n(3)": "pay_point", "ระยะเวลาส่งข้อมูล (PS)": "ps_percent", "ขอเบิกค่าบริการ": "claim_request",
+    "IP": "ip_amt", "OP": "op_amt", "AE": "ae_amt", "HC": "hc_amt", "INT": "int_amt", "ON TOP": "on_top_amt", "PP": "pp_amt", "รวมเงินค่าบริการทั้งหมด": "total_service_amt", "Error Code": "error_code",
+    "Deny": "deny_count", "VA": "va", "REMARK": "remark", "AUDIT RESULTS": "audit_result", "SEQ NO": "seq_no", "INVOICE NO": "invoice_no", "INVOICE LT": "invoice_lt",
+}
+_SSS_NUMBERS = "seq rw adjrw_nhso paid pay_point ps_percent claim_request ip_amt op_amt ae_amt hc_amt int_amt on_top_amt pp_amt total_service_amt deny_count".split()
+_SSS_IDS = "rep_no tran_id hn an pid seq_no".split()
+
+
+def _sss_cell(name: str) -> str:
+    if name in _SSS_NUMBERS:
+        return d(_numcell("c7"))
+    if name in _SSS_IDS:
+        return _idcell("c1")
+    if name in ("dateadm", "datedsc"):
+        return txt(_tscell("c6"))
+    return f"left({_cell('c5')}, 1)" if name in ("chk_refer", "chk_right", "chk_use_right", "chk") else f"left({_cell('c5')}, 2)" if name == "service_type" else _cell("c5")
+
+
+@query("ing05_sss_headers", "SELECT file, row, " + ", ".join(f"{_sss_cell(name)} AS {name}" for name in _SSS_HAND.values()) + " FROM raw_claims")
+def _(t):
+    kinds = {"c7": _SSS_NUMBERS, "c1": _SSS_IDS, "c6": ["dateadm", "datedsc"]}
+    sheet = t.raw_claims.select("file", "row", *[F.col(next((c for c, names in kinds.items() if name in names), "c5")).alias(header) for header, name in _SSS_HAND.items()])
+    return ingest.project_named(sheet, layouts.NAMED["SSS"])
+
+
 _NAMED = {"UCS": {"REP No.": "c1", "HN": "c2", "AMT": "c7"}, "LGO": {"REP": "c1", "HN": "c2", "FUND": "c8"}}
 
 
@@ -295,6 +325,111 @@ def _(t):
     return out.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("claim_amount").alias("amount"))
 
 
+# --- workbooks: every table of them in one scan; the cells are listed here by hand ---------------
+
+
+def _dealt(t, raw, sections):
+    """The workbook rows dealt into tables, once."""
+    path = fresh_path(t.spark, "workbooks")
+    sheets.deal(raw, sections, path)
+    return {s.table: sheets.section(t.spark, path, s, raw.schema) for s in sections}
+
+
+def _plain(c: str, width: int | None = None) -> str:
+    text = f"CASE WHEN trim({c}) NOT IN ('', '-') AND lower(trim({c})) <> 'nan' THEN trim({c}) END"
+    return f"left({text}, {width})" if width else text
+
+
+def _money(c: str) -> str:
+    return d(f"coalesce(TRY_CAST(trim(replace({c}, ',', '')) AS DECIMAL(15,2)), 0)")
+
+
+def _rate(c: str) -> str:
+    return d(f"coalesce(TRY_CAST(trim(replace({c}, ',', '')) AS DECIMAL(15,4)), 0)")
+
+
+def _whole(c: str, commas: bool = False) -> str:
+    return f"CAST(trunc(coalesce(TRY_CAST(trim({f'replace({c}, {chr(39)},{chr(39)}, {chr(39)}{chr(39)})' if commas else c}) AS DOUBLE), 0)) AS BIGINT)"
+
+
+def _dayof(c: str) -> str:
+    return txt(f"CASE WHEN regexp_matches(trim({c}), '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$') THEN CAST(try_strptime(trim({c}), '%d/%m/%Y') AS DATE) END")
+
+
+_PERSON_SQL = lambda k: f"{_plain(f'c{k}', 15)} AS hn, {_plain(f'c{k + 1}', 20)} AS an, {_dayof(f'c{k + 2}')} AS dateadm, {_plain(f'c{k + 3}', 13)} AS pid, {_plain(f'c{k + 4}', 100)} AS patient_name"
+_SHEET_KEY = f"{_plain('c1', 20)} IS NOT NULL AND upper({_plain('c1', 20)}) <> 'TRAN_ID'"
+_HEAD = "file, 'normal' AS data_type, "
+_SHEET_SQL = {
+    "summary": f"""SELECT {_HEAD} 0 AS row_number, {_plain('c0', 20)} AS rep_period, {_plain('c1', 10)} AS hcode, {_plain('c2', 20)} AS rep_no, {_whole('c3')} AS total_cases, {_whole('c4')} AS passed_cases,
+      {_whole('c5')} AS failed_cases, {_money('c6')} AS hc_claim, {_money('c7')} AS hc_reimb, {_money('c8')} AS ae_claim, {_money('c9')} AS ae_reimb, {_money('c10')} AS inst_claim, {_money('c11')} AS inst_reimb,
+      {_money('c12')} AS ip_claim, {_money('c13')} AS ip_reimb, {_money('c14')} AS dmis_claim, {_money('c15')} AS dmis_reimb, {_money('c16')} AS pp_claim, {_money('c17')} AS pp_reimb,
+      {_money('c18')} AS drug_claim, {_money('c19')} AS drug_reimb, {_money('c20')} AS reimb_agency, {_money('c21')} AS reimb_total FROM raw_sheets WHERE sheet = 'Summary' AND row = 5""",
+    "drug": f"""SELECT {_HEAD} row - 6 AS row_number, {_plain('c1', 20)} AS tran_id, {_PERSON_SQL(2)}, {_whole('c7')} AS drug_seq, {_plain('c8', 20)} AS drug_code, {_plain('c9', 10)} AS tmt_code,
+      {_plain('c10', 200)} AS generic_name, {_plain('c11', 100)} AS trade_name, {_plain('c12', 10)} AS drug_type, {_plain('c13', 50)} AS drug_category, {_plain('c14', 50)} AS dosage_form,
+      {_money('c15')} AS quantity, {_money('c16')} AS unit_price, {_money('c17')} AS claim_amount, {_money('c18')} AS ceiling_price, {_money('c19')} AS reimb_amount, {_money('c20')} AS reimb_agency,
+      {_plain('c21', 50)} AS error_code FROM raw_sheets WHERE sheet = 'Data Drug' AND row >= 6 AND {_SHEET_KEY}""",
+    "instrument": f"""SELECT {_HEAD} row - 6 AS row_number, {_plain('c1', 20)} AS tran_id, {_PERSON_SQL(2)}, {_whole('c7')} AS inst_seq, {_plain('c8', 10)} AS inst_code, {_plain('c9', 200)} AS inst_name,
+      {_whole('c10')} AS claim_qty, {_money('c11')} AS claim_amount, {_whole('c12')} AS reimb_qty, {_money('c13')} AS reimb_amount, {_plain('c14', 10)} AS deny_flag, {_plain('c15', 50)} AS error_code
+      FROM raw_sheets WHERE sheet = 'Data Instrument' AND row >= 6 AND {_SHEET_KEY}""",
+    "deny": f"""SELECT {_HEAD} row - 1 AS row_number, {_plain('c1', 20)} AS tran_id, {_plain('c2', 10)} AS hcode, {_PERSON_SQL(3)}, {_plain('c8', 20)} AS fund_code, {_plain('c9', 20)} AS claim_code,
+      {_whole('c10')} AS expense_category, {_money('c11')} AS claim_amount, {_plain('c12', 20)} AS deny_code FROM raw_sheets WHERE sheet = 'Data DENY' AND row >= 1 AND {_SHEET_KEY}""",
+    "zero_paid": f"""SELECT {_HEAD} row - 6 AS row_number, {_plain('c1', 20)} AS tran_id, {_plain('c2', 10)} AS hcode, {_PERSON_SQL(3)}, {_plain('c8', 20)} AS fund_code, {_plain('c9', 20)} AS claim_code,
+      {_plain('c10', 10)} AS tmt_code, {_whole('c11')} AS expense_category, {_whole('c12')} AS claim_qty, {_whole('c13')} AS paid_qty, {_money('c14')} AS paid_amount, {_plain('c15', 200)} AS reason
+      FROM raw_sheets WHERE sheet = 'Data sheet 0' AND row >= 6 AND {_SHEET_KEY}""",
+}
+
+for _table, _sql in _SHEET_SQL.items():
+
+    @query(f"ing19_{_table}", _sql)
+    def _(t, table=_table):
+        return _dealt(t, t.raw_sheets, layouts.CLAIM_SHEETS)[table]
+
+
+_MARKED = """(SELECT *, coalesce(last_value(CASE WHEN contains(c0, 'ข้อมูลปกติ') THEN 'normal' WHEN contains(c0, 'ข้อมูลอุทธรณ์') THEN 'appeal' WHEN contains(c0, 'ผู้พิการ D1') THEN 'disabled_d1' END IGNORE NULLS)
+  OVER (PARTITION BY file, sheet ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'normal') AS data_type FROM raw_stm_sheets)"""
+_LETTERS = "CASE WHEN contains(upper(file), '_IP') THEN 'IP' ELSE 'OP' END"
+
+
+@query("ing12_receivable_summary", f"""SELECT file, data_type, row AS row_number, CASE c0 WHEN 'ผู้ป่วยใน' THEN 'inpatient' ELSE 'outpatient' END AS patient_type, {_whole('c1', True)} AS rep_count, {_whole('c2', True)} AS patient_count,
+  {_rate('c3')} AS total_adjrw, {_money('c4')} AS total_paid, {_money('c5')} AS salary_deduction, {_money('c6')} AS adjrw_paid_deduction,
+  {d(f"{_money('c4')} - {_money('c5')} - {_money('c6')}")} AS net_receivable
+  FROM {_MARKED} WHERE contains(sheet, 'รายงานพึงรับ') AND NOT contains(sheet, 'ผู้พิการ') AND c0 IN ('ผู้ป่วยใน', 'ผู้ป่วยนอก')""")
+def _(t):
+    return ingest.receivable_net(sheets.patient_types(_dealt(t, t.raw_stm_sheets, layouts.STATEMENT_SHEETS)["receivable"]))
+
+
+_REP_SQL = f"""SELECT file, data_type, row, {_plain('c0')} AS period, {_plain('c1')} AS hcode, {_plain('c2')} AS rep_no, {_plain('c3')} AS claim_type, {_whole('c4', True)} AS total_passed, {_money('c5')} AS amount_claimed,
+  {_money('c6')} AS prb_amount, {_money('c7')} AS receivable_op, {_money('c8')} AS receivable_ip_calc, {_money('c9')} AS receivable_ip_paid, {_money('c10')} AS hc_amount, {_money('c11')} AS hc_drug,
+  {_money('c12')} AS ae_amount, {_money('c13')} AS ae_drug, {_money('c14')} AS inst_amount, {_money('c15')} AS dmis_calc, {_money('c16')} AS dmis_paid, {_money('c17')} AS dmis_drug, {_money('c18')} AS palliative_care,
+  {_money('c19')} AS dmishd_amount, {_money('c20')} AS pp_amount, {_money('c21')} AS fs_amount, {_money('c22')} AS opbkk_amount, {_money('c23')} AS total_receivable, {_money('c24')} AS covid_amount, {_plain('c25')} AS data_source
+  FROM {_MARKED} WHERE contains(sheet, 'รายงานสรุป') AND NOT contains(sheet, 'ผู้พิการ') AND contains(sheet, {_LETTERS}) AND row >= 15 AND regexp_matches(c0, '^\d{{4}}_[IO]P_\d+')"""
+
+
+@query("ing18_rep_summary", f"SELECT * EXCLUDE (row, n) FROM (SELECT *, row_number() OVER (PARTITION BY file, rep_no, data_type ORDER BY row DESC) AS n FROM ({_REP_SQL})) WHERE n = 1")
+def _(t):
+    rows = _dealt(t, t.raw_stm_sheets, layouts.STATEMENT_SHEETS)["rep_summary"]
+    table = KeyedTable.create(t.spark, fresh_path(t.spark, "rep-summary"), rows.schema, ["file", "rep_no", "data_type"], 8)
+    for number in (0, 0):  # a file that is loaded again changes nothing
+        table.merge(rows, [F.desc("row_number")], source="statements", number=number)
+    return table.read().drop("row_number")
+
+
+def _stamp(c: str) -> str:
+    return txt(f"coalesce(try_strptime({_cell(c)}, '%d/%m/%Y %H:%M:%S'), try_strptime({_cell(c)}, '%d/%m/%Y'))")
+
+
+@query("ing18_claim_details", f"""SELECT file, CASE WHEN contains(sheet, 'ข้อมูลปกติ') THEN 'normal' WHEN contains(sheet, 'อุทธรณ์') THEN 'appeal' ELSE 'disabled_d1' END AS data_type, row AS row_number, {_plain('c0')} AS rep_no, {_whole('c1', True)} AS seq,
+  {_idcell('c2')} AS tran_id, {_idcell('c3')} AS hn, {_idcell('c4')} AS an, {_idcell('c5')} AS pid, {_plain('c6')} AS patient_name, {_stamp('c7')} AS date_admit, {_stamp('c8')} AS date_discharge, {_plain('c9')} AS main_inscl, {_plain('c10')} AS proj_code,
+  {_money('c11')} AS amount_claimed, {_money('c12')} AS fund_ip_prb, {_rate('c13')} AS adjrw, {_whole('c14', True)} AS late_penalty, {_rate('c16')} AS ccuf, {_rate('c17')} AS adjrw2, {_money('c18')} AS payment_rate, {_money('c19')} AS salary_deduction,
+  {_money('c20')} AS paid_after_deduction, {_money('c21')} AS receivable_op, {_money('c22')} AS receivable_ip_calc, {_money('c23')} AS receivable_ip_paid, {_money('c24')} AS hc_amount, {_money('c25')} AS hc_drug, {_money('c26')} AS ae_amount,
+  {_money('c27')} AS ae_drug, {_money('c28')} AS inst_amount, {_money('c29')} AS dmis_calc, {_money('c30')} AS dmis_paid, {_money('c31')} AS dmis_drug, {_money('c32')} AS palliative_care, {_money('c33')} AS dmishd_amount, {_money('c34')} AS pp_amount,
+  {_money('c35')} AS fs_amount, {_money('c36')} AS opbkk_amount, {_money('c37')} AS total_compensation, {_money('c38')} AS va_amount, {_money('c39')} AS covid_amount, {_plain('c40')} AS data_source, {_plain('c41')} AS seq_no
+  FROM raw_stm_sheets WHERE contains(sheet, 'รายละเอียด') AND (contains(sheet, 'ผู้พิการ D1') OR contains(sheet, {_LETTERS})) AND row >= 14 AND regexp_matches(c0, '^\d+') AND NOT contains(c0, 'รวม') AND {_idcell('c2')} IS NOT NULL""")
+def _(t):
+    dealt = _dealt(t, t.raw_stm_sheets, layouts.STATEMENT_SHEETS)
+    return dealt["claims_normal"].unionByName(dealt["claims_appeal"]).unionByName(dealt["claims_disabled"])
+
+
 @query("ing20_receivable_net", f"SELECT file_id, data_type, patient_type, {d('coalesce(total_paid, 0) - coalesce(salary_deduction, 0) - coalesce(adjrw_paid_deduction, 0)')} AS net_receivable FROM receivables")
 def _(t):
     return ingest.receivable_net(t.receivables).select("file_id", "data_type", "patient_type", "net_receivable")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import num, num0
+from ..functions.money import num, num0, whole0
 from ..functions.text import blank_to_null, clean_cell, claim_file_parts, drug_name_parts, prefix, statement_file_parts, to_ts
 from .windows import fill_down
 
@@ -35,7 +35,7 @@ class Field:
 
     name: str
     source: int | str
-    kind: str = "text"  # text, id, number, number0, timestamp
+    kind: str = "text"  # text, plain, id, number, number0, rate0, whole0, int0, timestamp, day
     width: int | None = None
 
     def read(self, cell: Column) -> Column:
@@ -43,6 +43,18 @@ class Field:
             return num(clean_cell(cell))
         if self.kind == "number0":
             return num0(clean_cell(cell))
+        if self.kind == "rate0":
+            return F.coalesce(num(clean_cell(cell), "decimal(15,4)"), F.lit(0).cast("decimal(15,4)"))
+        if self.kind == "whole0":
+            return whole0(cell)
+        if self.kind == "int0":  # as above, but a number with commas is unreadable
+            return F.coalesce(F.trim(cell).try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+        if self.kind == "day":  # a date with a time of day is unreadable
+            return F.when(F.trim(cell).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), to_ts(cell)).cast("date")
+        if self.kind == "plain":
+            text = F.trim(cell)
+            text = F.when((text != "") & (text != "-") & (F.lower(text) != "nan"), text)
+            return F.left(text, F.lit(self.width)) if self.width else text
         if self.kind == "timestamp":
             return to_ts(clean_cell(cell))
         if self.kind == "id":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.ingest import Field
+from ..operators.sheets import Section
 
 # Columns of outpatient and inpatient claim sheets by cell, from cell 0 on.
 OPIP = """
@@ -54,7 +55,8 @@ SSS = {
     "REP No.": "rep_no", "ลำดับที่": "seq", "TRAN_ID": "tran_id", "HN": "hn", "AN": "an", "PID": "pid", "ชื่อ-สกุล": "name", "ประเภทผู้ป่วย": "ptype", "วันเข้ารักษา": "dateadm", "วันจำหน่าย": "datedsc",
     "กรณีที่เบิก": "claim_case", "ประเภทบริการ": "service_type", "การรับส่งต่อ": "chk_refer", "การมีสิทธิ": "chk_right", "การใช้สิทธิ": "chk_use_right", "CHK": "chk", "สิทธิหลัก": "main_inscl", "สิทธิย่อย": "sub_inscl",
     "HREF": "href", "HCODE": "hcode", "HMAIN": "hmain", "PROV1": "prov1", "HMAIN2": "hmain2", "PROV2": "prov2", "PROJ": "projcode", "HTYPE": "htype", "AESTATUS": "ae_status", "IPTYPE": "iptype", "HSEND": "hsend", "DRG": "drg",
-    "RW(1)": "rw", "AdjRW\n(2)": "adjrw_nhso", "ชำระเอง": "paid", "IP": "ip_amt", "OP": "op_amt", "AE": "ae_amt", "HC": "hc_amt", "INT": "int_amt", "ON TOP": "on_top_amt", "PP": "pp_amt",
+    "RW(1)": "rw", "AdjRW\n(2)": "adjrw_nhso", "ชำระเอง": "paid", "อัตราจ่ายที่กำหนด\n(3)": "pay_point", "ระยะเวลาส่งข้อมูล (PS)": "ps_percent",
+    "ขอเบิกค่าบริการ": "claim_request", "IP": "ip_amt", "OP": "op_amt", "AE": "ae_amt", "HC": "hc_amt", "INT": "int_amt", "ON TOP": "on_top_amt", "PP": "pp_amt", "รวมเงินค่าบริการทั้งหมด": "total_service_amt",
     "Error Code": "error_code", "Deny": "deny_count", "VA": "va", "REMARK": "remark", "AUDIT RESULTS": "audit_result", "SEQ NO": "seq_no", "INVOICE NO": "invoice_no", "INVOICE LT": "invoice_lt",
 }
 
@@ -86,3 +88,60 @@ NAMED = {
     "LGO": [field(name, header) for header, name in LGO.items()],
     "SSS": [field(name, header) for header, name in SSS.items()],
 }
+
+
+def _fields(text: str, kind: str, first: int = 0) -> tuple[Field, ...]:
+    """``name:width`` is text, a bare name of the given kind, ``name=kind`` of another, ``.`` a cell that is not kept."""
+    out = []
+    for at, word in enumerate(text.split(), first):
+        name, _, other = word.partition("=")
+        name, _, width = name.partition(":")
+        if name != ".":
+            out.append(Field(name, at, "plain", int(width)) if width else Field(name, at, other or kind))
+    return tuple(out)
+
+
+# Columns of the detail sheets of claim workbooks by cell, text with its width.
+SUMMARY = _fields(
+    "rep_period:20 hcode:10 rep_no:20 total_cases=int0 passed_cases=int0 failed_cases=int0 hc_claim hc_reimb ae_claim ae_reimb inst_claim inst_reimb "
+    "ip_claim ip_reimb dmis_claim dmis_reimb pp_claim pp_reimb drug_claim drug_reimb reimb_agency reimb_total", "number0")
+DRUG = _fields(
+    "tran_id:20 hn:15 an:20 dateadm=day pid:13 patient_name:100 drug_seq=int0 drug_code:20 tmt_code:10 generic_name:200 trade_name:100 drug_type:10 "
+    "drug_category:50 dosage_form:50 quantity unit_price claim_amount ceiling_price reimb_amount reimb_agency error_code:50", "number0", 1)
+INSTRUMENT = _fields(
+    "tran_id:20 hn:15 an:20 dateadm=day pid:13 patient_name:100 inst_seq=int0 inst_code:10 inst_name:200 claim_qty=int0 claim_amount reimb_qty=int0 "
+    "reimb_amount deny_flag:10 error_code:50", "number0", 1)
+DENY = _fields(
+    "tran_id:20 hcode:10 hn:15 an:20 dateadm=day pid:13 patient_name:100 fund_code:20 claim_code:20 expense_category=int0 claim_amount deny_code:20", "number0", 1)
+ZERO_PAID = _fields(
+    "tran_id:20 hcode:10 hn:15 an:20 dateadm=day pid:13 patient_name:100 fund_code:20 claim_code:20 tmt_code:10 expense_category=int0 claim_qty=int0 "
+    "paid_qty=int0 paid_amount reason:200", "number0", 1)
+
+# Columns of the sections of statement workbooks by cell.
+RECEIVABLE = _fields("patient_type=plain rep_count=whole0 patient_count=whole0 total_adjrw=rate0 total_paid salary_deduction adjrw_paid_deduction", "number0")
+REP_SUMMARY = _fields(
+    "period=plain hcode=plain rep_no=plain claim_type=plain total_passed=whole0 amount_claimed prb_amount receivable_op receivable_ip_calc receivable_ip_paid "
+    "hc_amount hc_drug ae_amount ae_drug inst_amount dmis_calc dmis_paid dmis_drug palliative_care dmishd_amount pp_amount fs_amount opbkk_amount "
+    "total_receivable covid_amount data_source=plain", "number0")
+STATEMENT_CLAIM = _fields(
+    "rep_no=plain seq=whole0 tran_id=id hn=id an=id pid=id patient_name=plain date_admit=timestamp date_discharge=timestamp main_inscl=plain proj_code=plain "
+    "amount_claimed fund_ip_prb adjrw=rate0 late_penalty=whole0 . ccuf=rate0 adjrw2=rate0 payment_rate salary_deduction paid_after_deduction receivable_op "
+    "receivable_ip_calc receivable_ip_paid hc_amount hc_drug ae_amount ae_drug inst_amount dmis_calc dmis_paid dmis_drug palliative_care dmishd_amount "
+    "pp_amount fs_amount opbkk_amount total_compensation va_amount covid_amount data_source=plain seq_no=plain", "number0")
+
+# Names of the sheets, their first rows of data and what such a row begins with.
+CLAIM_SHEETS = [
+    Section("summary", SUMMARY, sheets=("Summary",), first=5, only_first=True),
+    Section("drug", DRUG, sheets=("Data Drug",), first=6, cell="c1", pattern=r"\S", key="tran_id"),
+    Section("instrument", INSTRUMENT, sheets=("Data Instrument",), first=6, cell="c1", pattern=r"\S", key="tran_id"),
+    Section("deny", DENY, sheets=("Data DENY",), first=1, cell="c1", pattern=r"\S", key="tran_id"),
+    Section("zero_paid", ZERO_PAID, sheets=("Data sheet 0",), first=6, cell="c1", pattern=r"\S", key="tran_id"),
+]
+_CLAIM = {"fields": STATEMENT_CLAIM, "first": 14, "pattern": r"^\d+", "no_words": ("รวม", "nan"), "key": "tran_id"}
+STATEMENT_SHEETS = [
+    Section("receivable", RECEIVABLE, holds=("รายงานพึงรับ",), without=("ผู้พิการ",), pattern="^(ผู้ป่วยใน|ผู้ป่วยนอก)$"),
+    Section("rep_summary", REP_SUMMARY, holds=("รายงานสรุป",), without=("ผู้พิการ",), by_type=True, first=15, pattern=r"^\d{4}_[IO]P_\d+"),
+    Section("claims_normal", holds=("รายละเอียด", "ข้อมูลปกติ"), by_type=True, kind="normal", **_CLAIM),
+    Section("claims_appeal", holds=("รายละเอียด", "อุทธรณ์"), by_type=True, kind="appeal", **_CLAIM),
+    Section("claims_disabled", holds=("รายละเอียด", "ผู้พิการ D1"), kind="disabled_d1", **_CLAIM),
+]

@@ -316,6 +316,64 @@ VIEWS |= {
           || CASE WHEN p_partkey % 2 = 0 THEN ' mL bottle' ELSE ' tablet' END || ' (TPU)' AS fsn FROM {part}""",
 }
 
+
+def _row(file: str, sheet: str, row: str, cells: list[str], source: str, width: int) -> str:
+    """Text rows of one sheet; cells that are not given are empty."""
+    named = [f"CAST({c} AS STRING) AS c{k}" for k, c in enumerate([*cells, *["NULL"] * (width - len(cells))])]
+    return f"SELECT {file} AS file, {sheet} AS sheet, CAST({row} AS INT) AS row, {', '.join(named)} FROM {source}"
+
+
+def _amount(x: str, k: int) -> str:
+    """Amounts as sheets hold them: with commas, blanks, a dash or nothing to read."""
+    return f"""CASE WHEN n % 11 = {k % 11} THEN '-' WHEN n % 13 = {k % 13} THEN 'abc' WHEN n % 3 = {k % 3} AND {x} >= 1000
+      THEN substr(CAST({x} AS STRING), 1, 1) || ',' || substr(CAST({x} AS STRING), 2) WHEN n % 7 = 1 THEN ' ' || CAST({x} AS STRING) || ' ' ELSE CAST({x} AS STRING) END"""
+
+
+_BOOK = "'eclaim_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'IP' END || '_25680122_' || CAST(file_id AS STRING) || '.xls'"
+_NUMBERED = "(SELECT *, CAST(tran_id AS BIGINT) * 8 + row_number AS n FROM {details_core})"
+_KEY = "CASE WHEN n % 97 = 0 THEN 'TRAN_ID' WHEN n % 89 = 0 THEN ' ' WHEN n % 83 = 0 THEN '-' ELSE tran_id END"
+_DAY = """CASE WHEN n % 17 = 0 THEN '31/02/2025' WHEN n % 19 = 0 THEN '01/02/2025 10:20:30'
+      ELSE lpad(CAST(day(dateadm) AS STRING), 2, '0') || '/' || lpad(CAST(month(dateadm) AS STRING), 2, '0') || '/' || CAST(year(dateadm) AS STRING) END"""
+_PERSON = ["'H' || CAST(n % 1000 AS STRING)", "CASE WHEN n % 2 = 0 THEN 'AN' || tran_id ELSE 'nan' END", _DAY, "'34' || lpad(tran_id, 15, '0')", "'name ' || tran_id"]
+_QUANTITY = "CASE WHEN n % 5 = 0 THEN '1,000' WHEN n % 6 = 0 THEN CAST(quantity AS STRING) ELSE CAST(n % 40 AS STRING) END"
+_SHEETS = [
+    *[_row(_BOOK, "'Summary'", row, ["'6801'", "'10670'", "'R' || CAST(file_id AS STRING)", "CAST(n % 500 AS STRING) || '.0'", "n", "'x'", *[_amount("amount", k) for k in range(16)]],
+         "(SELECT file_id, count(*) AS n, CAST(sum(claim_amount) AS DECIMAL(15,2)) AS amount FROM {details_core} GROUP BY file_id)", 22) for row in ("4", "5", "6")],
+    _row(_BOOK, "'Data Drug'", "n", ["n", _KEY, *_PERSON, "CAST(row_number AS STRING) || '.0'", "item_code", "'TMT' || item_code || 'xxxxxxx'", "'generic ' || item_code", "'-'", "fund_code", "'c'",
+         "'tablet'", *[_amount(x, k) for k, x in enumerate(("quantity", "claim_amount", "claim_amount", "claim_amount", "reimb_amount", "reimb_amount"))], "error_code"], f"{_NUMBERED} WHERE row_number % 4 = 0", 22),
+    _row(_BOOK, "'Data Instrument'", "n", ["n", _KEY, *_PERSON, "row_number", "item_code", "'tool ' || item_code", _QUANTITY, _amount("claim_amount", 3), _QUANTITY, _amount("reimb_amount", 5),
+         "deny_code", "error_code"], f"{_NUMBERED} WHERE row_number % 4 = 1", 22),
+    _row(_BOOK, "'Data DENY'", "n - 8", ["n", _KEY, "'10670'", *_PERSON, "fund_code", "'K' || fund_code", _QUANTITY, _amount("claim_amount", 1), "deny_code"], f"{_NUMBERED} WHERE row_number % 4 = 2", 22),
+    _row(_BOOK, "'Data sheet 0'", "n", ["n", _KEY, "'10670'", *_PERSON, "fund_code", "'K' || fund_code", "item_code || 'yyyyyyyyy'", _QUANTITY, _QUANTITY, _QUANTITY, _amount("reimb_amount", 2),
+         "'reason ' || fund_code"], f"{_NUMBERED} WHERE row_number % 4 = 3", 22),
+    _row(_BOOK, "'Notes'", "n", ["n", "tran_id"], f"{_NUMBERED} WHERE row_number = 1", 22),
+]
+_STM = "'STM_10670_' || CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'IP' END || 'UCS256801_' || CAST(file_id AS STRING) || '.xls'"
+_OPIP = "CASE WHEN file_id % 2 = 0 THEN 'OP' ELSE 'IP' END"
+_MARKERS = {"'ข้อมูลปกติ'": "10", "'2) ข้อมูลอุทธรณ์'": "1000000", "'ผู้พิการ D1 รวม'": "2000000"}
+_FILES = "(SELECT DISTINCT file_id FROM {stm_core})"
+_AT = "CASE data_type WHEN 'normal' THEN 0 WHEN 'appeal' THEN 1000000 ELSE 2000000 END"
+_PAID = "(SELECT *, CAST(CASE WHEN tran_id NOT LIKE 'S%' THEN tran_id END AS BIGINT) AS n FROM {stm_core} WHERE tran_id NOT LIKE 'S%')"
+_STAMP = """CASE WHEN n % 23 = 0 THEN '31/02/2025' WHEN n % 2 = 0 THEN lpad(CAST(day(date_admit) AS STRING), 2, '0') || '/' || lpad(CAST(month(date_admit) AS STRING), 2, '0') || '/' || CAST(year(date_admit) AS STRING)
+      ELSE lpad(CAST(day(date_admit) AS STRING), 2, '0') || '/' || lpad(CAST(month(date_admit) AS STRING), 2, '0') || '/' || CAST(year(date_admit) AS STRING) || ' 08:09:10' END"""
+_MONEY = ["paid_after_deduction", "total_compensation", "amount_claimed"]
+_STM_SHEETS = [
+    *[_row(_STM, f"'{sheet} ' || {_OPIP}", row, [text], _FILES, 42) for sheet in ("รายงานพึงรับ", "รายงานสรุป") for text, row in _MARKERS.items()],
+    _row(_STM, f"'รายงานพึงรับ ' || {_OPIP}", f"{_AT} + 20 + n % 7 + CASE patient_type WHEN 'inpatient' THEN 0 ELSE 10 END",
+         ["CASE patient_type WHEN 'inpatient' THEN 'ผู้ป่วยใน' ELSE 'ผู้ป่วยนอก' END", "CAST(rep_count AS STRING) || '.0'", "patient_count", "CAST(total_paid AS DECIMAL(15,4)) / 8",
+          _amount("total_paid", 2), _amount("salary_deduction", 1), "adjrw_paid_deduction"], "(SELECT *, file_id AS n FROM {receivables})", 42),
+    _row(_STM, f"'รายงานพึงรับ ผู้พิการ ' || {_OPIP}", "21", ["'ผู้ป่วยใน'", "9"], _FILES, 42),
+    _row(_STM, f"'รายงานสรุป ' || {_OPIP}", f"{_AT} + 15 + n % 900000",
+         [f"CASE WHEN n % 31 = 0 THEN 'รวม' ELSE '6801_' || {_OPIP} || '_' || CAST(n % 60 AS STRING) END", "'10670'", "'R' || CAST(n % 60 AS STRING)", "'C'", "CAST(n % 90 AS STRING) || '.0'",
+          *[_amount(_MONEY[k % 3], k) for k in range(20)], "' NHSO '"], f"{_PAID} WHERE n % 3 = 0", 42),
+    _row(_STM, f"CASE data_type WHEN 'normal' THEN 'รายละเอียด ข้อมูลปกติ ' WHEN 'appeal' THEN 'รายละเอียด อุทธรณ์ ' ELSE 'รายละเอียด ผู้พิการ D1 ' END || {_OPIP}", "10 + n",
+         ["CASE WHEN n % 29 = 0 THEN 'รวม 12' WHEN n % 37 = 0 THEN '12 รวม' ELSE '6801' || CAST(n % 60 AS STRING) END", "CAST(n % 50 AS STRING) || '.0'",
+          "CASE WHEN n % 41 = 0 THEN NULL WHEN n % 3 = 0 THEN tran_id || '.0' ELSE tran_id END", "hn || ' '", "an", "'34' || tran_id", "' name ' || tran_id", _STAMP, "NULL", "'UCS'", "'-'",
+          _amount("amount_claimed", 1), "'0'", "CAST(amount_claimed AS DECIMAL(15,4)) / 16", "n % 4", "NULL", "'0.25'", "'1.5'", _amount("amount_claimed", 3), "'0'", _amount("paid_after_deduction", 4),
+          *[_amount(_MONEY[k % 3], k) for k in range(16)], _amount("total_compensation", 6), "'0'", "'0'", "'NHSO'", "CAST(n AS STRING)"], _PAID, 42),
+]
+VIEWS |= {"raw_sheets": "\nUNION ALL ".join(_SHEETS), "raw_stm_sheets": "\nUNION ALL ".join(_STM_SHEETS)}
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
