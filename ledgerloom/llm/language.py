@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learning import SAMPLE_PARTS, blocks, bounded_sample
@@ -121,13 +121,19 @@ def _machines(rows: DataFrame, column: str, names: list[str]) -> Machines:
     return Machines(names, pairs, np.array(weights), np.array(bias))
 
 
-def fit(docs: DataFrame, learned_from, most: int = SAMPLE) -> LanguageModel:
-    """Learn from ``docs(doc_id, text, lang)`` where ``learned_from`` holds and the label is known."""
-    spark = session_of(docs)
+def _drawn(docs: DataFrame, learned_from: Column, most: int) -> DataFrame:
+    """(doc_id, text, lang) of at most ``most`` labelled ids of each language; a repeated id gives its smallest text."""
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learned_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = bounded_sample(labelled.select("doc_id", "lang"), "lang", most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     # At most ``most`` ids of each language, so they are sent to the texts and not the texts to them.
     rows = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
+
+
+def fit(docs: DataFrame, learned_from: Column, most: int = SAMPLE) -> LanguageModel:
+    """Learn from ``docs(doc_id, text, lang)`` where ``learned_from`` holds and the label is known."""
+    session_of(docs)
+    rows = _drawn(docs, learned_from, most)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, size=1 << 19):
@@ -162,14 +168,22 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` whose text has a known language."""
+def floor_of(docs: DataFrame, held_out: Column, model: LanguageModel, most: int = SAMPLE) -> float:
+    """Half the lowest score of labelled rows that the model has not learned from; 0 if there are none."""
+    lowest = predict(_drawn(docs, held_out, most), model).agg(F.min("score")).first()[0]
+    return 0.0 if lowest is None else lowest / 2
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, floor: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a score of at least ``floor``; all, if nothing was learned."""
+    if not model.families.names:
+        return docs
     sent = session_of(docs).sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, at):
-            names, _ = sent.value(block.column(at).to_pylist())
-            yield block.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            names, scores = sent.value(block.column(at).to_pylist())
+            yield block.filter(pa.array([n != UNKNOWN and s >= floor for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)

@@ -20,11 +20,11 @@ def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
 
     Hashes are even, so the smallest ``most`` of a value's ``n`` are below about ``most / n`` of their range; rows
     beyond four times that are left out first, and a task ranks a few times ``most`` rows however common a
-    value is.  ``rows`` has ``doc_id`` and ``by``, a column of labels, of which there are few.
+    value is.  ``rows`` has ``doc_id`` and ``by``, a column of labels, of which there are few; equal rows count once.
     """
     place = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(by, "_by")
-    near = rows.join(F.broadcast(counts), F.col(by) == F.col("_by")).where(place * F.col("_n") <= 4 * most + 100).drop("_by", "_n")
+    near = rows.join(F.broadcast(counts), F.col(by) == F.col("_by")).where(place * F.col("_n") <= 4 * most + 100).drop("_by", "_n").distinct()
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")))
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 

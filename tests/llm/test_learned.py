@@ -47,6 +47,26 @@ def test_language_with_nothing_or_one_language_to_learn(docs):
     assert [tuple(r)[1:] for r in language.predict(docs([(1, "a text")]), one).collect()] == [("en", 1.0)]
 
 
+def test_language_stage_keeps_what_it_should(spark, docs, documents):
+    """Nothing learned drops nothing; a floor drops what fits no language, and no labelled document."""
+    none = language.fit(docs([]), F.lit(True))
+    assert language.keep_known(docs(EDGES), none).count() == len(EDGES)
+    model = language.fit(documents, remainder(4) != 2, most=60)
+    floor = language.floor_of(documents, remainder(4) == 2, model)
+    assert 0 < floor <= 0.5
+    kept = language.keep_known(documents, model, floor)
+    labelled = documents.where(F.col("lang").isNotNull() & (remainder(4) == 2) & F.col("text").rlike(r"\p{L}"))
+    assert labelled.join(kept.select("doc_id").distinct(), "doc_id", "left_anti").count() == 0
+    assert language.keep_known(documents, model, 1.1).count() == 0 and language.floor_of(documents, F.lit(False), model) == 0
+
+
+def test_language_learns_from_null_and_repeated_ids(docs):
+    rows = [(None, "some words of text"), (None, "other words here"), (1, "a b c"), (1, "a b c d"), (1, None), (2, "12")]
+    model = language.fit(docs(rows), F.lit(True))
+    assert model.families.names and language._drawn(docs(rows), F.lit(True), 10).count() == 2
+    assert {r.lang_pred for r in language.predict(docs(rows), model).collect()} == {"en", "und"}
+
+
 def test_toxicity_of_whole_table(spark, folder, documents):
     got = QUERIES["op5_toxicity"](spark, folder)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]

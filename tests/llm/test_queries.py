@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tools.check import close, rows_of
 
 import __spark_entry__ as entry
@@ -51,4 +52,9 @@ def test_stages_keep_columns_and_survive_edges(spark, folder, docs):
         assert out.columns == rows.columns and out.dtypes == rows.dtypes
         assert out.count() <= len(EDGES) and stage(spark, docs([]), folder).count() == 0
     assert corpus_pipeline.STAGES[4][1](spark, docs([]), folder).count() == 0
-    assert corpus_pipeline.STAGES[0][1](spark, docs([]), folder).count() == 0
+    language_id = corpus_pipeline.STAGES[0][1]
+    known = language_id(spark, rows, folder)
+    assert known.columns == rows.columns and sorted(str(r.doc_id) for r in known.collect()) == sorted(str(d) for d, _ in EDGES if d not in (0, 1, 2))
+    unlabelled = rows.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id(spark, unlabelled, folder).count() == len(EDGES)
+    assert language_id(spark, docs([]), folder).count() == 0
