@@ -402,7 +402,7 @@ _REP_SQL = f"""SELECT file, data_type, row, {_plain('c0')} AS period, {_plain('c
   {_money('c6')} AS prb_amount, {_money('c7')} AS receivable_op, {_money('c8')} AS receivable_ip_calc, {_money('c9')} AS receivable_ip_paid, {_money('c10')} AS hc_amount, {_money('c11')} AS hc_drug,
   {_money('c12')} AS ae_amount, {_money('c13')} AS ae_drug, {_money('c14')} AS inst_amount, {_money('c15')} AS dmis_calc, {_money('c16')} AS dmis_paid, {_money('c17')} AS dmis_drug, {_money('c18')} AS palliative_care,
   {_money('c19')} AS dmishd_amount, {_money('c20')} AS pp_amount, {_money('c21')} AS fs_amount, {_money('c22')} AS opbkk_amount, {_money('c23')} AS total_receivable, {_money('c24')} AS covid_amount, {_plain('c25')} AS data_source
-  FROM {_MARKED} WHERE contains(sheet, 'รายงานสรุป') AND NOT contains(sheet, 'ผู้พิการ') AND contains(sheet, {_LETTERS}) AND row >= 15 AND regexp_matches(c0, '^\d{{4}}_[IO]P_\d+')"""
+  FROM {_MARKED} WHERE contains(sheet, 'รายงานสรุป') AND NOT contains(sheet, 'ผู้พิการ') AND contains(sheet, {_LETTERS}) AND row >= 15 AND regexp_matches(c0, '^[0-9]{{4}}_[IO]P_[0-9]+')"""
 
 
 @query("ing18_rep_summary", f"SELECT * EXCLUDE (row, n) FROM (SELECT *, row_number() OVER (PARTITION BY file, rep_no, data_type ORDER BY row DESC) AS n FROM ({_REP_SQL})) WHERE n = 1")
@@ -424,7 +424,7 @@ def _stamp(c: str) -> str:
   {_money('c20')} AS paid_after_deduction, {_money('c21')} AS receivable_op, {_money('c22')} AS receivable_ip_calc, {_money('c23')} AS receivable_ip_paid, {_money('c24')} AS hc_amount, {_money('c25')} AS hc_drug, {_money('c26')} AS ae_amount,
   {_money('c27')} AS ae_drug, {_money('c28')} AS inst_amount, {_money('c29')} AS dmis_calc, {_money('c30')} AS dmis_paid, {_money('c31')} AS dmis_drug, {_money('c32')} AS palliative_care, {_money('c33')} AS dmishd_amount, {_money('c34')} AS pp_amount,
   {_money('c35')} AS fs_amount, {_money('c36')} AS opbkk_amount, {_money('c37')} AS total_compensation, {_money('c38')} AS va_amount, {_money('c39')} AS covid_amount, {_plain('c40')} AS data_source, {_plain('c41')} AS seq_no
-  FROM raw_stm_sheets WHERE contains(sheet, 'รายละเอียด') AND (contains(sheet, 'ผู้พิการ D1') OR contains(sheet, {_LETTERS})) AND row >= 14 AND regexp_matches(c0, '^\d+') AND NOT contains(c0, 'รวม') AND {_idcell('c2')} IS NOT NULL""")
+  FROM raw_stm_sheets WHERE contains(sheet, 'รายละเอียด') AND (contains(sheet, 'ผู้พิการ D1') OR contains(sheet, {_LETTERS})) AND row >= 14 AND regexp_matches(c0, '^[0-9]+') AND NOT contains(c0, 'รวม') AND {_idcell('c2')} IS NOT NULL""")
 def _(t):
     dealt = _dealt(t, t.raw_stm_sheets, layouts.STATEMENT_SHEETS)
     return dealt["claims_normal"].unionByName(dealt["claims_appeal"]).unionByName(dealt["claims_disabled"])
