@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, joins, windows
+from ..operators import filters, joins, pages, windows
+from ..operators.pages import Cursor
 from ..plans import bookkeeping, reports
 from .base import AS_OF, AS_OF_SQL, ERR, FY, FY_FROM, FY_TO, IS_IP, OK, d, n, query, rt, rtn, s, txt
 
@@ -83,6 +85,36 @@ def _(t):
     return filters.page(rows, 3, 40, "claim_drg", "desc", ["dateadm", "claim_drg"])
 
 
+_SORT = [("claim_drg", True), ("dateadm", False), ("tran_id", False)]
+_BY = "claim_drg DESC NULLS LAST, dateadm ASC NULLS FIRST, tran_id ASC"
+
+
+@query("fil10_keyset_page", f"""SELECT {_ROWS} FROM claims_core WHERE {ERR} AND (claims_core.claim_drg < 50000 OR (claims_core.claim_drg = 50000 AND (claims_core.dateadm > DATE '1997-03-01'
+  OR (claims_core.dateadm = DATE '1997-03-01' AND claims_core.tran_id > '5')))) ORDER BY {_BY.replace("claim_drg", "claims_core.claim_drg").replace("dateadm", "claims_core.dateadm")} LIMIT 40""")
+def _(t):
+    rows = filters.by_status(t.claims_core, "denied").select(*_COLS)
+    return pages.keyset_page(rows, _SORT, 40, pages.Cursor((Decimal("50000.00"), dt.date(1997, 3, 1), "5"), 0))
+
+
+@query("fil10_keyset_walk", f"SELECT tran_id, CAST((row_number() OVER (ORDER BY {_BY}) - 1) // (SELECT (count(*) + 4) // 5 FROM claims_core WHERE {ERR}) AS INT) AS page FROM claims_core WHERE {ERR}")
+def _(t):
+    """All rows in five pages, each found by the last row of the one before."""
+    rows = filters.by_status(t.claims_core, "denied").select(*[c for c, _ in _SORT])
+    size = (rows.count() + 4) // 5
+    out, cursor = None, None
+    for number in range(5):
+        page = pages.keyset_page(rows, _SORT, size, cursor).withColumn("page", F.lit(number))
+        last = page.orderBy(*[F.col(c).asc_nulls_first() if down else F.col(c).desc_nulls_last() for c, down in _SORT]).limit(1).collect()
+        cursor = pages.cursor_after(last, _SORT, cursor)
+        out = page if out is None else out.unionByName(page)
+    return out.select("tran_id", "page")
+
+
+@query("fil10_totals", f"SELECT count(*) AS total, CAST(ceil(count(*) / 40.0) AS BIGINT) AS total_pages FROM claims_core WHERE {ERR}")
+def _(t):
+    return pages.page_totals(filters.by_status(t.claims_core, "denied"), 40)
+
+
 @query("fil11_latest_version", f"""SELECT tran_id, file_id, row_number, {d('claim_amount')} AS claim_amount FROM (SELECT *, row_number() OVER (PARTITION BY tran_id, row_number
   ORDER BY claim_amount DESC, item_code) AS rn FROM details_core) WHERE rn = 1""")
 def _(t):
@@ -205,6 +237,11 @@ def _(t):
     return bookkeeping.file_items(t.claims_core, 7, 30, 60).select("tran_id", "reimb_nhso")
 
 
+@query("tk06_keyset", f"SELECT tran_id, {d('reimb_nhso')} AS reimb_nhso FROM claims_core WHERE file_id = 7 AND claims_core.tran_id > '3' ORDER BY tran_id LIMIT 30")
+def _(t):
+    return bookkeeping.file_items_after(t.claims_core, 7, 30, Cursor(("3",), 0)).select("tran_id", "reimb_nhso")
+
+
 @query("so01_union_distinct", "SELECT hn AS key FROM claims_core UNION SELECT hcode FROM claims_core")
 def _(t):
     return joins.union_distinct(t.claims_core.select(F.col("hn").alias("key")), t.claims_core.select(F.col("hcode").alias("key")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import ingest, merge, sheets
+from ..operators import ingest, merge, multisets, sheets
+from ..plans import importing
 from ..session import fresh_path
 from ..sources import files, layouts
 from ..sources.keyed import KeyedTable
@@ -524,6 +525,62 @@ def _(t):
     return ingest.import_outcomes(t.raw_claims)
 
 
+_MAIN = {"sheets": ("data",), "cell": "c1", "pattern": r"\S", "no_words": ("รวม",), "key": "tran_id"}
+_IMPORTED = [
+    sheets.Section("claims", tuple(f for f in CLAIM_LAYOUT if f.name != "extra"), not_files=("_ORF_",), **_MAIN),
+    sheets.Section("referrals", (F_("rep_no", 0, "id", 15), F_("tran_id", 1, "id", 15), F_("hn", 2, "id", 15), F_("service_date", 6, "timestamp"), F_("total", 7, "number0")), files=("_ORF_",), **_MAIN),
+    *layouts.CLAIM_SHEETS,
+]
+_TWICE = "CAST(CASE WHEN regexp_matches(c0, '^[0-9]+$') THEN c0 ELSE '1' END AS BIGINT) % 10 = 0"
+
+
+def _imported(t):
+    """A warehouse after a run over all files and another over some of them, whose later rows come first."""
+    house = importing.Warehouse(t.spark, fresh_path(t.spark, "warehouse"), _IMPORTED, ("claims", "referrals"))
+    cells = [c for c in t.raw_sheets.columns if c[0] == "c"]
+    raw = t.raw_claims.select(*[F.col(c) if c in t.raw_claims.columns else F.lit(None).cast("string").alias(c) for c in t.raw_sheets.columns])
+    again = raw.where(F.col("c0").rlike("^[0-9]+$") & (F.col("c0").try_cast("bigint") % 10 == 0)).withColumns({"row": F.col("row") + 1000000, "c8": F.lit("again")})
+    first = raw.unionByName(again).unionByName(t.raw_sheets.select("file", "sheet", "row", *cells))
+    house.load(first, t.raw_sheets.select(F.lit("eclaim_10670_OP_25680122_none.xls").alias("file")).limit(1))
+    house.load(raw.where("file LIKE '%2.xls'").withColumn("c8", F.lit("second")))
+    return house
+
+
+_READ = f"(SELECT *, {_idcell('c1')} AS id, ({_cell('c7')} IS NULL OR {_numcell('c7')} IS NOT NULL) AND ({_cell('c6')} IS NULL OR {_tscell('c6')} IS NOT NULL) AS fine FROM raw_claims WHERE {_REAL.replace(' AND NOT', ' AND NOT')})"
+_KEYED = f"(SELECT * FROM {_READ} WHERE id IS NOT NULL AND upper(id) <> 'TRAN_ID')"
+_CLAIM_FILES = "SELECT DISTINCT file FROM raw_claims UNION SELECT DISTINCT file FROM raw_sheets UNION SELECT 'eclaim_10670_OP_25680122_none.xls'"
+_SECOND = "file LIKE '%2.xls'"
+
+
+def _rows_of(sheet: str, first: int) -> str:
+    return f"coalesce((SELECT count(*) FROM raw_sheets s WHERE s.file = f.file AND sheet = '{sheet}' AND row >= {first} AND regexp_matches(c1, '[^ ]')), 0)"
+
+
+@query("ing29_import_job", f"""SELECT f.file, CASE WHEN f.{_SECOND} AND total IS NOT NULL THEN 1 ELSE 0 END AS run, coalesce(total, 0) AS total, coalesce(imported, 0) AS imported, coalesce(total, 0) - coalesce(imported, 0) AS failed,
+  CASE WHEN coalesce(imported, 0) = 0 THEN 'failed' WHEN total > imported THEN 'partial' ELSE 'completed' END AS status,
+  CASE WHEN f.{_SECOND} AND total IS NOT NULL THEN 0 ELSE {_rows_of('Data Drug', 6)} END AS drug_rows, CASE WHEN f.{_SECOND} AND total IS NOT NULL THEN 0 ELSE {_rows_of('Data DENY', 1)} END AS deny_rows
+  FROM ({_CLAIM_FILES}) f LEFT JOIN (SELECT file, count(*) AS total, {n('fine')} AS imported
+    FROM (SELECT file, fine FROM {_KEYED} UNION ALL SELECT file, fine FROM {_KEYED} WHERE {_TWICE} AND regexp_matches(c0, '^[0-9]+$') AND NOT ({_SECOND})) GROUP BY 1) x ON f.file = x.file""")
+def _(t):
+    return _imported(t).ledger().select("file", "run", "total", "imported", "failed", "status", "drug_rows", "deny_rows")
+
+
+_GOOD = f"file IN (SELECT file FROM {_KEYED} GROUP BY 1 HAVING count(*) FILTER (WHERE fine) > 0)"
+
+
+@query("ing29_loaded_claims", f"""SELECT file, id AS tran_id, {_idcell('c2')} AS hn, {d(_numcell('c7'))} AS amount,
+  CASE WHEN {_SECOND} THEN 'second' WHEN {_TWICE} AND regexp_matches(c0, '^[0-9]+$') THEN 'again' ELSE left({_cell('c8')}, 100) END AS main_fund
+  FROM {_KEYED} WHERE file NOT LIKE '%_ORF_%' AND {_GOOD}""")
+def _(t):
+    return _imported(t).table("claims").select("file", "tran_id", "hn", "amount", "main_fund")
+
+
+@query("ing29_loaded_referrals", f"""SELECT file, id AS tran_id, {_idcell('c0')} AS rep_no, {_idcell('c2')} AS hn, {txt(_tscell('c6'))} AS service_date, {d(f'coalesce({_numcell("c7")}, 0)')} AS total
+  FROM {_KEYED} WHERE file LIKE '%_ORF_%' AND {_GOOD}""")
+def _(t):
+    return _imported(t).table("referrals").select("file", "tran_id", "rep_no", "hn", "service_date", "total")
+
+
 @query("ing30_export_csv", f"SELECT tran_id, {txt('dateadm')} AS dateadm, {txt('claim_drg')} AS claim_drg FROM claims_core")
 def _(t):
     path = fresh_path(t.spark, "export-csv")
@@ -575,6 +632,43 @@ def _(t):
     return merge.migrate_history(history, t.downloads.filter("service_month <> 3")).select("filename", "download_type", "file_size")
 
 
+def _histories(t):
+    """What was offered to a migration, and the ledger after it in update mode."""
+    path = fresh_path(t.spark, "histories-json")
+    entry = F.struct(F.col("filename").alias("name"), F.col("download_type").alias("type"), (F.col("file_size") + 1).alias("size"))
+    files.write_json(t.downloads.groupBy("fiscal_year").agg(F.collect_list(entry).alias("downloads")), path)
+    history = t.spark.read.schema("downloads array<struct<name:string,type:string,size:bigint>>").json(path)
+    after = merge.migrate_history(history, t.downloads.filter("service_month <> 3"), on_conflict="update")
+    offered = history.select(F.explode("downloads").alias("d")).select(F.col("d.type").alias("download_type"), F.col("d.name").alias("filename"), F.col("d.size").alias("file_size"))
+    return offered, after.select("download_type", "filename", "file_size")
+
+
+@query("ing34_migrate_update", "SELECT filename, download_type, file_size + 1 AS file_size FROM downloads")
+def _(t):
+    return _histories(t)[1]
+
+
+_OFFERED = "SELECT download_type, filename, file_size + 1 AS file_size, service_month FROM downloads"
+_HURT = f"""SELECT download_type, filename, CASE WHEN download_type = 'stm' AND service_month = 2 THEN file_size - 1 ELSE file_size END AS file_size FROM ({_OFFERED})
+  WHERE NOT (download_type = 'rep' AND service_month = 1) UNION ALL SELECT download_type, filename, file_size FROM ({_OFFERED}) WHERE download_type = 'smt' AND service_month = 5"""
+
+
+@query("ing34_validate", f"""WITH a AS (SELECT download_type, filename, file_size FROM ({_OFFERED})), b AS ({_HURT}),
+  x AS (SELECT download_type, count(*) AS n FROM a GROUP BY 1), y AS (SELECT download_type, count(*) AS n FROM b GROUP BY 1), k AS (SELECT download_type FROM x UNION SELECT download_type FROM y UNION VALUES ('rep'), ('stm'), ('smt')),
+  c AS (SELECT DISTINCT download_type FROM (SELECT * FROM ((SELECT * FROM a) EXCEPT ALL (SELECT * FROM b)) UNION ALL SELECT * FROM ((SELECT * FROM b) EXCEPT ALL (SELECT * FROM a))))
+  SELECT download_type, coalesce(x.n, 0) AS source_rows, coalesce(y.n, 0) AS target_rows, c.download_type IS NULL AS match,
+    CASE WHEN c.download_type IS NOT NULL THEN CASE WHEN y.n IS NULL THEN 'missing' WHEN x.n IS NULL THEN 'added' WHEN y.n < x.n THEN 'fewer' WHEN y.n > x.n THEN 'more' ELSE 'changed' END END AS difference
+  FROM k LEFT JOIN x USING (download_type) LEFT JOIN y USING (download_type) LEFT JOIN c USING (download_type)""")
+def _(t):
+    offered, after = _histories(t)
+    month = t.downloads.select(F.col("filename").alias("_f"), "service_month")
+    hurt = after.join(month, F.col("filename") == F.col("_f")).drop("_f")
+    kind, at = F.col("download_type"), F.col("service_month")
+    broken = hurt.where(~((kind == "rep") & (at == 1))).withColumn("file_size", F.when((kind == "stm") & (at == 2), F.col("file_size") - 1).otherwise(F.col("file_size")))
+    broken = broken.unionByName(hurt.where((kind == "smt") & (at == 5)))
+    return multisets.validated(offered, broken, ["download_type"], ["filename", "file_size"], ["rep", "stm", "smt"])
+
+
 @query("ing35_reset_failed", """SELECT filename, CASE WHEN download_status = 'failed' AND download_type = 'rep' THEN 'pending' ELSE download_status END AS download_status,
   CASE WHEN download_status = 'failed' AND download_type = 'rep' THEN NULL ELSE error_message END AS error_message,
   CASE WHEN download_status = 'failed' AND download_type = 'rep' THEN 0 ELSE retry_count END AS retry_count FROM downloads""")

@@ -142,6 +142,14 @@ def _(t):
     return out.select((c("true_positive") + c("false_negative")).alias("denied"), (c("false_positive") + c("true_negative")).alias("paid"), "test_size", reduce(and_, scores).alias("in_range"))
 
 
+@query("ml03_folds", f"SELECT {_DENIED} AS is_denied, 5 AS folds, true AS even FROM claims_core WHERE claim_drg > 0 GROUP BY 1")
+def _(t):
+    """Every label is dealt evenly to the folds."""
+    sizes = denial_model.with_folds(denial_model.training_frame(t.claims_core)).groupBy("is_denied", "fold").agg(F.count("*").alias("n"))
+    even = (F.max("n") - F.min("n") <= 2).alias("even")
+    return sizes.groupBy("is_denied").agg(F.count("*").cast("int").alias("folds"), even)
+
+
 @query("ml03_cross_validation")
 def _(t):
     mean, deviation = denial_model.cross_validate(denial_model.training_frame(t.claims_core), folds=5, trees=20, depth=8)

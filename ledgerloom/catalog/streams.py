@@ -11,6 +11,7 @@ from ..session import fresh_path
 from ..sources.keyed import KeyedTable
 from ..sources.tables import VIEWS
 from ..streaming import jobs
+from ..streaming.trailing import TrailingCounts
 from .base import n, query, txt
 
 
@@ -65,6 +66,23 @@ _SLIDE = f"""SELECT {txt('w')} AS window_start, {txt('w + INTERVAL 24 HOUR')} AS
   FROM (SELECT user_id, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM audit WHERE action = 'LOGIN_FAILED') GROUP BY w, user_id HAVING count(*) >= 3"""
 
 
+@query("str03_trailing_exact", f"""SELECT id, user_id, {txt('ts')} AS ts, count(*) OVER (PARTITION BY user_id ORDER BY audit.ts RANGE BETWEEN INTERVAL '86399.999999' SECOND PRECEDING AND CURRENT ROW) AS n_recent
+  FROM audit WHERE action = 'LOGIN_FAILED'""")
+def _(t):
+    """The feed comes in four files, every seventh event a file late."""
+    failed = t.audit.filter("action = 'LOGIN_FAILED'").select("id", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = failed.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    span = ((last or 0) - (first or 0)) // 4 + 1
+    part = F.floor((F.unix_seconds("ts") - (first or 0)) / span) + F.when(F.col("id") % 7 == 0, 1).otherwise(0)
+    out = fresh_path(t.spark, "trailing")
+    counts = TrailingCounts(t.spark, f"{out}/counts", failed.schema, "user_id", "ts", 86400, 2 * span)
+    for k in range(5):
+        failed.where(part == k).coalesce(1).write.mode("append").parquet(f"{out}/feed")
+        counts.run(jobs.file_stream(t.spark, f"{out}/feed", failed.schema), f"{out}/checkpoint")
+    counts.close()
+    return counts.read()
+
+
 @query("str03_bruteforce", f"{_SLIDE} AND w + INTERVAL 24 HOUR <= (SELECT max(ts) FROM audit WHERE action = 'LOGIN_FAILED') - INTERVAL 1 HOUR")
 def _(t):
     return jobs.collect_stream(t.spark, jobs.bruteforce(_audit(t), "24 hours", "1 hour", 3, "1 hour"), "bruteforce")

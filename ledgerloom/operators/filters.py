@@ -156,11 +156,14 @@ def secure(df: DataFrame, role: str | None, hospital: str | None, col: str = "hc
     return df.filter(F.col(col) == F.lit(hospital))
 
 
+def is_aged_unpaid(days: int, as_of: dt.date, only_clean: bool = False) -> Column:
+    old = F.col("dateadm") < F.date_sub(F.lit(as_of), days)
+    return old & (zero("paid") == 0) & (~is_error() if only_clean else F.col("claim_drg") > 0)
+
+
 def aged_unpaid(df: DataFrame, days: int, as_of: dt.date, only_clean: bool = False) -> DataFrame:
     """Claims still unpaid ``days`` before ``as_of``."""
-    old = F.col("dateadm") < F.date_sub(F.lit(as_of), days)
-    unpaid = zero("paid") == 0
-    return df.filter(old & unpaid & (~is_error() if only_clean else F.col("claim_drg") > 0))
+    return df.filter(is_aged_unpaid(days, as_of, only_clean))
 
 
 def user_activity(audit: DataFrame, user: str, days: int, as_of: dt.datetime, k: int) -> DataFrame:

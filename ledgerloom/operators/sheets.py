@@ -21,7 +21,7 @@ from .ingest import Field, project_positional, section_marker
 class Section:
     """The rows of some sheets that make one table.
 
-    ``sheets`` are whole names; else a name has all of ``holds``, none of ``without`` and, with ``by_type``, the letters
+    A file's name holds one of ``files`` (any name, if there are none) and none of ``not_files``.  ``sheets`` are whole names; else a name has all of ``holds``, none of ``without`` and, with ``by_type``, the letters
     of the file's type.  Rows count from ``first``; with ``only_first`` that row alone.  ``cell`` is the one that
     decides whether a row is data: it matches ``pattern``, and holds none of ``no_words``.  ``kind`` is the data type
     of the whole sheet; without it the marker above a row says it.
@@ -29,6 +29,8 @@ class Section:
 
     table: str
     fields: tuple[Field, ...]
+    files: tuple[str, ...] = ()
+    not_files: tuple[str, ...] = ()
     sheets: tuple[str, ...] = ()
     holds: tuple[str, ...] = ()
     without: tuple[str, ...] = ()
@@ -54,7 +56,12 @@ class Section:
     def rows(self, file_type: Column) -> Column:
         """Whether a row of the input belongs to this table."""
         cell = F.coalesce(F.col(self.cell), F.lit(""))
-        ok = self._sheet(file_type) & (F.col("row") == self.first if self.only_first else F.col("row") >= self.first)
+        ok = F.lit(not self.files)
+        for word in self.files:
+            ok = ok | F.contains("file", F.lit(word))
+        for word in self.not_files:
+            ok = ok & ~F.contains("file", F.lit(word))
+        ok = ok & self._sheet(file_type) & (F.col("row") == self.first if self.only_first else F.col("row") >= self.first)
         if self.pattern:
             ok = ok & cell.rlike(self.pattern)
         for word in self.no_words:

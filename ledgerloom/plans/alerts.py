@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fiscal
 from ..functions.money import is_error, ratio, ratio_or_null, total, zero
-from ..operators.filters import aged_unpaid
-from ..operators.windows import change_between_months, error_rates
-from .reports import order_rank, topk
+from ..operators.filters import is_aged_unpaid
+from ..operators.windows import change_between_months
+from .reports import order_rank
 
 # Alert thresholds as (id, metric, threshold, severity), the severe one first.
 DENIAL_LIMITS = [("denial_rate_high", 10, "critical"), ("denial_rate_warning", 5, "warning")]
@@ -76,37 +76,48 @@ def _insight(kind: str, type: str, category: str, priority: str, subject: Column
 
 
 def insights(claims: DataFrame, as_of: dt.date) -> DataFrame:
-    """Findings worth acting on, by priority.  Each rule is one small aggregate."""
-    none = F.lit(None)
-    bad = is_error()
-    rates = claims.filter(F.col("dateadm").isNotNull()).groupBy(fiscal.ym("dateadm").alias("month")).agg(
-        ratio_or_null(F.count_if(bad), F.count("*")).alias("rate")
+    """Findings worth acting on, by priority.
+
+    Facts are read once: summed by month, service and code, which leaves few rows; each of those is then dealt to
+    the rules, and the rules work on sums.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    bad, recent = is_error(), F.coalesce(F.col("dateadm") >= F.add_months(F.lit(as_of), -3), F.lit(False))
+    named = F.when(c("service_type") != "", c("service_type"))
+    small = claims.groupBy(fiscal.ym("dateadm").alias("month"), named.alias("service"), F.when(bad & recent, c("error_code")).alias("code")).agg(
+        F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(bad & recent).alias("fresh"),
+        F.sum(F.when(recent, zero("claim_drg"))).alias("claimed"), F.sum(F.when(recent, zero("paid"))).alias("paid"), F.count_if(is_aged_unpaid(60, as_of, only_clean=True)).alias("waiting"),
     )
-    pair = change_between_months(rates, "month", "rate")
-    cur, prev = F.col("current"), F.col("previous")
-    up = pair.filter(cur > prev * 1.2).select(*_insight("denial_up", "warning", "Denial Rate", "high", F.col("month"), cur, POINTS["denial_up"]))
-    down = pair.filter(cur < prev * 0.8).select(*_insight("denial_down", "success", "Denial Rate", "low", F.col("month"), cur, 0))
-
-    named = claims.filter(F.col("service_type").isNotNull() & (F.col("service_type") != ""))
-    worst = topk(error_rates(named, F.col("service_type"), "service_type", 20).filter("error_rate > 15"), "error_rate", 3, "service_type")
-    service = worst.select(*_insight("service", "warning", "Service Type", "medium", F.col("service_type"), F.col("error_rate"), POINTS["service"]))
-
-    recent = claims.filter(F.col("dateadm") >= F.add_months(F.lit(as_of), -3))
-    paid = recent.agg(F.sum(zero("claim_drg")).alias("claimed"), F.sum(zero("paid")).alias("paid")).filter("claimed > 0")
-    paid = paid.withColumn("rate", F.col("paid").cast("double") / F.col("claimed").cast("double") * 100)
-    shown = F.round("rate", 2)
-    low = paid.filter("rate < 85").select(*_insight("paid_low", "warning", "Reimbursement", "high", none, shown, POINTS["paid_low"]))
-    high = paid.filter("rate >= 95").select(*_insight("paid_high", "success", "Reimbursement", "low", none, shown, 0))
-
-    codes = recent.filter(bad).groupBy("error_code").agg(F.count("*").alias("count"))
-    common = topk(codes, "count", 1, "error_code").select(*_insight("top_error", "info", "Error Analysis", "medium", F.col("error_code"), F.col("count"), POINTS["top_error"]))
-
-    waiting = aged_unpaid(claims, 60, as_of, only_clean=True).agg(F.count("*").alias("n")).filter("n > 10")
-    pending = waiting.select(*_insight("pending", "warning", "Pending Claims", "medium", none, F.col("n"), POINTS["pending"]))
-
-    out = up
-    for part in (down, service, low, high, common, pending):
-        out = out.unionByName(part)
+
+    def sums(rule: str, key: Column, n: Column | str, bad: Column | str, x: str = "claimed") -> Column:
+        return F.struct(F.lit(rule).alias("rule"), key.alias("key"), F.col(n).alias("n"), F.col(bad).alias("bad"), F.col(x).alias("claimed"), F.col("paid").alias("paid"))
+
+    dealt = F.array(sums("month", c("month"), "n", "bad"), sums("service", c("service"), "n", "bad"), sums("paid", none, "n", "bad"), sums("code", c("code"), "fresh", "bad"), sums("pending", none, "waiting", "bad"))
+    by_rule = small.select(F.inline(dealt)).where(c("key").isNotNull() | c("rule").isin("paid", "pending"))
+    by_rule = by_rule.groupBy("rule", "key").agg(*[F.sum(x).alias(x) for x in ("n", "bad", "claimed", "paid")])
+    rate = ratio_or_null(c("bad"), c("n"))
+    by_rule = by_rule.withColumn("rate", rate).where((c("rule") != "service") | ((c("n") >= 20) & (c("rate") > 15)))
+    # Months, services and codes: a few rows for each rule.
+    first = Window.partitionBy("rule").orderBy(F.when(c("rule") == "month", c("key")).desc(), F.when(c("rule") == "service", c("rate")).desc(), F.when(c("rule") == "code", c("n")).desc(), "key")
+    ranked = by_rule.withColumns({"place": F.row_number().over(first), "previous": F.lead("rate").over(first)})
+    share = c("paid").cast("double") / c("claimed").cast("double") * 100
+
+    def found(hit: Column, *finding) -> Column:
+        names = ("insight", "type", "category", "priority", "subject", "value", "points")
+        return F.when(hit, F.struct(*[x.alias(n) for n, x in zip(names, _insight(*finding), strict=True)]))
+
+    is_ = lambda rule: c("rule") == rule
+    latest_month = is_("month") & (c("place") == 1)
+    findings = F.array(
+        found(latest_month & (c("rate") > c("previous") * 1.2), "denial_up", "warning", "Denial Rate", "high", c("key"), c("rate"), POINTS["denial_up"]),
+        found(latest_month & (c("rate") < c("previous") * 0.8), "denial_down", "success", "Denial Rate", "low", c("key"), c("rate"), 0),
+        found(is_("service") & (c("place") <= 3), "service", "warning", "Service Type", "medium", c("key"), c("rate"), POINTS["service"]),
+        found(is_("paid") & (c("claimed") > 0) & (share < 85), "paid_low", "warning", "Reimbursement", "high", none, F.round(share, 2), POINTS["paid_low"]),
+        found(is_("paid") & (c("claimed") > 0) & (share >= 95), "paid_high", "success", "Reimbursement", "low", none, F.round(share, 2), 0),
+        found(is_("code") & (c("place") == 1) & (c("n") > 0), "top_error", "info", "Error Analysis", "medium", c("key"), c("n"), POINTS["top_error"]),
+        found(is_("pending") & (c("n") > 10), "pending", "warning", "Pending Claims", "medium", none, c("n"), POINTS["pending"]),
+    )
+    out = ranked.select(F.explode(findings).alias("f")).where("f IS NOT NULL").select("f.*")
     return order_rank(out, "priority", PRIORITIES, F.col("insight"), F.col("subject"))
 
 

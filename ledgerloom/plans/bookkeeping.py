@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import human_size, mean, total
 from ..functions.text import claim_file_parts, posting_key, prefix
+from ..operators.pages import Cursor, keyset_page
 from ..operators.windows import latest
 from .reports import topk
 
@@ -153,6 +154,17 @@ def file_items(rows: DataFrame, file_id: int, limit: int = 100, offset: int = 0)
     return rows.filter(F.col("file_id") == file_id).orderBy("tran_id").offset(offset).limit(limit)
 
 
+def file_items_after(rows: DataFrame, file_id: int, limit: int = 100, cursor: Cursor | None = None) -> DataFrame:
+    """The items of a file after a cursor, whatever has been shown before."""
+    return keyset_page(rows.filter(F.col("file_id") == file_id), [("tran_id", False)], limit, cursor)
+
+
+def transfers_after(smt: DataFrame, k: int = 50, cursor: Cursor | None = None) -> DataFrame:
+    """Transfers by posting date, newest first, after a cursor."""
+    keyed = smt.withColumn("posting_key", posting_key("posting_date"))
+    return keyset_page(keyed, [("posting_key", True), ("ref_doc_no", False), ("vendor_no", False), ("total_amount", False)], k, cursor)
+
+
 def sorted_transfers(smt: DataFrame, k: int = 50, offset: int = 0) -> DataFrame:
     """Transfers by posting date whatever its text form, newest first."""
     keyed = smt.withColumn("posting_key", posting_key("posting_date"))
