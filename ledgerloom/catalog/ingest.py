@@ -546,7 +546,7 @@ def _imported(t):
     return house
 
 
-_READ = f"(SELECT *, {_idcell('c1')} AS id, ({_cell('c7')} IS NULL OR {_numcell('c7')} IS NOT NULL) AND ({_cell('c6')} IS NULL OR {_tscell('c6')} IS NOT NULL) AS fine FROM raw_claims WHERE {_REAL.replace(' AND NOT', ' AND NOT')})"
+_READ = f"(SELECT *, {_idcell('c1')} AS id, (file LIKE '%_ORF_%' OR {_cell('c7')} IS NULL OR {_numcell('c7')} IS NOT NULL) AND ({_cell('c6')} IS NULL OR {_tscell('c6')} IS NOT NULL) AS fine FROM raw_claims WHERE {_REAL})"
 _KEYED = f"(SELECT * FROM {_READ} WHERE id IS NOT NULL AND upper(id) <> 'TRAN_ID')"
 _CLAIM_FILES = "SELECT DISTINCT file FROM raw_claims UNION SELECT DISTINCT file FROM raw_sheets UNION SELECT 'eclaim_10670_OP_25680122_none.xls'"
 _SECOND = "file LIKE '%2.xls'"
