@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, joins, pages, windows
 from ..operators.pages import Cursor
-from ..plans import bookkeeping, reports
+from ..plans import bookkeeping, reports, sql_views
+from ..session import fresh_path
+from ..sources import files
+from ..sources.trigrams import TrigramIndex
 from .base import AS_OF, AS_OF_SQL, ERR, FY, FY_FROM, FY_TO, IS_IP, OK, d, n, query, rt, rtn, s, txt
 
 _ROWS = f"tran_id, {txt('dateadm')} AS dateadm, {d('claim_drg')} AS claim_drg"
@@ -64,6 +67,20 @@ def _(t):
     return filters.search(t.claims_core, "An77", ["tran_id", "hn", "an"]).select(*_COLS)
 
 
+_INDEXED = ["tran_id", "hn", "an"]
+
+
+def _trigrams(t):
+    return TrigramIndex(t.spark, fresh_path(t.spark, "trigrams"), "tran_id", _INDEXED, 16).build(t.claims_core.select("tran_id", "hn", "an", "dateadm", "claim_drg"))
+
+
+for _name, _term in (("fil08_indexed", "An77"), ("fil08_indexed_digits", "123"), ("fil08_indexed_short", "77")):
+
+    @query(_name, f"SELECT {_ROWS} FROM claims_core WHERE " + " OR ".join(f"contains(lower({c}), '{_term.lower()}')" for c in _INDEXED))
+    def _(t, term=_term):
+        return _trigrams(t).search(term).select(*_COLS)
+
+
 @query("fil09_search_all", f"""SELECT * FROM (SELECT 'rep' AS source, tran_id AS key, {d('reimb_nhso')} AS amount FROM claims_core WHERE contains(tran_id, '123') OR contains(hn, '123') ORDER BY key, amount LIMIT 50)
   UNION ALL SELECT * FROM (SELECT 'stm', tran_id AS key, {d('paid_after_deduction')} AS amount FROM stm_core WHERE contains(tran_id, '123') OR contains(hn, '123') ORDER BY key, amount LIMIT 50)
   UNION ALL SELECT * FROM (SELECT 'smt', ref_doc_no AS key, {d('total_amount')} AS amount FROM transfers_core WHERE contains(ref_doc_no, '123') ORDER BY key, amount LIMIT 50)""")
@@ -127,6 +144,13 @@ def _(t):
     return filters.lookup(t.offices, "10042").select("hcode5", "hcode9", "name", "province")
 
 
+@query("fil12_point_lookup", f"SELECT {_ROWS} FROM claims_core WHERE tran_id IN ('77', '142')")
+def _(t):
+    path = fresh_path(t.spark, "keyed-fact")
+    files.write_fact(t.claims_core.select(*_COLS), path, key="tran_id")
+    return files.point_lookup(t.spark, path, "tran_id", "77", "142").select(*_COLS)
+
+
 @query("fil13_vendor_eq", f"SELECT vendor_no, count(*) AS n, {s('total_amount')} AS total_amount FROM transfers_core WHERE TRY_CAST(nullif(regexp_replace(vendor_no, '[^0-9]', '', 'g'), '') AS BIGINT) = 10007 GROUP BY 1")
 def _(t):
     return filters.vendor_eq(t.transfers_core, "0010007").groupBy("vendor_no").agg(F.count("*").alias("n"), F.sum("total_amount").alias("total_amount"))
@@ -157,6 +181,19 @@ def _(t):
     return own.unionByName(every)
 
 
+@query("fil16_sql_views", f"""SELECT 'analyst' AS who, {txt('dateadm')} AS service_date, ptype, count(*) AS total_cases FROM claims_core WHERE hcode = '10011' AND dateadm IS NOT NULL GROUP BY claims_core.dateadm, ptype
+  UNION ALL SELECT 'admin', {txt('dateadm')}, ptype, count(*) FROM claims_core WHERE dateadm IS NOT NULL GROUP BY claims_core.dateadm, ptype""")
+def _(t):
+    """A standing view read in SQL by two sessions of different roles."""
+    out = None
+    for who, hospital in (("analyst", "10011"), ("admin", None)):
+        session = t.spark.newSession()
+        sql_views.sign_in(session, t.folder, AS_OF, who, hospital)
+        rows = session.sql("SELECT :who AS who, service_date, ptype, sum(total_cases) AS total_cases FROM v_daily_revenue GROUP BY service_date, ptype", args={"who": who})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("fil17_aged_unpaid", f"""SELECT 'all' AS kind, count(*) AS n, {s('claim_drg')} AS amount FROM claims_core WHERE dateadm < {AS_OF_SQL} - 30 AND coalesce(paid, 0) = 0 AND claim_drg > 0
   UNION ALL SELECT 'clean', count(*), {s('claim_drg')} FROM claims_core WHERE dateadm < {AS_OF_SQL} - 60 AND coalesce(paid, 0) = 0 AND {OK}""")
 def _(t):

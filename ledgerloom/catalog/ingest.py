@@ -88,6 +88,13 @@ def _(t):
     return ingest.project_positional(t.raw_claims, CLAIM_LAYOUT)
 
 
+@query("ing04_too_long", f"""SELECT * FROM (SELECT file, row, concat_ws(',', CASE WHEN length({_idcell('c1')}) > 15 THEN 'tran_id' END, CASE WHEN length({_idcell('c2')}) > 15 THEN 'hn' END,
+  CASE WHEN length({_idcell('c4')}) > 20 THEN 'pid' END) AS too_long FROM raw_claims) WHERE too_long <> ''""")
+def _(t):
+    rows = ingest.over_width(ingest.project_positional(t.raw_claims, CLAIM_LAYOUT), CLAIM_LAYOUT)
+    return rows.where("too_long <> ''").select("file", "row", "too_long")
+
+
 # Whole layouts over the raw rows: every cell of a layout takes a raw cell of its kind.
 _RAW = {"id": ("c1", "c2", "c4"), "timestamp": ("c6",), "number": ("c7",), "text": ("c8", "c5", "c9", "c3")}
 
@@ -243,7 +250,7 @@ def _(t):
     order = F.regexp_extract("refDocNo", r"D(\d+)-", 1).cast("bigint")  # a document holds the lines of 100 orders
     docs = t.raw_transfers.groupBy(F.floor(order / 100)).agg(F.collect_list(F.struct("refDocNo", "total", "vndrNo")).alias("datas")).select("datas")
     files.write_json(docs, path)
-    return t.spark.read.schema("datas array<struct<refDocNo:string,total:string,vndrNo:string>>").json(path).select(F.explode("datas").alias("d")).select("d.*")
+    return files.read_json(t.spark, path, "refDocNo:string,total:string,vndrNo:string")
 
 
 @query("ing15_normalise_transfers", f"""SELECT runDt AS run_date, postingDate AS posting_date, refDocNo AS ref_doc_no, coalesce(nullif(vndrNo, ''), vendor_no) AS vendor_no, CAST(NULL AS VARCHAR) AS bank_name,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.filters import fiscal_year
-from ..plans import monthly, reports
+from ..plans import monthly, reports, sketches
+from ..session import fresh_path
 from .base import ERR, ERR_DASH, FY, FY_FROM, FY_TO, GAP, IS_IP, OK, YM, av, d, hu, n, query, rt, rtn, s, sw, txt
 
 TREND = f"""SELECT {YM} AS month, count(*) AS claims, {s('reimb_nhso')} AS reimb, {s('paid')} AS paid,
@@ -49,6 +50,24 @@ def _(t):
     return reports.overview(fiscal_year(t.claims_core, FY))
 
 
+@query("ag02_sketched_year", f"""SELECT count(*) AS total_claims, {s('reimb_nhso')} AS total_reimb, {s('claim_drg')} AS total_claim_drg, {n(ERR)} AS total_denied_claims, count(DISTINCT {YM}) AS active_months,
+  {rt('sum(reimb_nhso)', 'sum(claim_drg)')} AS reimb_rate, {rt(n(ERR), 'count(*)')} AS denial_rate, true AS patients_close, true AS median_close
+  FROM claims_core WHERE dateadm BETWEEN {FY_FROM} AND {FY_TO}""")
+def _(t):
+    """A fiscal year from the sketch table; how far its estimates are off is told by the facts."""
+    path = fresh_path(t.spark, "sketches")
+    sketches.write_sketches(sketches.monthly_sketches(t.claims_core), path)
+    year = sketches.between(t.spark, path, *sketches.fiscal_months(FY))
+    facts = fiscal_year(t.claims_core, FY)
+    patients = facts.agg(F.countDistinct("hn")).scalar()
+    median = sketches.quantiles(year, [0.5]).select("value").scalar()
+    rank = facts.where("claim_drg IS NOT NULL").agg(F.count_if(F.col("claim_drg") <= median) / F.count("*")).scalar()
+    out = sketches.overview(year).withColumns({"_patients": patients, "_rank": rank})
+    close = F.abs(F.col("unique_patients") - F.col("_patients")) <= F.greatest(F.lit(2.0), F.col("_patients") * 2 * sketches.PATIENTS_ERROR)
+    out = out.withColumns({"patients_close": close, "median_close": F.abs(F.col("_rank") - 0.5) <= 2 * sketches.RANK_ERROR})
+    return out.select("total_claims", "total_reimb", "total_claim_drg", "total_denied_claims", "active_months", "reimb_rate", "denial_rate", "patients_close", "median_close")
+
+
 @query("ag03_overview_visits", f"""SELECT CASE WHEN {IS_IP} THEN 'IPD' ELSE 'OPD' END AS visit, {n(OK)} AS claims, count(*) AS total_claims,
   {sw(OK, 'claim_drg')} AS claim, {s('claim_drg')} AS total_claim, {sw(OK, 'reimb_nhso')} AS reimb, {n(ERR)} AS fail_claims,
   {sw(ERR, 'claim_drg')} AS fail_claim, {rt(f'sum(CASE WHEN {OK} THEN reimb_nhso END)', f'sum(CASE WHEN {OK} THEN claim_drg END)')} AS reimb_rate,

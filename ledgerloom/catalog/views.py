@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..plans import calendar, reports, views
-from .base import AS_OF, AS_OF_SQL, ERR, ERR_VIEW, FY, av, d, hu, n, query, rtn, s, txt
+from .base import AS_OF, AS_OF_SQL, ERR, ERR_VIEW, FY, FY_FROM, FY_TO, av, d, hu, n, query, rtn, s, txt
 from .joins import STM_VIEW
 
 
@@ -189,6 +189,11 @@ def _(t):
     return views.user_activity_summary(t.audit)
 
 
+@query("vw23_user_addresses", f"SELECT user_id, ip_address, count(*) AS actions, {txt('min(ts)')} AS first_used, {txt('max(ts)')} AS last_used FROM audit WHERE user_id IS NOT NULL AND ip_address IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    return views.user_addresses(t.audit)
+
+
 @query("vw24_data_access_log", f"""SELECT id, user_id, user_email, action, resource_type, {txt('ts')} AS ts, ip_address, CASE action WHEN 'READ' THEN 'Viewed' WHEN 'EXPORT' THEN 'Exported'
   WHEN 'UPDATE' THEN 'Modified' WHEN 'DELETE' THEN 'Deleted' END AS access_type FROM audit WHERE action IN ('READ', 'EXPORT', 'UPDATE', 'DELETE')""")
 def _(t):
@@ -265,6 +270,15 @@ def _(t):
     return _dim(t)
 
 
+@query("dt01_date_range", f"""SELECT {_CAL}, coalesce(n, 0) AS claims FROM (SELECT CAST(unnest(generate_series({FY_FROM}, {FY_TO}, INTERVAL 1 DAY)) AS DATE) AS d)
+  LEFT JOIN (SELECT dateadm AS d, count(*) AS n FROM claims_core GROUP BY claims_core.dateadm) USING (d)""")
+def _(t):
+    """Every day of a fiscal year with its claims, also days without any."""
+    days = calendar.date_dimension(t.spark, dt.date(1998, 10, 1), dt.date(1999, 9, 30))
+    daily = t.claims_core.groupBy(F.col("dateadm").cast("date").alias("_d")).agg(F.count("*").alias("claims"))
+    return days.join(daily, F.col("full_date") == F.col("_d"), "left").drop("_d").withColumn("claims", F.coalesce("claims", F.lit(0)))
+
+
 @query("dt02_extend", f"SELECT {_CAL} FROM (SELECT CAST(unnest(generate_series(max(dateadm) + 1, DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d FROM claims_core)")
 def _(t):
     return calendar.extend(_dim(t), 2002)

@@ -214,7 +214,7 @@ def audit_log_stats(audit: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 
 def user_activity_summary(audit: DataFrame) -> DataFrame:
-    """Activity per user with the distinct addresses used."""
+    """Activity per user with the distinct addresses used; :func:`user_addresses` has them a row each."""
     a = F.col("action")
     return audit.filter(F.col("user_id").isNotNull()).groupBy("user_id", "user_email").agg(
         F.count("*").alias("total_actions"), F.countDistinct(F.col("ts").cast("date")).alias("active_days"),
@@ -224,6 +224,12 @@ def user_activity_summary(audit: DataFrame) -> DataFrame:
     )
 
 
+def user_addresses(audit: DataFrame) -> DataFrame:
+    """One row for each user and address, however many addresses a user has."""
+    known = audit.filter(F.col("user_id").isNotNull() & F.col("ip_address").isNotNull())
+    return known.groupBy("user_id", "ip_address").agg(F.count("*").alias("actions"), F.min("ts").alias("first_used"), F.max("ts").alias("last_used"))
+
+
 # Words shown for an action.
 ACCESS_WORDS = {"READ": "Viewed", "EXPORT": "Exported", "UPDATE": "Modified", "DELETE": "Deleted"}
 

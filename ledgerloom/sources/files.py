@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import digest
-
 BOM = "﻿"
 
 
@@ -21,12 +19,6 @@ def discover(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Content digest per file, to find the same file under two names."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), digest("content").alias("file_hash"))
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header as text columns; a byte-order mark before the first name is dropped."""
     df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
@@ -60,14 +52,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_fact(df: DataFrame, path: str, date_col: str = "dateadm") -> None:
+def write_fact(df: DataFrame, path: str, date_col: str = "dateadm", key: str | None = None) -> None:
     """A fact as Parquet folders per month.
 
     Rows are rebalanced by month first: a busy month becomes several files of a good size and quiet
-    months share a task, instead of every task writing a sliver of every month.
+    months share a task, instead of every task writing a sliver of every month.  With ``key`` the rows of a file
+    are sorted by it and a Bloom filter says which files can hold a value, for :func:`point_lookup`.
     """
     month = F.coalesce(F.date_format(date_col, "yyyy-MM"), F.lit("none"))
-    df.withColumn("month", month).hint("rebalance", "month").write.mode("errorifexists").partitionBy("month").parquet(path)
+    rows = df.withColumn("month", month).hint("rebalance", "month")
+    if key:
+        rows = rows.sortWithinPartitions("month", key)
+    writer = rows.write.mode("errorifexists").partitionBy("month")
+    if key:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.parquet(path)
+
+
+def point_lookup(spark: SparkSession, path: str, key: str, *values: str) -> DataFrame:
+    """The rows of some key values.  Row groups are skipped by their range and by the Bloom filter of the key."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col(key) == F.lit(values[0])) if len(values) == 1 else rows.where(F.col(key).isin(*values))
 
 
 def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
