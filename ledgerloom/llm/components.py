@@ -19,22 +19,31 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(_least(edges), F.col("u") == F.col("_u")).select("u", "v", "least")
 
 
+#: Links in a file, about.
+LINKS = 500_000
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has either one link, to a smaller node, or only links from larger ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    both = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return both.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of every node of ``links(a, b)``; the class is the smallest node of the component."""
     spark = session_of(links)
     folder = fresh_folder(spark, "components")
+    parts = max(8, -(-links.count() // LINKS))
 
     def settled(edges: DataFrame, name: str) -> DataFrame:
-        edges.where("u <> v").distinct().write.parquet(f"{folder}/{name}")
+        edges.where("u <> v").distinct().coalesce(parts).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
-    before, step = None, 0
-    while True:
-        sign = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("s")).first()
-        if sign == before:
-            break
-        before, step = sign, step + 1
+    step = 0
+    while not _are_stars(edges):
+        step += 1
         both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = settled(both.where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v")), f"large-{step}")
         small = _with_least(large)

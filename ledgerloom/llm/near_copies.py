@@ -45,6 +45,7 @@ ROWS = 4
 LAG = 8
 PARTNERS = 500
 HELD = 1_500_000
+FILE_TEXTS = 50_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -230,45 +231,48 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     spark = session_of(docs)
     folder = fresh_folder(spark, "near-copies")
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+    def kept(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        (df if parts is None else df.coalesce(parts)).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     texts = _texts(docs)
+    known_weights = weights_of(texts)
+    # Tables of numbers are written in files of about so many texts.
+    few = max(8, -(-known_weights.documents // FILE_TEXTS))
     # Bounded by the mean length of a text, and gone from the executors when the classes are known.
-    weights = spark.sparkContext.broadcast(weights_of(texts))
+    weights = spark.sparkContext.broadcast(known_weights)
     every = kept(signed(texts, weights), "signed")
     # One text stands for its copies.
     first = every.groupBy("same", F.hash("same").alias("_")).agg(F.min("doc_id").alias("first")).select("same", "first")
-    first = kept(first, "first")
+    first = kept(first, "first", few)
     single = every.join(first, (every["same"] == first["same"]) & (every["doc_id"] == first["first"])).select("doc_id", every["same"], "keys").dropDuplicates(["doc_id", "same"])
     count = SAMPLES // ROWS
     following = [F.element_at("keys", F.pmod(F.col("band") + k, F.lit(count)) + 1).alias(f"k{k}") for k in (1, 2, 3)]
     buckets = single.select("doc_id", "keys", F.posexplode("keys").alias("band", "key")).select("key", "band", "doc_id", *following)
     shared = buckets.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre")).where("n > 1").select(F.col("key").alias("_key"), "centre", "n")
-    buckets = kept(buckets.join(shared, F.col("key") == F.col("_key")).select("key", "k1", "k2", "k3", "doc_id", "centre", "n"), "buckets")
+    buckets = kept(buckets.join(shared, F.col("key") == F.col("_key")).select("key", "k1", "k2", "k3", "doc_id", "centre", "n"), "buckets", few)
     involved = buckets.select("doc_id").distinct()
     candidates = kept(texts.join(involved, "doc_id", "left_semi"), "candidates")
     stars = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     links = kept(verified(stars, candidates, weights, least), "stars")
-    classes = kept(components(links), "star-classes")
+    classes = kept(components(links), "star-classes", few)
     classed = _mixed(buckets, classes)
-    nexts = kept(_next_ones(classed).distinct().join(stars, ["a", "b"], "left_anti"), "more-pairs")
+    nexts = kept(_next_ones(classed).distinct().join(stars, ["a", "b"], "left_anti"), "more-pairs", few)
     more = kept(verified(nexts, candidates, weights, least), "more")
     # What is linked already goes on as its classes.
     stars_of = classes.select(F.col("node").alias("a"), F.col("class").alias("b"))
-    classes = kept(components(stars_of.unionByName(more)), "next-classes")
-    left = kept(_mixed(buckets.where(F.col("n") > LAG + 1), classes).select("doc_id", "class").distinct(), "left")
+    classes = kept(components(stars_of.unionByName(more)), "next-classes", few)
+    left = kept(_mixed(buckets.where(F.col("n") > LAG + 1), classes).select("doc_id", "class").distinct(), "left", few)
     if not left.isEmpty():
         sizes = left.groupBy("class", F.hash("class").alias("_")).agg(F.count(F.lit(1)).alias("n_class")).select(F.col("class").alias("_class"), "n_class")
         left = left.join(sizes, F.col("class") == F.col("_class")).select(F.col("doc_id").alias("_doc"), "class", "n_class")
         left = kept(candidates.join(left, F.col("doc_id") == F.col("_doc")).select("doc_id", "class", "n_class", "text"), "left-texts")
         known = stars.unionByName(nexts).select(F.greatest("a", "b").alias("_a"), F.least("a", "b").alias("_b"))
         rare = possible_pairs(left, weights, least)
-        rare = kept(rare.join(known, (F.greatest("a", "b") == F.col("_a")) & (F.least("a", "b") == F.col("_b")), "left_anti"), "rare-pairs")
+        rare = kept(rare.join(known, (F.greatest("a", "b") == F.col("_a")) & (F.least("a", "b") == F.col("_b")), "left_anti"), "rare-pairs", few)
         rare = kept(verified(rare, candidates, weights, least), "rare")
         stars_of = classes.select(F.col("node").alias("a"), F.col("class").alias("b"))
-        classes = kept(components(stars_of.unionByName(rare)), "classes")
+        classes = kept(components(stars_of.unionByName(rare)), "classes", few)
     weights.destroy()
     named = first.join(classes, F.col("first") == F.col("node"), "left").select(F.col("same").alias("_same"), F.coalesce("class", "first").alias("class_id"))
     # Grouped anew, so that the join has an exchange on both sides and a text with many copies can be split.

@@ -165,6 +165,7 @@ class Weights:
     """Weights of shingles by how many of ``documents`` documents hold the common ones."""
 
     def __init__(self, documents: int, common: np.ndarray, held_by: np.ndarray):
+        self.documents = documents
         order = np.argsort(common)
         self.common = np.asarray(common, np.uint64)[order]
         share = np.asarray(held_by, np.float64)[order] / max(1, documents)
