@@ -79,10 +79,15 @@ class Scanner:
                 lines.append([data.rfind(b"\n", 0, offset) + 1, line_end, 0])
             lines[-1][2] |= rules
         across: set[tuple[int, int]] = set()
-        owners = np.searchsorted(first, [x[0] for x in lines], side="right") - 1 if lines else []
+        owners = (np.searchsorted(first, [x[0] for x in lines], side="right") - 1).tolist() if lines else []
+        text, at, before = -1, 0, 0
         for (start, end, rules), owner in zip(lines, owners, strict=True):
             line = data[start:end].decode("utf-8", "surrogatepass")
-            before = len(data[first[owner] : start].decode("utf-8", "surrogatepass"))
+            if owner != text:
+                text, at, before = owner, int(first[owner]), 0
+            # Code points are counted on from the last line with a hit, so every byte once.
+            before += len(data[at:start].decode("utf-8", "surrogatepass"))
+            at = start
             for i, rule in enumerate(self.rules):
                 if rules >> i & 1 and rule.lines:
                     across.add((owner, i))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -87,3 +88,16 @@ def test_redaction_of_private_keys(docs):
 def test_whole_table(spark, folder, documents):
     got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op7_secrets"](spark, folder).collect()}
     assert got == {r.doc_id: digest(r.text) for r in documents.select("doc_id", "text").collect()}
+
+
+def test_a_long_text_with_a_hit_in_every_line():
+    """Places are counted once: twice the text takes about twice the time, and spans are those of the rules alone."""
+    line = "é token = abcdefghijkl0123456789 🙂 and more words\n"
+    scanner, took = SCANNER, []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        spans = scanner([line * n])[0]
+        took.append(time.perf_counter() - began)
+        assert len(spans) == n and [s[0] for s in spans[:3]] == [len(line) * k + spans[0][0] for k in range(3)]
+        assert (spans[-1][0], spans[-1][2]) == (spans[0][0] + len(line) * (n - 1), spans[0][2] + len(line) * (n - 1))
+    assert took[1] < 10 * took[0]
