@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import fresh_folder
 from .learning import blocks
 from .ship import session_of
 
 LEAST = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
+#: Bounds of passages and blocks that are kept at once.
+BOUNDS = 1 << 21
 PART = 4096
 PASS_ITEMS = 65_536
 BLOCK = 4
@@ -64,6 +67,19 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
 
 
+@dataclass
+class Statistics:
+    """What scores need of all items, whatever part of them an index holds: their number, mean length and how many hold a word."""
+
+    items: int
+    mean: float
+    held_by: dict[str, int]
+
+    @classmethod
+    def of(cls, words: list[list[str]]) -> Statistics:
+        return cls(len(words), sum(map(len, words)) / max(1, len(words)), Counter(w for own in words for w in set(own)))
+
+
 @dataclass
 class Index:
     """Posting lists of some items; item numbers are places in ``items``."""
@@ -83,12 +99,11 @@ class Index:
     blocks: int
 
     @classmethod
-    def of(cls, items: list[tuple[int | None, str]]) -> Index:
+    def of(cls, items: list[tuple[int | None, str]], statistics: Statistics | None = None) -> Index:
         words = [words_of(t) for _, t in items]
-        spread = Counter(w for own in words for w in set(own))
-        terms = {w: i for i, w in enumerate(sorted(spread))}
-        mean = max(1.0, sum(map(len, words)) / max(1, len(words)))
-        idf = {w: np.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in spread.items()}
+        known = statistics or Statistics.of(words)
+        terms = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
+        mean, idf = max(1.0, known.mean), {w: np.log(1 + (known.items - known.held_by[w] + 0.5) / (known.held_by[w] + 0.5)) for w in terms}
         rows = []
         for number, own in enumerate(words):
             scale = K1 * (1 - B + B * len(own) / mean)
@@ -171,8 +186,10 @@ class Index:
 class Detector:
     """Items that stand in texts, for some parts of the index."""
 
-    def __init__(self, parts: list[list[tuple[int | None, str]]], least: float = LEAST, overlap: float = OVERLAP):
-        self.parts = [Index.of(p) for p in parts]
+    def __init__(self, parts: list[list[tuple[int | None, str]]], least: float = LEAST, overlap: float = OVERLAP, statistics: Statistics | None = None):
+        words = [words_of(t) for p in parts for _, t in p]
+        statistics = statistics or Statistics.of(words)
+        self.parts = [Index.of(p, statistics) for p in parts]
         self.least, self.overlap = least, overlap
         longest = max((len(words_of(t)) for p in parts for _, t in p), default=0)
         self.stride = max(64, longest)
@@ -205,7 +222,7 @@ class Detector:
             cells.sort()
             cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])]
             passage, term = cells // len(index.terms), cells % len(index.terms)
-            for p in index.promising(passage, term, int(counts.sum()), self.least).tolist():
+            for p in self._promising(index, passage, term, int(counts.sum())):
                 a, b = np.searchsorted(passage, [p, p + 1])
                 found = index.retrieve(term[a:b], self.least)
                 if found:
@@ -214,6 +231,14 @@ class Detector:
                     self._verify(out[doc], words[doc][begin : begin + 2 * stride], number, found)
         return out
 
+    def _promising(self, index: Index, passage: np.ndarray, term: np.ndarray, passages: int) -> Iterator[int]:
+        """Passages that may hold an item, some at a time: bounds are kept for every passage and block."""
+        step = max(1, BOUNDS // max(1, index.blocks + len(index.wide_top)))
+        for begin in range(0, passages, step):
+            stop = min(passages, begin + step)
+            a, b = np.searchsorted(passage, [begin, stop])
+            yield from (index.promising(passage[a:b] - begin, term[a:b], stop - begin, self.least) + begin).tolist()
+
     def _verify(self, best: dict, passage: list[str], number: int, found: list[tuple[int, float]]) -> None:
         by_size: dict[int, set] = {}
         for item, score in found:
@@ -229,14 +254,38 @@ class Detector:
                     best[key] = (self.parts[number].items[item][0], score, *shares)
 
 
-def _detectors(items: DataFrame, least: float, overlap: float) -> Iterator[Detector]:
-    """One detector a pass; each holds at most about ``PASS_ITEMS`` items."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(word, n): how many items hold each word, and under a null word how many words all items have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            held = Counter(w for own in words for w in set(own))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *held], pa.string()), pa.array([sum(map(len, words)), *held.values()], pa.int64())], names=["word", "n"])
+
+    return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _detectors(items: DataFrame, least: float, overlap: float) -> Iterator[tuple[Detector, bool]]:
+    """One detector a pass, and whether it is the last; each holds at most about ``PASS_ITEMS`` items."""
+    spark = session_of(items)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"\w"))
-    passes = max(1, -(-rows.count() // PASS_ITEMS))
+    total = rows.count()
+    passes = max(1, -(-total // PASS_ITEMS))
+    counted = None
+    if passes > 1:
+        folder = fresh_folder(spark, "item-words")
+        _counted(rows).write.parquet(folder)
+        counted = spark.read.parquet(folder)
     for k in range(passes):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        pairs = [(r.item_id, r.text) for r in own]
-        yield Detector([pairs[i : i + PART] for i in range(0, len(pairs), PART)], least, overlap)
+        pairs, statistics = [(r.item_id, r.text) for r in own], None
+        if counted is not None:  # of all items, the words of this pass
+            words = {w for _, t in pairs for w in words_of(t)}
+            mine = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+            held = {r.word: r.n for r in counted.join(mine, "word", "left_semi").collect()}
+            statistics = Statistics(total, counted.where("word IS NULL").first().n / total, held)
+        yield Detector([pairs[i : i + PART] for i in range(0, len(pairs), PART)], least, overlap, statistics), k == passes - 1
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -244,8 +293,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.
 
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every item that stands in a document."""
-    spark, out = session_of(docs), None
-    for detector in _detectors(items, least, overlap):
+    spark = session_of(docs)
+    folder, schema = fresh_folder(spark, "leaks"), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    for detector, _ in _detectors(items, least, overlap):
         sent = spark.sparkContext.broadcast(detector)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -255,20 +305,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
-        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
-    return out
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, schema).write.mode("append").parquet(folder)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(folder)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` in which no item stands."""
-    at, schema = docs.columns.index("text"), docs.schema
-    for detector in _detectors(items, least, overlap):
-        sent = session_of(docs).sparkContext.broadcast(detector)
+    """The rows of ``docs`` in which no item stands.  With several passes, each but the last is written."""
+    spark, at, schema = session_of(docs), docs.columns.index("text"), docs.schema
+    folder = fresh_folder(spark, "without-leaks")
+    for number, (detector, last) in enumerate(_detectors(items, least, overlap)):
+        sent = spark.sparkContext.broadcast(detector)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for block in blocks(batches, at):
                 yield block.filter(pa.array([not leaks for leaks in sent.value(block.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(keep, schema)
+        if not last:
+            docs.write.parquet(f"{folder}/{number}")
+            sent.destroy()
+            docs = spark.read.schema(schema).parquet(f"{folder}/{number}")
     return docs

@@ -86,3 +86,24 @@ def test_whole_table(spark, folder, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
     want = plain([tuple(r) for r in documents.select("doc_id", "text").collect()], items)
     assert {(r.doc_id, r.item_id) for r in QUERIES["op9_leaks"](spark, folder).collect()} == want
+
+
+def test_scores_do_not_depend_on_parts_passes_or_slices(spark, docs, monkeypatch):
+    """As many items, cut otherwise: the same rows with the same scores; a long text with many items in it."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12, 40))) + ".\n" + " ".join(rng.choice(words) for _ in range(6)) for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    long = " ".join(rng.choice(words) for _ in range(300))
+    rows = [(k, " ".join(rng.choice(words) for _ in range(200)) + " " + texts[k] + " " + long) for k in range(0, 60, 7)]
+    rows.append((1000, (" " + long + " ").join(texts)))
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in leaks.find_leaks(docs(rows), items).collect())
+    want = found()
+    assert {r[:2] for r in want} >= {(1000, k) for k in range(60)} | {(k, k) for k in range(0, 60, 7)}
+    monkeypatch.setattr(leaks, "PART", 7)
+    monkeypatch.setattr(leaks, "BOUNDS", 50)
+    assert found() == want
+    monkeypatch.setattr(leaks, "PASS_ITEMS", 25)
+    assert found() == want
+    kept = leaks.without_leaks(docs([*rows, (7777, long)]), items)
+    assert [r.doc_id for r in kept.collect()] == [7777]
