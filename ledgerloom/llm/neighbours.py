@@ -39,6 +39,8 @@ BITS = 7
 BLOCK = 512
 DATA_BLOCK = 2048
 QUERY_BLOCK = 512
+# Data blocks that meet all query blocks in one task.
+SALT_BLOCKS = 64
 # Points that a block returns beyond the k + 1 asked for, so that rounding cannot lose one.
 SPARE = 8
 
@@ -229,7 +231,11 @@ def widened(placed: DataFrame, bounds: DataFrame, many: int) -> DataFrame:
     dot = F.aggregate(F.zip_with("c", "d", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     norm = lambda name: F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, v: s + v * v))
     most = dot + norm("c") * F.col("small") + F.col("big") * norm("d") + F.col("big") * F.col("small")
-    cells = a.join(b, "dim").where(most >= F.col("least") - 1e-9).select("i", "j")
+    # Vectors have one length as a rule; salted, no task has all blocks.
+    salts = max(1, -(-right.count() // SALT_BLOCKS))
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = b.withColumn("salt", F.pmod(F.xxhash64("j"), F.lit(salts)).cast("int"))
+    cells = a.join(b, ["dim", "salt"]).where(most >= F.col("least") - 1e-9).select("i", "j")
     whole = cells.join(left.select(F.col("block").alias("i"), F.col("points").alias("qp"), F.col("x").alias("q"), F.col("bounds").alias("qb")), "i")
     whole = whole.join(right.select(F.col("block").alias("j"), F.col("points").alias("dp"), F.col("x").alias("d")), "j")
 
