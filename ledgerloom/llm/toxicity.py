@@ -175,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, learned_from, most: int = SAMPLE, tr
     known = known.withColumn("part", F.when(part == 2, "curve").when(part == 1, F.concat(F.lit("trees"), F.col("toxic"))).otherwise(F.concat(F.lit("words"), F.col("toxic"))))
     chosen = bounded_sample(known, "part", most)
     # At most ``most`` ids of each part, so they are sent to the texts and not the texts to them.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").persist()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy(*chosen.columns).agg(F.min("text").alias("text")).persist()  # a repeated id gives its smallest text
+    x = None
     try:
         words = rows.where(F.col("part").startswith("words"))
         lexicon = _lexicon(words)
@@ -189,10 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, learned_from, most: int = SAMPLE, tr
         if not held.take(1):
             held = model.transform(own).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
         curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(held)
-        x.unpersist()
         return ToxicityModel(lexicon, model, curve)
     finally:
         rows.unpersist()
+        if x is not None:
+            x.unpersist()
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
