@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fiscal
 from ..functions.money import is_error, ratio, ratio_or_null, total, zero
-from ..operators.filters import is_aged_unpaid
+from ..operators.filters import aged_unpaid, is_aged_unpaid
 from ..operators.windows import change_between_months
 from .reports import order_rank
 
