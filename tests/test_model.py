@@ -53,3 +53,20 @@ def test_saved_model_scores_alike(spark, fitted, tables):
 def test_cross_validation_runs(tables):
     mean, deviation = dm.cross_validate(dm.training_frame(tables.claims_core), folds=2, trees=3, depth=3)
     assert 0 <= mean <= 1 and deviation >= 0
+
+
+def test_forest_learns_in_bounded_tasks(spark, tables, monkeypatch):
+    """Tasks follow from the rows, not from the row groups of a file, and no row is lost."""
+    frame = dm.training_frame(tables.claims_core)
+    n = frame.count()
+    monkeypatch.setattr(dm, "LEARN_ROWS", n // 40)
+    rows = dm.learning_rows(frame)
+    sizes = [r["count"] for r in rows.groupBy(dm.F.spark_partition_id().alias("p")).count().collect()]
+    rows.unpersist()
+    assert sum(sizes) == n and len(sizes) >= 40 and max(sizes) < n / 10
+
+
+def test_forest_is_the_same_whatever_the_files(tables):
+    frame = dm.training_frame(tables.claims_core)
+    found = [dm.train(x, trees=3, depth=4).stages[-1].toDebugString.split("\n", 1)[1] for x in (frame, frame.repartition(5))]
+    assert found[0] == found[1]
