@@ -121,9 +121,15 @@ def _machines(rows: DataFrame, column: str, names: list[str]) -> Machines:
     return Machines(names, pairs, np.array(weights), np.array(bias))
 
 
+def _labelled(docs: DataFrame, wanted: Column) -> DataFrame:
+    """(doc_id, text, lang) of the rows that are ``wanted``, have a language and a letter."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.where(wanted & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+
 def _drawn(docs: DataFrame, learned_from: Column, most: int) -> DataFrame:
     """(doc_id, text, lang) of at most ``most`` labelled ids of each language; a repeated id gives its smallest text."""
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(learned_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = _labelled(docs, learned_from)
     chosen = bounded_sample(labelled.select("doc_id", "lang"), "lang", most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     # At most ``most`` ids of each language, so they are sent to the texts and not the texts to them.
     rows = labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
@@ -168,9 +174,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, "doc_id long, lang_pred string, score double")
 
 
-def floor_of(docs: DataFrame, held_out: Column, model: LanguageModel, most: int = SAMPLE) -> float:
-    """Half the lowest score of labelled rows that the model has not learned from; 0 if there are none."""
-    lowest = predict(_drawn(docs, held_out, most), model).agg(F.min("score")).first()[0]
+def floor_of(docs: DataFrame, held_out: Column, model: LanguageModel) -> float:
+    """Half the lowest score of all labelled rows that the model has not learned from; 0 if there are none."""
+    lowest = predict(_labelled(docs, held_out), model).agg(F.min("score")).first()[0]
     return 0.0 if lowest is None else lowest / 2
 
 

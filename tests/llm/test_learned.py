@@ -60,6 +60,16 @@ def test_language_stage_keeps_what_it_should(spark, docs, documents):
     assert language.keep_known(documents, model, 1.1).count() == 0 and language.floor_of(documents, F.lit(False), model) == 0
 
 
+def test_floor_looks_at_every_held_out_text(spark, docs, documents):
+    """The text that fits worst counts, however many there are and wherever its id hashes to."""
+    model = language.fit(documents, remainder(4) != 2, most=60)
+    last = spark.range(1, language.SAMPLE + 200).orderBy(F.desc(F.xxhash64("id"))).first().id
+    rows = docs([(i, "qzx wvq" if i == last else "the house by the sea and the people in it") for i in range(1, language.SAMPLE + 200)])
+    scores = {r.doc_id: r.score for r in language.predict(rows, model).collect()}
+    assert scores[last] < min(s for i, s in scores.items() if i != last)
+    assert language.floor_of(rows, F.lit(True), model) == scores[last] / 2
+
+
 def test_language_learns_from_null_and_repeated_ids(docs):
     rows = [(None, "some words of text"), (None, "other words here"), (1, "a b c"), (1, "a b c d"), (1, None), (2, "12")]
     model = language.fit(docs(rows), F.lit(True))
