@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
 from .ingest import Field, project_positional, section_marker
 
 
@@ -74,20 +75,37 @@ def file_type(file: str = "file") -> Column:
     return F.when(F.contains(F.upper(F.col(file)), F.lit("_IP")), "IP").otherwise("OP")
 
 
+def markers(marked: DataFrame, keys: Sequence[str] = ("file", "sheet")) -> DataFrame:
+    """One small row for each sheet that has markers: its keys and ``_marks``, the markers by row."""
+    each = marked.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("row", section_marker(F.col("c0")).alias("kind")).alias("m")).where("m.kind IS NOT NULL")
+    return each.groupBy(*[f"_{k}" for k in keys], F.hash(*[f"_{k}" for k in keys]).alias("_")).agg(F.sort_array(F.collect_list("m")).alias("_marks")).drop("_")
+
+
+def below(rows: DataFrame, of_sheet: DataFrame, default: str = "normal", keys: Sequence[str] = ("file", "sheet")) -> DataFrame:
+    """Add ``data_type``: the last of its sheet's :func:`markers` above each row."""
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    above = F.try_element_at(F.filter("_marks", lambda m: m["row"] < F.col("row")), F.lit(-1))
+    return rows.join(of_sheet, on, "left").withColumn("data_type", F.coalesce(above["kind"], F.lit(default))).drop("_marks", *[f"_{k}" for k in keys])
+
+
 def under_markers(rows: DataFrame, marked: DataFrame, default: str = "normal", keys: Sequence[str] = ("file", "sheet")) -> DataFrame:
     """Add ``data_type``: the last marker above each row in its sheet.
 
     A sheet has a handful of markers, so they are one small row a sheet, and rows are not sorted for it.
     """
-    each = marked.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("row", section_marker(F.col("c0")).alias("kind")).alias("m")).where("m.kind IS NOT NULL")
-    of_sheet = each.groupBy(*[f"_{k}" for k in keys], F.hash(*[f"_{k}" for k in keys]).alias("_")).agg(F.sort_array(F.collect_list("m")).alias("_marks")).drop("_")
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    above = F.try_element_at(F.filter("_marks", lambda m: m["row"] < F.col("row")), F.lit(-1))
-    return rows.join(of_sheet, on, "left").withColumn("data_type", F.coalesce(above["kind"], F.lit(default))).drop("_marks", *[f"_{k}" for k in keys])
+    return below(rows, markers(marked, keys), default, keys)
+
+
+#: A task may write a few tables side by side, each with a row group in memory.
+GROUP_BYTES, WRITERS = 16 << 20, 32
 
 
 def deal(raw: DataFrame, sections: Sequence[Section], path: str) -> None:
-    """Write the rows of all sections in one pass, a folder for each table."""
+    """Write the rows of all sections in one pass, a folder for each table.
+
+    The markers are written first, so that their size is known before the join: as long as they are few they go to
+    the rows.  A task writes its tables side by side.  So rows are neither shuffled nor sorted.
+    """
     kind = file_type()
     table, given = F.lit(None).cast("string"), F.lit(None).cast("string")
     for s in reversed(sections):
@@ -95,9 +113,18 @@ def deal(raw: DataFrame, sections: Sequence[Section], path: str) -> None:
         table, given = F.when(mine, s.table).otherwise(table), F.when(mine, s.kind).otherwise(given)
     if len({s.table for s in sections}) != len(sections):
         raise ValueError("every section needs a table of its own")
+    spark, marks = raw.sparkSession, fresh_path(raw.sparkSession, "markers")
+    of_sheet = markers(raw)
+    of_sheet.write.parquet(marks)
     rows = raw.withColumns({"table": table, "_given": given}).where("table IS NOT NULL")
-    rows = under_markers(rows, raw).withColumn("data_type", F.coalesce("_given", "data_type")).drop("_given")
-    rows.write.partitionBy("table").parquet(path)
+    rows = below(rows, spark.read.schema(of_sheet.schema).parquet(marks)).withColumn("data_type", F.coalesce("_given", "data_type")).drop("_given")
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, WRITERS)
+    try:
+        rows.write.option("parquet.block.size", GROUP_BYTES).partitionBy("table").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def section(spark: SparkSession, path: str, s: Section, raw_schema) -> DataFrame:

@@ -124,3 +124,21 @@ def test_statement_sections(spark):
     with pytest.raises(ValueError):
         deal(raw, [STATEMENT_SHEETS[0]] * 2, path)
     assert spark.read.parquet(path).agg(F.countDistinct("table")).first()[0] == 4
+
+
+def test_dealing_neither_shuffles_nor_sorts_rows(spark, monkeypatch):
+    """Few markers go to the rows; a sheet of many rows is not one task's to sort."""
+    rows = [("f.xls", "data", 2 + i, str(i), str(i), "1", None) for i in range(20)] + [("f.xls", "data", 5, "ข้อมูลอุทธรณ์", None, None, None)]
+    written = []
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (written.append(self._df), real(self, *a, **k))[1])
+    path = fresh_path(spark, "dealt")
+    raw = spark.createDataFrame(rows, RAW)
+    deal(raw, SECTIONS, path)
+    plan = written[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    kinds = {r.row: r.data_type for r in spark.read.parquet(path).collect()}
+    assert kinds == {2 + i: "appeal" if 2 + i > 5 else "normal" for i in range(20)}
