@@ -24,6 +24,15 @@ def grams(text: Column) -> Column:
     return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
+#: Rows whose postings a task sorts.  A row has some twenty of them.
+TASK_ROWS = 100_000
+
+
+def _dealt(rows: DataFrame, by: str, buckets: int, slices: int, of: Sequence[str]) -> DataFrame:
+    """Each of the buckets of ``by`` in about as many tasks as there are slices."""
+    return rows.withColumn("_slice", F.pmod(F.xxhash64(*of), F.lit(slices))).hint("rebalance", buckets * slices, by, "_slice").drop("_slice")
+
+
 class TrigramIndex:
     """Rows and postings in a folder of the shared file system."""
 
@@ -34,13 +43,18 @@ class TrigramIndex:
         return F.pmod(F.xxhash64(of), F.lit(self.buckets)).cast("int")
 
     def build(self, rows: DataFrame) -> TrigramIndex:
-        """Store ``rows`` and their postings.  A busy run becomes several files of its part."""
+        """Store ``rows`` and their postings.
+
+        Buckets and parts are cut into as many slices as their number of rows asks for, so that a task sorts the same few
+        rows however large the table is.  A busy run becomes several files of its part.
+        """
+        slices = -(-rows.count() // (self.buckets * TASK_ROWS)) or 1
         stored = rows.withColumn("bucket", self._part(F.col(self.key)))
-        stored.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(f"{self.path}/rows")
+        _dealt(stored, "bucket", self.buckets, slices, rows.columns).sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(f"{self.path}/rows")
         every = F.array_distinct(F.flatten(F.array(*[grams(F.col(c).cast("string")) for c in self.columns])))
         posts = stored.select(F.explode(every).alias("gram"), F.col(self.key).alias("key"), F.col("bucket").alias("at"))
         posts = posts.withColumn("part", self._part(F.col("gram")))
-        posts.hint("rebalance", "part").sortWithinPartitions("part", "gram", "key").write.partitionBy("part").parquet(f"{self.path}/grams")
+        _dealt(posts, "part", self.buckets, slices, ["key"]).sortWithinPartitions("part", "gram", "key").write.partitionBy("part").parquet(f"{self.path}/grams")
         return self
 
     def rows(self) -> DataFrame:

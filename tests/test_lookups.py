@@ -89,3 +89,24 @@ def test_views_in_sql_are_the_functions(spark, role, hospital):
     for name, want in (("v_daily_revenue", views.daily_revenue(claims)), ("v_drg_distribution", views.drg_distribution(claims, t.drg_dim)), ("v_high_cost_months", views.high_cost_months(claims)), ("v_recent_claims", reports.recent_claims(claims, t.ledger)), ("v_import_status", views.import_status(t.ledger))):
         got = session.sql(f"SELECT * FROM {name}")
         assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_index_is_built_in_tasks_of_few_rows(spark, monkeypatch):
+    """A part is cut into slices as the table grows, also where one task reads it all."""
+    from ledgerloom.sources import trigrams
+
+    monkeypatch.setattr(trigrams, "TASK_ROWS", 50)
+    spread = []
+    real = trigrams._dealt
+    monkeypatch.setattr(trigrams, "_dealt", lambda *a: (spread.append(real(*a)), spread[-1])[1])
+    rows = spark.range(0, 4000, 1, 1).select(F.concat(F.lit("abc"), F.col("id").cast("string")).alias("id"), F.lit("same text").alias("text"))
+    index = TrigramIndex(spark, fresh_path(spark, "sliced"), "id", ["id", "text"], 2).build(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [[r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()] for x in spread]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for own in sizes:
+        assert max(own) < sum(own) / 8
+    assert {r.id for r in index.search("c123").collect()} == {f"abc{i}" for i in range(4000) if f"abc{i}".startswith("abc123")}
+    assert index.search("me t").count() == 4000
