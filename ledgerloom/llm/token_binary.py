@@ -20,7 +20,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -127,13 +126,13 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         units = [[t] if _OTHER_SPACE.search(t) else _UNIT.findall(t) for t in texts]
-        fresh = list(set().union(*units) - self.known.keys())
-        seen = dict(zip(fresh, self._packed(fresh), strict=True))
-        self.known.update(islice(seen.items(), max(0, KNOWN_UNITS - len(self.known))))
-        if len(self.known) < KNOWN_UNITS:
-            return [b"".join(map(self.known.__getitem__, own)) for own in units]
         known = self.known
-        return [b"".join([known[u] if u in known else seen[u] for u in own]) for own in units]
+        fresh = list(set().union(*units) - known.keys())
+        known.update(zip(fresh, self._packed(fresh), strict=True))
+        found = [b"".join(map(known.__getitem__, own)) for own in units]
+        for u in fresh[len(fresh) - max(0, len(known) - KNOWN_UNITS) :]:
+            del known[u]
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
