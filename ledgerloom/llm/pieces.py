@@ -35,13 +35,15 @@ _UNIT = re.compile(rf"\n| *[{_LETTER}]+(?=[ \n{_SIGN}]|\Z)| *[^ \n]+| +")
 _CROSSED = re.compile(rf"[^{SPACE}]{SPACE}|\n|[{_LETTER}][{_SIGN}]")
 #: Units whose ids a worker remembers while a task lasts, some thirty megabytes.
 KNOWN_UNITS = 100_000
+#: The same for a worker that has room for it; it also remembers them between tasks.  Some two hundred megabytes.
+MANY_UNITS = 600_000
 LONG_UNIT = 32
 
 
 class Pieces:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 8):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 8, remembered: int = KNOWN_UNITS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,7 +69,7 @@ class Pieces:
         self.kind = "<u2" if len(ids) <= 1 << 16 else "<u4"
         self.whole = any(_CROSSED.search(p) for p in self.id_of)
         self.limit, self.seed = int(dropout * (1 << 32)), seed
-        self.variants = variants if dropout else 1
+        self.variants, self.remembered = variants if dropout else 1, remembered
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def _candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -152,7 +154,7 @@ class Pieces:
         todo = list(fresh)
         packed = self.segment([u for u, _ in todo], [v for _, v in todo])
         held: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        room = KNOWN_UNITS - sum(map(len, known))
+        room = self.remembered - sum(map(len, known))
         for k, ((u, v), ids) in enumerate(zip(todo, packed, strict=True)):
             (known if k < room and len(u) <= LONG_UNIT else held)[v][u] = ids
         if any(held):
@@ -187,13 +189,16 @@ def _coder(*key) -> Pieces:
     return _coders[key]
 
 
-def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 8) -> DataFrame:
-    """(doc_id, n_pieces, ids, lossless) of every row; every row is decoded again and compared."""
+def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, variants: int = 8, roomy: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids, lossless) of every row; every row is decoded again and compared.
+
+    ``roomy`` is for jobs that do nothing else: workers remember more units, and take more text at once.
+    """
     session_of(docs)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, dropout, seed, variants)
-        for block in blocks(batches, size=1 << 20):
+        coder = _coder(path, dropout, seed, variants, MANY_UNITS if roomy else KNOWN_UNITS)
+        for block in blocks(batches, size=1 << (22 if roomy else 20)):
             names, texts = (c.to_pylist() for c in block.columns)
             ids = coder.encode([t or "" for t in texts], [-1 if d is None else d for d in names])
             same = [coder.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
@@ -201,7 +206,8 @@ def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 0, vari
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes), lists.cast(_OUT.types[2]), pa.array(same)], schema=_OUT)
-        coder.forget()  # the worker goes on to other work
+        if not roomy:
+            coder.forget()  # the worker goes on to other work
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 

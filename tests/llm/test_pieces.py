@@ -86,3 +86,9 @@ def test_whole_table(spark, folder, documents, name):
     assert coded.where("not lossless").count() == 0 and coded.count() == documents.count()
     texts = pieces.decode(coded, PATH).join(documents.select("doc_id", documents["text"].alias("was")), "doc_id")
     assert texts.where("text <> coalesce(was, '')").count() == 0
+
+
+def test_roomy_workers_give_the_same_ids(docs):
+    rows = docs(EDGES)
+    own = lambda **more: sorted((str(r.doc_id), list(r.ids)) for r in pieces.encode(rows, vocabulary("piece_bpe_32k.model"), **more).collect())
+    assert own() == own(roomy=True)
