@@ -48,12 +48,14 @@ class Field:
         if self.kind == "whole0":
             return whole0(cell)
         if self.kind == "int0":  # as above, but a number with commas is unreadable
-            return F.coalesce(F.trim(cell).try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+            # The cast raises inside on every cell it cannot read.
+            bare = F.when(~F.contains(cell, F.lit(",")), F.trim(cell))
+            return F.coalesce(bare.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
         if self.kind == "day":  # a date with a time of day is unreadable
             return F.when(F.trim(cell).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), to_ts(cell)).cast("date")
         if self.kind == "plain":
             text = F.trim(cell)
-            text = F.when((text != "") & (text != "-") & (F.lower(text) != "nan"), text)
+            text = F.when(~F.lower(text).isin("", "-", "nan"), text)
             return F.left(text, F.lit(self.width)) if self.width else text
         if self.kind == "timestamp":
             return to_ts(clean_cell(cell))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import COMPILED, fresh_path, held
 from .ingest import Field, project_positional, section_marker
 
 
@@ -115,16 +115,11 @@ def deal(raw: DataFrame, sections: Sequence[Section], path: str) -> None:
         raise ValueError("every section needs a table of its own")
     spark, marks = raw.sparkSession, fresh_path(raw.sparkSession, "markers")
     of_sheet = markers(raw)
-    of_sheet.write.parquet(marks)
     rows = raw.withColumns({"table": table, "_given": given}).where("table IS NOT NULL")
-    rows = below(rows, spark.read.schema(of_sheet.schema).parquet(marks)).withColumn("data_type", F.coalesce("_given", "data_type")).drop("_given")
-    setting = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, WRITERS)
-    try:
+    with held(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(WRITERS), **COMPILED}):
+        of_sheet.write.parquet(marks)
+        rows = below(rows, spark.read.schema(of_sheet.schema).parquet(marks)).withColumn("data_type", F.coalesce("_given", "data_type")).drop("_given")
         rows.write.option("parquet.block.size", GROUP_BYTES).partitionBy("table").parquet(path)
-    finally:
-        spark.conf.set(setting, before)
 
 
 def section(spark: SparkSession, path: str, s: Section, raw_schema) -> DataFrame:
@@ -133,8 +128,7 @@ def section(spark: SparkSession, path: str, s: Section, raw_schema) -> DataFrame
     rows = spark.read.schema(", ".join(schema)).parquet(path).where(F.col("table") == s.table)
     out = project_positional(rows.withColumn("row_number", F.col("row") - (0 if s.kind else s.first)), s.fields, ("file", "data_type", "row_number"))
     if s.key:
-        key = F.col(s.key)
-        out = out.where(key.isNotNull() & (F.upper(key) != "TRAN_ID"))
+        out = out.where(F.upper(s.key) != "TRAN_ID")  # nor is it null
     return out
 
 

@@ -1,13 +1,15 @@
 """Import runs over hand-made workbooks: one unreadable file, lost jobs, files that come again."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.ingest import Field
 from ledgerloom.operators.sheets import Section, deal, section, under_markers
 from ledgerloom.plans.importing import Warehouse
-from ledgerloom.session import fresh_path
-from ledgerloom.sources.layouts import STATEMENT_SHEETS
+from ledgerloom.session import fresh_path, held
+from ledgerloom.sources.layouts import CLAIM_SHEETS, STATEMENT_SHEETS
 from ledgerloom.sources.manifests import Manifests
 
 RAW = "file string, sheet string, row int, c0 string, c1 string, c2 string, c3 string"
@@ -142,3 +144,25 @@ def test_dealing_neither_shuffles_nor_sorts_rows(spark, monkeypatch):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     kinds = {r.row: r.data_type for r in spark.read.parquet(path).collect()}
     assert kinds == {2 + i: "appeal" if 2 + i > 5 else "normal" for i in range(20)}
+
+
+def test_reading_of_detail_sheets_is_small_enough_to_be_compiled(spark, capsys):
+    """The JVM never compiles a method of more than 8000 bytes."""
+    schema = "file string, sheet string, row int, " + ", ".join(f"c{k} string" for k in range(22))
+    with held(spark, {"spark.sql.codegen.hugeMethodLimit": "65535"}):
+        for s in CLAIM_SHEETS:
+            if s.table in ("instrument", "deny", "zero_paid"):
+                path = fresh_path(spark, "sheet")
+                spark.createDataFrame([], schema + ", data_type string, `table` string").write.parquet(path)
+                section(spark, path, s, spark.createDataFrame([], schema).schema).explain("codegen")
+                [size] = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+                assert int(size) < 8000, s.table
+
+
+def test_whole_and_plain_cells(spark):
+    cells = {"12.9": 12, " 7 ": 7, "1,000": 0, ",": 0, "abc": 0, "": 0, "-": 0, None: 0, "1e3": 1000, "-2": -2, "NaN": 0}
+    df = spark.createDataFrame([(k, v) for k, v in cells.items()], "c string, n bigint")
+    assert df.where(Field("x", 0, "int0").read(F.col("c")) != F.col("n")).collect() == []
+    texts = {" a ": "a", "-": None, " - ": None, "NaN": None, "nan": None, "": None, "  ": None, None: None, "--": "--", "nano": "nan"}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "c string, t string")
+    assert df.where(~Field("x", 0, "plain", 3).read(F.col("c")).eqNullSafe(F.col("t"))).collect() == []
