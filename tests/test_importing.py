@@ -146,6 +146,31 @@ def test_dealing_neither_shuffles_nor_sorts_rows(spark, monkeypatch):
     assert kinds == {2 + i: "appeal" if 2 + i > 5 else "normal" for i in range(20)}
 
 
+def test_rows_of_many_cells_are_written_by_compiled_methods(spark, house, monkeypatch):
+    """Whatever the session says of large methods; its own setting comes back."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    setting, seen = "spark.sql.codegen.hugeMethodLimit", []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(setting)), real(self, *a, **k))[1])
+    with held(spark, {setting: "65535"}):
+        house.load(spark.createDataFrame(GOOD, RAW))
+        deal(spark.createDataFrame(GOOD, RAW), SECTIONS, fresh_path(spark, "dealt"))
+        assert set(seen) == {"8000"} and spark.conf.get(setting) == "65535"
+
+
+def test_only_cells_of_main_tables_are_judged(spark, house, monkeypatch):
+    plans = []
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append(self._df) if "/ledger/" in path else None, real(self, path, *a, **k))[1])
+    house.load(spark.createDataFrame(GOOD + HALF + BAD, RAW))
+    scans = [line for line in plans[0]._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and "c1#" in line]
+    assert scans and all("PartitionFilters: [table" in line or "(table" in line.split("PartitionFilters")[1] for line in scans)
+    assert status(house)["a.xls"] == ("completed", 3, 3, 0, 3)
+
+
 def test_reading_of_detail_sheets_is_small_enough_to_be_compiled(spark, capsys):
     """The JVM never compiles a method of more than 8000 bytes."""
     schema = "file string, sheet string, row int, " + ", ".join(f"c{k} string" for k in range(22))
