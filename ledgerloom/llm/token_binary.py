@@ -20,10 +20,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +35,9 @@ HEADER = struct.Struct("<8sQQQQqIIII")  # magic, documents, null ids, ids, id by
 SAMPLE = 256
 SHARD_IDS = 4_000_000
 KNOWN_UNITS = 800_000
+WORDS_AT_ONCE = 512
+#: Bytes of texts whose units are told apart at once.
+SLICE_BYTES = 8 << 20
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------
@@ -98,12 +101,51 @@ class EliasFano:
 
 # --- encoding -----------------------------------------------------------------------------------
 
-# White space that the tokenizer knows beyond ASCII; a text that has any is encoded in one piece.
-_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # The tokenizer never joins a letter to a sign or to white space after it, nor a sign to white space after
-# it.  So a text falls into units, and the ids of a text are those of its units.
-_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
-_UNIT = re.compile(rf"\s*[{_LETTER}]+(?=[\s{_SIGN}]|\Z)|\s*\S+|\s+", re.ASCII)
+# it, nor a single white space that is no blank to what follows.  So a text falls into units, and the ids of
+# a text are those of its units.
+_BLANK, _BREAK, _LETTER, _SIGN = 1, 2, 3, 4
+_CLASS = np.zeros(256, dtype=np.uint8)  # bytes beyond ASCII and control characters stay 0
+_CLASS[ord("!") : ord("~") + 1] = _SIGN
+_CLASS[ord("A") : ord("Z") + 1] = _CLASS[ord("a") : ord("z") + 1] = _LETTER
+_CLASS[9:14], _CLASS[ord(" ")] = _BREAK, _BLANK
+# A unit of one word, which can be encoded in one text with others like it.
+_WORD = re.compile(r" ?\S+")
+
+
+def _white(kind: np.ndarray) -> np.ndarray:
+    return (kind == _BLANK) | (kind == _BREAK)
+
+
+def _unit_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where units begin in the UTF-8 bytes of texts that begin at ``starts``, and the end of the bytes.
+
+    Units begin at white space after something else, at a sign after a word, and after a line's end.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data == 0xC3)  # À to ÿ but for the signs × and ÷
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    at = np.flatnonzero(kind != _LETTER)
+    own = kind[at]
+    white = _white(own)
+    # What lies before the first byte of a text is looked at too, but a unit begins there anyhow.
+    after_word = np.diff(at, prepend=0) > 1
+    after_word[1:] &= white[:-1]
+    bounds = at[(own == _SIGN) & after_word]
+    before = kind[at - 1]
+    spaces = at[white & ~_white(before)]
+    # Characters beyond ASCII that are, or may be, white space themselves.
+    far = np.flatnonzero(data[spaces - 1] >= 0x80)
+    one, two, three = (data[spaces[far] - k] for k in (1, 2, 3))
+    doubt = (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    doubt |= ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE3) & (two == 0x80))
+    spaces = np.delete(spaces, far[doubt])
+    breaks = spaces[kind[spaces] == _BREAK] + 1
+    breaks = breaks[breaks < len(data)]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[bounds] = begins[spaces] = begins[breaks[kind[breaks] >= _LETTER]] = begins[starts] = begins[-1] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
@@ -118,6 +160,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = f"<u{self.width}", {2: "H", 4: "I"}[self.width]
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else -1
         self.known: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> Iterator[bytes]:
@@ -125,15 +169,58 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
                 yield array(self.code, e.ids).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [[t] if _OTHER_SPACE.search(t) else _UNIT.findall(t) for t in texts]
-        fresh = list(set().union(*units) - self.known.keys())
-        seen = dict(zip(fresh, self._packed(fresh), strict=True))
-        self.known.update(islice(seen.items(), max(0, KNOWN_UNITS - len(self.known))))
-        if len(self.known) < KNOWN_UNITS:
-            return [b"".join(map(self.known.__getitem__, own)) for own in units]
-        known = self.known
-        return [b"".join([known[u] if u in known else seen[u] for u in own]) for own in units]
+    def _packed_words(self, words: list[str]) -> Iterator[bytes]:
+        """The same for units of one word, a line each of longer texts."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = (np.flatnonzero(ids == self.line_end) * self.width).tolist()
+            if len(ends) != len(some) - 1:  # of another kind of tokenizer
+                yield from self._packed(some)
+                continue
+            packed, start = ids.tobytes(), 0
+            for end in ends:
+                yield packed[start:end]
+                start = end + self.width
+            yield packed[start:]
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are all different."""
+        found = list(map(self.known.get, units))
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        words = [k for k in fresh if _WORD.fullmatch(units[k])]
+        others = sorted(set(fresh).difference(words))
+        for own, packed in ((words, self._packed_words), (others, self._packed)):
+            for k, ids in zip(own, packed([units[k] for k in own]), strict=True):
+                found[k] = ids
+                if len(self.known) < KNOWN_UNITS:
+                    self.known[units[k]] = ids
+        return found
+
+    def _of_texts(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        begins = _unit_starts(data, bounds[:-1])
+        units = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data)).dictionary_encode()
+        ids = pa.array(self._of_units(units.dictionary.to_pylist()), pa.large_binary()).take(units.indices)
+        _, places, packed = ids.buffers()
+        ends = np.frombuffer(places, np.int64)[np.searchsorted(begins, bounds)].tolist()
+        packed = memoryview(packed)
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            yield bytes(packed[start:end])
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
+        """Ids of each text, worked out for some megabytes of texts at a time; a null text is empty."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        column, at = pc.fill_null(column, ""), 0
+        _, places, letters = column.buffers()
+        bounds = np.frombuffer(places, np.int64)[column.offset :][: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        while at < len(column):
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
+            first, last = bounds[at], bounds[stop]
+            if first == last:
+                yield from [b""] * (stop - at)
+            else:
+                yield from self._of_texts(np.frombuffer(letters, np.uint8)[first:last], bounds[at : stop + 1] - first)
+            at = stop
 
 
 _encoders: dict[str, Encoder] = {}
@@ -200,16 +287,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             return row
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 512):
-                texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
-                for doc_id, ids in zip(names[at : at + 512], encoder(texts), strict=True):
-                    doc_ids.append(doc_id)
-                    pieces.append(ids + end)
-                    lengths.append(len(pieces[-1]) // encoder.width)
-                    held += lengths[-1]
-                    if held >= shard_ids:
-                        yield close()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1)), strict=True):
+                doc_ids.append(doc_id)
+                pieces.append(ids + end)
+                lengths.append(len(pieces[-1]) // encoder.width)
+                held += lengths[-1]
+                if held >= shard_ids:
+                    yield close()
         if doc_ids:
             yield close()
 

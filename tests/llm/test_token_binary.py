@@ -2,6 +2,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -36,6 +37,52 @@ def test_units_give_the_ids_of_whole_texts(texts):
     assert [np.frombuffer(b, coder.kind).tolist() for b in coder(texts)] == whole
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_many_at_once():
+    coder = tb.Encoder(PATH)
+    texts = [" ".join(f"{a}{b}{c}x" for c in "abcdefghij") + ",\n" for a in "klmnopqrst" for b in "uvwxyzabcd"]
+    whole = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    counted = coder.tokenizer = _Counted(coder.tokenizer)
+    assert [np.frombuffer(b, coder.kind).tolist() for b in coder(texts * 3)] == whole * 3
+    assert counted.texts < 20  # of 1000 different words
+    assert [np.frombuffer(b, coder.kind).tolist() for b in coder(texts)] == whole
+    assert counted.texts < 20
+
+
+@pytest.mark.parametrize("known", [0, 5, 800_000])
+@pytest.mark.parametrize("slice_bytes", [1, 40, 8 << 20])
+def test_columns_are_encoded_in_slices_with_any_memory_of_units(monkeypatch, known, slice_bytes):
+    monkeypatch.setattr(tb, "KNOWN_UNITS", known)
+    monkeypatch.setattr(tb, "SLICE_BYTES", slice_bytes)
+    coder = tb.Encoder(PATH)
+    texts = ["left out", None, "", "One,two 3's\r\nend", "\n", "ab\n\ncd\n \t e ", "", "né×ÿ, À÷! “x” y\u3000z", " ", None, "One <|endoftext|> two\n", "Ã", ""]
+    whole = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert [np.frombuffer(b, coder.kind).tolist() for b in coder(pa.array(texts, kind)[1:])] == whole[1:]
+        assert list(coder(pa.array([None, "", None], kind))) == [b""] * 3
+        assert list(coder(pa.array([], kind))) == []
+    assert len(coder.known) <= known
+
+
+def test_units_begin_at_spaces_signs_and_lines():
+    texts = ["One, two's x1\nthree  four \n", "", "é, \"a\" 中 b"]
+    data = [t.encode() for t in texts]
+    starts = np.cumsum([0, *map(len, data)])
+    begins = tb._unit_starts(np.frombuffer(b"".join(data), np.uint8), starts[:-1])
+    units = [b"".join(data)[a:b].decode() for a, b in zip(begins[:-1], begins[1:])]
+    assert units == ["One", ",", " two", "'s", " x", "1", "\n", "three", "  four", " \n", "é", ",", ' "a"', " 中", " b"]
+
+
 def test_one_document_is_read_by_select():
     ids = [np.arange(n, dtype="<u2") for n in (3, 1, 500, 2)]
     shard = tb.shard_bytes([4, 9, 9, 30], np.array([3, 1, 500, 2]), b"".join(x.tobytes() for x in ids), 2)
