@@ -1,4 +1,4 @@
-"""Denial risk with MLlib: features, a weighted random forest, scores and their reasons."""
+"""Denial risk with MLlib's features and models: a weighted random forest, scores and their reasons."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,12 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.money import is_error, ratio
 from ..functions.text import first_digits, has
 from ..operators.quantiles import exact_quantiles
+from .forest import grow
 
 CATEGORIES = ["service_type", "drg", "main_fund", "main_inscl", "ptype"]
 FROM_ERROR = ["error_code_num", "high_risk_error"]
 NUMBERS = ["claim_amount", "claim_amount_log", "rw", "adjrw"]
 #: Rows of a task that learns, and tasks at least.  They follow from the rows alone, so that every cluster learns the same forest.
-LEARN_ROWS, LEARN_PARTS = 200_000, 24
+LEARN_ROWS, LEARN_PARTS = 500_000, 24
 
 
 def training_frame(claims: DataFrame) -> DataFrame:
@@ -80,11 +80,11 @@ def weighted(train: DataFrame) -> DataFrame:
     ).drop("_rate")
 
 
-def pipeline(with_error: bool = True, trees: int = 100, depth: int = 10, seed: int = 42) -> Pipeline:
-    forest = RandomForestClassifier(
-        labelCol="is_denied", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=seed,
-    )
-    return Pipeline(stages=[*feature_stages(with_error), forest])
+def fitted(rows: DataFrame, with_error: bool = True, trees: int = 100, depth: int = 10, seed: int = 42) -> PipelineModel:
+    """Features and a forest that learned from rows with their weight."""
+    coded = Pipeline(stages=feature_stages(with_error)).fit(rows)
+    forest = grow(coded.transform(rows), "is_denied", "features", "weight", trees=trees, depth=depth, min_rows=2, seed=seed)
+    return PipelineModel(stages=[*coded.stages, forest])
 
 
 def spread(rows: DataFrame, parts: int | None = None) -> DataFrame:
@@ -108,7 +108,7 @@ def train(frame: DataFrame, with_error: bool = True, **forest) -> PipelineModel:
     """Fit on a training split.  ``with_error=False`` leaves out the features the label is made from."""
     rows = learning_rows(frame)
     try:
-        return pipeline(with_error, **forest).fit(rows)
+        return fitted(rows, with_error, **forest)
     finally:
         rows.unpersist()
 
@@ -161,7 +161,7 @@ def cross_validate(frame: DataFrame, folds: int = 5, with_error: bool = True, **
         if rows.select("fold").distinct().count() < folds:
             raise ValueError("a fold has no row")
         rows = rows.withColumn("is_denied", F.col("is_denied").cast("double"))
-        found = [judge.evaluate(pipeline(with_error, **forest).fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k))) for k in range(folds)]
+        found = [judge.evaluate(fitted(rows.filter(F.col("fold") != k), with_error, **forest).transform(rows.filter(F.col("fold") == k))) for k in range(folds)]
     finally:
         rows.unpersist()
     return [fmean(found), pstdev(found)]
