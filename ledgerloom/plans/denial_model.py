@@ -200,7 +200,8 @@ def high_risk(claims: DataFrame, model: PipelineModel, looked_at: int | None = N
     clean = claims.filter((F.col("claim_drg") > 0) & ~is_error(exclude=("0",)))
     if looked_at is not None:
         clean = clean.orderBy(F.desc("claim_drg"), "tran_id").limit(looked_at)
-    return score(training_frame(clean), model).filter(F.col("risk_score") >= threshold).orderBy(F.desc("risk_score"), "tran_id").limit(k)
+    # The threshold comes last: in front of the order it would be pushed down to the features and every claim be scored twice.
+    return score(training_frame(clean), model).orderBy(F.desc("risk_score"), "tran_id").limit(k).filter(F.col("risk_score") >= threshold)
 
 
 def save(model: PipelineModel, path: str, metrics: DataFrame, importance: DataFrame) -> None:

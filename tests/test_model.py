@@ -41,6 +41,19 @@ def test_high_risk_is_ordered(fitted, tables):
     assert len(rows) == 20 and scores == sorted(scores, reverse=True)
 
 
+def test_a_claim_is_scored_once(fitted, tables):
+    """A threshold that is pushed below the scores makes the forest look up every claim twice."""
+    plan = dm.high_risk(tables.claims_core, fitted[0], threshold=0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "UDF" in line]
+    assert sum("AS probability#" in line for line in plan.splitlines()) == 1
+
+
+def test_threshold_cuts_the_riskiest(fitted, tables):
+    whole = [(r.tran_id, r.risk_score) for r in dm.high_risk(tables.claims_core, fitted[0], threshold=0.0, k=50).collect()]
+    middle = whole[20][1]
+    assert [(r.tran_id, r.risk_score) for r in dm.high_risk(tables.claims_core, fitted[0], threshold=middle, k=50).collect()] == [x for x in whole if x[1] >= middle]
+
+
 def test_saved_model_scores_alike(spark, fitted, tables):
     model, test = fitted
     path = fresh_path(spark, "model")
